@@ -9,7 +9,7 @@ nothing raises for a bad row.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -144,30 +144,35 @@ def _snapshot_judged(library: Library, batch: DataFrame, own: Column) -> DataFra
     return _judge(marked, [(F.col("overlaps") > own, "overlaps a loan")]).drop("overlaps")
 
 
-def _fit_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accept each span (sorted by item, then arrival) that no accepted one meets.
+def _fitter() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The pass over spans sorted by item and arrival.
 
-    Accepted spans of an item never overlap, so the one that begins last before
-    a span's end is the only one that can reach into it.
+    A local function, so that it travels to the executors by value.
     """
-    item, begins, ends, points = None, [], [], []
-    for pdf in batches:
-        fits = []
-        for book, first, last in zip(pdf["book_id"], pdf["first_no"], pdf["last_no"]):
-            if book != item:
-                item, begins, ends, points = book, [], [], []
-            at = bisect_left(begins, last)
-            free = at == 0 or ends[at - 1] <= first
-            if free and first < last:
-                inner = bisect_right(points, first)
-                free = inner == len(points) or points[inner] >= last
-                if free:
-                    begins.insert(at, first)
-                    ends.insert(at, last)
-            elif free:
-                insort(points, first)
-            fits.append(free)
-        yield pdf.assign(fits=fits)
+
+    def fit_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Accepted spans of an item never overlap, so the one that begins last
+        # before a span's end is the only one that can reach into it.
+        item, begins, ends, points = None, [], [], []
+        for pdf in batches:
+            fits = []
+            for book, first, last in zip(pdf["book_id"], pdf["first_no"], pdf["last_no"]):
+                if book != item:
+                    item, begins, ends, points = book, [], [], []
+                at = bisect_left(begins, last)
+                free = at == 0 or ends[at - 1] <= first
+                if free and first < last:
+                    inner = bisect_right(points, first)
+                    free = inner == len(points) or points[inner] >= last
+                    if free:
+                        begins.insert(at, first)
+                        ends.insert(at, last)
+                elif free:
+                    insort(points, first)
+                fits.append(free)
+            yield pdf.assign(fits=fits)
+
+    return fit_in_order
 
 
 def _batch_judged(batch: DataFrame) -> DataFrame:
@@ -186,7 +191,7 @@ def _batch_judged(batch: DataFrame) -> DataFrame:
     )
     in_order = leaders.repartition("book_id").sortWithinPartitions("book_id", "leader")
     fitted = in_order.mapInPandas(
-        _fit_in_order,
+        _fitter(),
         "book_id long, first date, last date, leader long, first_no int, last_no int, fits boolean",
     ).select(*_SPAN, "leader", "fits")
     marked = batch.join(fitted, _SPAN, "left")

@@ -8,8 +8,7 @@ however many loans the item has, and no loan is ever paired with another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lendlens.functions.dates import loan_end
@@ -19,12 +18,10 @@ from lendlens.operators.sizing import narrowed
 MAX_HOT_BOOKS = 10_000
 
 
-#: Rows of one item up to and including a day.
-THROUGH_DAY = (
-    Window.partitionBy("book_id")
-    .orderBy("day")
-    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-)
+def _through_day() -> WindowSpec:
+    """Rows of one item up to and including a day."""
+    days = Window.partitionBy("book_id").orderBy("day")
+    return days.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def furthest_return(loans: DataFrame, days: DataFrame) -> DataFrame:
@@ -50,7 +47,7 @@ def furthest_return(loans: DataFrame, days: DataFrame) -> DataFrame:
         .groupBy("book_id", "day")
         .agg(F.max("reach").alias("reach"), F.max("asked").alias("asked"))
     )
-    running = per_day.withColumn("reach", F.max("reach").over(THROUGH_DAY))
+    running = per_day.withColumn("reach", F.max("reach").over(_through_day()))
     return running.filter("asked").select("book_id", F.col("day").alias("last_day"), "reach")
 
 
@@ -98,13 +95,14 @@ def overlap_counts(probes: DataFrame, held: DataFrame) -> DataFrame:
         .groupBy("book_id", "day")
         .agg(*[F.sum(c).alias(c) for c in ("begun", "points", "ended")])
     )
+    through = _through_day()
     totals = per_day.select(
         "book_id",
         "day",
-        (F.sum("begun").over(THROUGH_DAY) - F.col("begun")).alias("begun_before"),
-        (F.sum("points").over(THROUGH_DAY) - F.col("points")).alias("points_before"),
-        F.sum("points").over(THROUGH_DAY).alias("points_through"),
-        F.sum("ended").over(THROUGH_DAY).alias("ended_through"),
+        (F.sum("begun").over(through) - F.col("begun")).alias("begun_before"),
+        (F.sum("points").over(through) - F.col("points")).alias("points_before"),
+        F.sum("points").over(through).alias("points_through"),
+        F.sum("ended").over(through).alias("ended_through"),
     )
     ends = F.array(
         F.struct(F.col("last").alias("day"), F.lit(True).alias("is_last")),
