@@ -51,15 +51,25 @@ def _collisions_as_written(loans: DataFrame) -> DataFrame:
     return loans.join(per_book, "book_id").filter(hit).select(F.col("id").alias("loan_id"), "book_id")
 
 
+def _stock_dates(library: Library) -> DataFrame:
+    """One row per item, whatever the table holds twice: (book_id, added, book_known)."""
+    by_id = library.books.groupBy(F.col("id").alias("book_id"))
+    return by_id.agg(F.max("added").alias("added"), F.lit(True).alias("book_known"))
+
+
+def _registrations(library: Library) -> DataFrame:
+    by_id = library.clients.groupBy(F.col("id").alias("client_id"))
+    return by_id.agg(F.max("registered").alias("registered"), F.lit(True).alias("client_known"))
+
+
 def loan_before_book(library: Library) -> DataFrame:
-    books = library.books.select(F.col("id").alias("book_id"), "added")
-    early = flat_loans(library).join(books, "book_id").filter("start_date < added")
+    early = flat_loans(library).join(_stock_dates(library), "book_id").filter("start_date < added")
     return early.select("loan_id", "book_id", "start_date", "added")
 
 
 def loan_before_client(library: Library) -> DataFrame:
-    clients = library.clients.select(F.col("id").alias("client_id"), "registered")
-    early = flat_loans(library).join(clients, "client_id").filter("start_date < registered")
+    dated = flat_loans(library).join(_registrations(library), "client_id")
+    early = dated.filter("start_date < registered")
     return early.select("loan_id", "client_id", "start_date", "registered")
 
 
@@ -100,15 +110,18 @@ def required_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in NULLABLE and not c.endswith("_key")]
 
 
-def null_required(library: Library) -> DataFrame:
-    """(table, id, column) of every null where a value is required."""
-
-    def nulls(name: str, df: DataFrame) -> DataFrame:
+def _nulls(tables: dict[str, DataFrame]) -> DataFrame:
+    def of_table(name: str, df: DataFrame) -> DataFrame:
         missing = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required_columns(df)])
         column = F.explode(F.array_compact(missing)).alias("column")
         return df.select(F.lit(name).alias("table"), "id", column)
 
-    return _union([nulls(name, df) for name, df in _tables(library).items()])
+    return _union([of_table(name, df) for name, df in tables.items()])
+
+
+def null_required(library: Library) -> DataFrame:
+    """(table, id, column) of every null where a value is required."""
+    return _nulls(_tables(library))
 
 
 def orphan_loans(library: Library) -> DataFrame:
@@ -133,55 +146,54 @@ def duplicate_ids(library: Library) -> DataFrame:
     return _union([repeated(name, df) for name, df in _tables(library).items()])
 
 
-def audit_all(library: Library) -> DataFrame:
-    """All violations as (rule, table, id, detail)."""
-
-    def found(rule: str, df: DataFrame, detail: Column, table: Column, key: str) -> DataFrame:
-        return df.select(
-            F.lit(rule).alias("rule"),
-            table.alias("table"),
-            F.col(key).alias("id"),
-            detail.alias("detail"),
-        )
-
-    def of_loan(rule: str, df: DataFrame, detail: Column) -> DataFrame:
-        return found(rule, df, detail, F.lit("loan"), "loan_id")
+def _loan_findings(library: Library) -> DataFrame:
+    """The rules that look at one loan and its parents, in one pass over the loans."""
 
     def earlier(day: str, other: str) -> Column:
         return F.concat(iso(F.col(day)), F.lit(" < "), iso(F.col(other)))
 
+    def orphan(key: str) -> Column:
+        return F.concat(F.lit(f"{key} "), F.col(key).cast("string"))
+
+    loans = flat_loans(library)
+    rules = [
+        ("loan_before_book", "start_date < added", earlier("start_date", "added")),
+        ("loan_before_client", "start_date < registered", earlier("start_date", "registered")),
+        ("return_before_start", "return_date < start_date", earlier("return_date", "start_date")),
+        ("due_before_start", "end_date < start_date", earlier("end_date", "start_date")),
+        ("orphan_loan", "book_id IS NOT NULL AND book_known IS NULL", orphan("book_id")),
+        ("orphan_loan", "client_id IS NOT NULL AND client_known IS NULL", orphan("client_id")),
+    ]
+    for column in required_columns(library.loans):
+        name = "loan_id" if column == "id" else column
+        rules.append(("null_required", f"{name} IS NULL", F.lit(column)))
+    broken = [
+        F.when(F.expr(condition), F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+        for rule, condition, detail in rules
+    ]
+    with_parents = loans.join(_stock_dates(library), "book_id", "left").join(
+        _registrations(library), "client_id", "left"
+    )
+    found = with_parents.select("loan_id", F.inline(F.array_compact(F.array(*broken))))
+    return found.select("rule", F.lit("loan").alias("table"), F.col("loan_id").alias("id"), "detail")
+
+
+def audit_all(library: Library) -> DataFrame:
+    """All violations as (rule, table, id, detail)."""
+
+    def found(rule: str, df: DataFrame, table: Column, key: str, detail: Column) -> DataFrame:
+        named = [F.lit(rule).alias("rule"), table.alias("table")]
+        return df.select(*named, F.col(key).alias("id"), detail.alias("detail"))
+
     own_table = F.col("table")
+    item = F.concat(F.lit("book "), F.col("book_id").cast("string"))
+    parents = {"book": library.books, "client": library.clients}
+    copies = F.concat(F.col("n").cast("string"), F.lit(" rows"))
     return _union(
         [
-            of_loan(
-                "overlap",
-                overlap_violations(library),
-                F.concat(F.lit("book "), F.col("book_id").cast("string")),
-            ),
-            of_loan("loan_before_book", loan_before_book(library), earlier("start_date", "added")),
-            of_loan(
-                "loan_before_client",
-                loan_before_client(library),
-                earlier("start_date", "registered"),
-            ),
-            of_loan(
-                "return_before_start",
-                return_before_start(library),
-                earlier("return_date", "start_date"),
-            ),
-            of_loan("due_before_start", due_before_start(library), earlier("end_date", "start_date")),
-            found("null_required", null_required(library), F.col("column"), own_table, "id"),
-            of_loan(
-                "orphan_loan",
-                orphan_loans(library),
-                F.concat_ws(" ", "column", F.col("key").cast("string")),
-            ),
-            found(
-                "duplicate_id",
-                duplicate_ids(library),
-                F.concat(F.col("n").cast("string"), F.lit(" rows")),
-                own_table,
-                "id",
-            ),
+            _loan_findings(library),
+            found("overlap", overlap_violations(library), F.lit("loan"), "loan_id", item),
+            found("null_required", _nulls(parents), own_table, "id", F.col("column")),
+            found("duplicate_id", duplicate_ids(library), own_table, "id", copies),
         ]
     )

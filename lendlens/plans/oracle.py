@@ -415,7 +415,8 @@ AUDITS = {
                    'book ' || book_id AS detail FROM ({_overlapping("bad_loan")})
             UNION ALL
             SELECT 'loan_before_book', 'loan', bad_loan.id, {_earlier('start_date', 'added')}
-            FROM bad_loan JOIN bad_book ON book_id = bad_book.id WHERE start_date < added
+            FROM bad_loan JOIN (SELECT DISTINCT id, added FROM bad_book) AS bad_book
+            ON book_id = bad_book.id WHERE start_date < added
             UNION ALL
             SELECT 'loan_before_client', 'loan', bad_loan.id,
                    {_earlier('start_date', 'registered')}

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lendlens.functions.dates import parse_iso
 from lendlens.functions.text import fold
+from lendlens.sources.upgrades import backfill_address, backfill_due_dates
 
 BOOK = T.StructType(
     [
@@ -81,13 +82,20 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def read_library(
     spark: SparkSession, path: str, fmt: str = "parquet", **options: str
 ) -> Library:
-    """Read ``path``/book, /client and /loan in any format Spark reads."""
+    """Read ``path``/book, /client and /loan in any format Spark reads.
 
-    def table(name: str, schema: T.StructType) -> DataFrame:
-        raw = spark.read.format(fmt).options(**options).load(f"{path}/{name}")
-        return conform(raw, schema)
+    Snapshots of the older schemas are brought up to the current one.
+    """
+
+    def raw(name: str) -> DataFrame:
+        return spark.read.format(fmt).options(**options).load(f"{path}/{name}")
 
-    return Library(table("book", BOOK), table("client", CLIENT), table("loan", LOAN))
+    books, clients, loans = raw("book"), raw("client"), raw("loan")
+    if "address" not in clients.columns:
+        clients = backfill_address(clients)
+    if "end_date" not in loans.columns:
+        loans = backfill_due_dates(loans)
+    return Library(conform(books, BOOK), conform(clients, CLIENT), conform(loans, LOAN))
 
 
 def write_library(library: Library, path: str) -> None:
