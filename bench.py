@@ -40,10 +40,13 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = {name: registry.ALL[name] for name in HEADLINE}
-    seconds(queries["count_rows"], spark, sf_dir)  # start-up is not counted
-    times = {name: seconds(query, spark, sf_dir) for name, query in queries.items()}
+    # The better of two rounds: the first one also starts the JVM's compiler.
+    rounds = [
+        {name: seconds(query, spark, sf_dir) for name, query in queries.items()} for _ in range(2)
+    ]
+    times = {name: min(r[name] for r in rounds) for name in queries}
     result = {
-        "metric": "headline queries, total",
+        "metric": "headline queries, total of the better of two rounds",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,

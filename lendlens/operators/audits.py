@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.text import iso
 from lendlens.operators.occupancy import overlap_flags
-from lendlens.operators.sizing import narrowed
+from lendlens.operators.sizing import narrowed, sized
+from lendlens.session import staged
 from lendlens.sources.library import NULLABLE, Library, flat_loans
 
 
@@ -51,24 +52,42 @@ def _collisions_as_written(loans: DataFrame) -> DataFrame:
     return loans.join(per_book, "book_id").filter(hit).select(F.col("id").alias("loan_id"), "book_id")
 
 
-def _stock_dates(library: Library) -> DataFrame:
-    """One row per item, whatever the table holds twice: (book_id, added, book_known)."""
-    by_id = library.books.groupBy(F.col("id").alias("book_id"))
-    return by_id.agg(F.max("added").alias("added"), F.lit(True).alias("book_known"))
+def parent_days(parents: DataFrame, key: str, day: str) -> DataFrame:
+    """(key, day, key_known), one row per parent and its latest day if it stands twice."""
+    by_id = parents.groupBy(F.col("id").alias(key))
+    return by_id.agg(F.max(day).alias(day), F.lit(True).alias(f"{key}_known"))
 
 
-def _registrations(library: Library) -> DataFrame:
-    by_id = library.clients.groupBy(F.col("id").alias("client_id"))
-    return by_id.agg(F.max("registered").alias("registered"), F.lit(True).alias("client_known"))
+def _suspects(loans: DataFrame, parents: DataFrame, key: str, day: str) -> DataFrame:
+    """Keys of loans whose parent is unknown or newer than its first loan.
+
+    Columns (key, day, key_known). Loans are reduced to their first start per
+    key before any shuffle, and when few keys are left, the loans themselves
+    are checked in place.
+    """
+    first = loans.groupBy(key).agg(F.min("start_date").alias("first_start"))
+    days = parent_days(parents, key, day)
+    known = F.coalesce(f"{key}_known", F.lit(False))
+    marked = first.filter(F.col(key).isNotNull()).join(days, key, "left")
+    found = marked.filter(~known | (F.col("first_start") < F.col(day)))
+    return sized(staged(found.select(key, day, known.alias(f"{key}_known"))))
+
+
+def _book_suspects(library: Library) -> DataFrame:
+    return _suspects(library.loans, library.books, "book_id", "added")
+
+
+def _client_suspects(library: Library) -> DataFrame:
+    return _suspects(library.loans, library.clients, "client_id", "registered")
 
 
 def loan_before_book(library: Library) -> DataFrame:
-    early = flat_loans(library).join(_stock_dates(library), "book_id").filter("start_date < added")
-    return early.select("loan_id", "book_id", "start_date", "added")
+    dated = flat_loans(library).join(_book_suspects(library), "book_id")
+    return dated.filter("start_date < added").select("loan_id", "book_id", "start_date", "added")
 
 
 def loan_before_client(library: Library) -> DataFrame:
-    dated = flat_loans(library).join(_registrations(library), "client_id")
+    dated = flat_loans(library).join(_client_suspects(library), "client_id")
     early = dated.filter("start_date < registered")
     return early.select("loan_id", "client_id", "start_date", "registered")
 
@@ -127,13 +146,12 @@ def null_required(library: Library) -> DataFrame:
 def orphan_loans(library: Library) -> DataFrame:
     """(loan_id, column, key) of loans whose item or borrower does not exist."""
 
-    def without(parent: DataFrame, column: str) -> DataFrame:
-        keys = parent.select(F.col("id").alias(column))
-        loans = flat_loans(library).select("loan_id", column).filter(F.col(column).isNotNull())
-        lost = loans.join(keys, column, "left_anti")
-        return lost.select("loan_id", F.lit(column).alias("column"), F.col(column).alias("key"))
+    def without(suspects: DataFrame, key: str) -> DataFrame:
+        lost = flat_loans(library).join(suspects, key).filter(~F.col(f"{key}_known"))
+        return lost.select("loan_id", F.lit(key).alias("column"), F.col(key).alias("key"))
 
-    return without(library.books, "book_id").unionByName(without(library.clients, "client_id"))
+    lost_books = without(_book_suspects(library), "book_id")
+    return lost_books.unionByName(without(_client_suspects(library), "client_id"))
 
 
 def duplicate_ids(library: Library) -> DataFrame:
@@ -161,8 +179,8 @@ def _loan_findings(library: Library) -> DataFrame:
         ("loan_before_client", "start_date < registered", earlier("start_date", "registered")),
         ("return_before_start", "return_date < start_date", earlier("return_date", "start_date")),
         ("due_before_start", "end_date < start_date", earlier("end_date", "start_date")),
-        ("orphan_loan", "book_id IS NOT NULL AND book_known IS NULL", orphan("book_id")),
-        ("orphan_loan", "client_id IS NOT NULL AND client_known IS NULL", orphan("client_id")),
+        ("orphan_loan", "NOT book_id_known", orphan("book_id")),
+        ("orphan_loan", "NOT client_id_known", orphan("client_id")),
     ]
     for column in required_columns(library.loans):
         name = "loan_id" if column == "id" else column
@@ -171,10 +189,10 @@ def _loan_findings(library: Library) -> DataFrame:
         F.when(F.expr(condition), F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
         for rule, condition, detail in rules
     ]
-    with_parents = loans.join(_stock_dates(library), "book_id", "left").join(
-        _registrations(library), "client_id", "left"
+    marked = loans.join(_book_suspects(library), "book_id", "left").join(
+        _client_suspects(library), "client_id", "left"
     )
-    found = with_parents.select("loan_id", F.inline(F.array_compact(F.array(*broken))))
+    found = marked.select("loan_id", F.inline(F.array_compact(F.array(*broken))))
     return found.select("rule", F.lit("loan").alias("table"), F.col("loan_id").alias("id"), "detail")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions.dates import loan_end
-from lendlens.operators.audits import required_columns
+from lendlens.operators.audits import parent_days, required_columns
 from lendlens.operators.intake import first_reason
 from lendlens.operators.occupancy import furthest_return, overlap_counts, spans
 from lendlens.operators.paging import numbered
@@ -112,18 +112,23 @@ def _date_checks() -> list[tuple[Column, str]]:
     ]
 
 
+def _with_parents(library: Library, batch: DataFrame) -> DataFrame:
+    """Add the day the item entered stock and the day the borrower registered."""
+    books = parent_days(library.books, "book_id", "added")
+    clients = parent_days(library.clients, "client_id", "registered")
+    return batch.join(books, "book_id", "left").join(clients, "client_id", "left")
+
+
 def _parents_judged(library: Library, batch: DataFrame) -> DataFrame:
     """Check item and borrower of each loan: known, and there by its start."""
-    books = library.books.select(F.col("id").alias("book_id"), "added")
-    clients = library.clients.select(F.col("id").alias("client_id"), "registered")
-    marked = batch.join(books, "book_id", "left").join(clients, "client_id", "left")
     checks = [
-        (F.col("added").isNull(), "unknown book"),
-        (F.col("registered").isNull(), "unknown client"),
+        (F.col("book_id_known").isNull(), "unknown book"),
+        (F.col("client_id_known").isNull(), "unknown client"),
         (F.col("start_date") < F.col("added"), "before book"),
         (F.col("start_date") < F.col("registered"), "before client"),
     ]
-    return _judge(marked, checks).drop("added", "registered")
+    judged = _judge(_with_parents(library, batch), checks)
+    return judged.drop("added", "registered", "book_id_known", "client_id_known")
 
 
 def _spanned(batch: DataFrame) -> DataFrame:
@@ -256,6 +261,30 @@ def update_clients(library: Library, changes: DataFrame) -> Outcome:
     return Outcome(library.with_(clients=table), accepted, rejected)
 
 
+def _loans_replaced(library: Library, marked: DataFrame) -> Outcome:
+    """Judge new versions of loans, marked with their old item and span, and put them in."""
+    judged = staged(_spanned(_parents_judged(library, _judge(marked, _date_checks()))))
+    meets_own = (
+        (F.col("old_book") == F.col("book_id"))
+        & (F.col("first") < F.col("old_last"))
+        & (F.col("old_first") < F.col("last"))
+    )
+    own = F.coalesce(meets_own.cast("int"), F.lit(0))
+    judged = _first_of_id(_snapshot_judged(library, judged, own))
+    judged = staged(_batch_judged(staged(judged)))
+    accepted, rejected = _split(judged, LOAN.names)
+    loans = _replaced(library.loans, accepted, LOAN.names)
+    return Outcome(library.with_(loans=loans), accepted, rejected)
+
+
+def _old_span() -> dict[str, Column]:
+    return {
+        "old_book": F.col("book_id"),
+        "old_first": F.col("start_date"),
+        "old_last": loan_end(F.col("return_date")),
+    }
+
+
 def update_loans(library: Library, changes: DataFrame) -> Outcome:
     """Replace loans by ID.
 
@@ -263,48 +292,28 @@ def update_loans(library: Library, changes: DataFrame) -> Outcome:
     changes accepted before it; days that another change of the same batch
     gives up are free from the next batch on. One change per loan and batch.
     """
-    old = narrowed(library.loans, changes, "id").select(
-        "id",
-        F.lit(True).alias("known"),
-        F.col("book_id").alias("old_book"),
-        F.col("start_date").alias("old_first"),
-        loan_end(F.col("return_date")).alias("old_last"),
-    )
-    marked = changes.join(old, "id", "left")
+    old = narrowed(library.loans, changes, "id").withColumns(_old_span())
+    known = old.select("id", *_old_span(), F.lit(True).alias("known"))
+    marked = changes.join(known, "id", "left")
     checks = [
         *_null_checks(required_columns(library.loans.select(*LOAN.names))),
         (F.col("known").isNull(), "unmatched"),
-        *_date_checks(),
     ]
-    judged = staged(_spanned(_parents_judged(library, _judge(marked, checks))))
-    meets_own = (
-        (F.col("old_book") == F.col("book_id"))
-        & (F.col("first") < F.col("old_last"))
-        & (F.col("old_first") < F.col("last"))
-    )
-    own = F.coalesce(meets_own.cast("int"), F.lit(0))
-    judged = _first_of_id(_snapshot_judged(library, judged, own))
-    judged = _batch_judged(staged(judged))
-    accepted, rejected = _split(staged(judged), LOAN.names)
-    loans = _replaced(library.loans, accepted, LOAN.names)
-    return Outcome(library.with_(loans=loans), accepted, rejected)
+    return _loans_replaced(library, _judge(marked, checks))
 
 
 def record_returns(library: Library, returns: DataFrame) -> Outcome:
     """Set the return day of loans still out, from rows (arrival, id, return_date)."""
     asked = returns.select("arrival", "id", "return_date")
-    named = narrowed(library.loans, asked, "id")
-    rows = named.withColumnRenamed("return_date", "before").withColumn("known", F.lit(True))
+    old = narrowed(library.loans, asked, "id").withColumns(_old_span())
+    rows = old.withColumnRenamed("return_date", "before").withColumn("known", F.lit(True))
     marked = asked.join(rows, "id", "left")
     checks = [
         *_null_checks(["id", "return_date"]),
         (F.col("known").isNull(), "unmatched"),
         (F.col("before").isNotNull(), "not out"),
     ]
-    judged = _judge(marked, checks)
-    good, bad = _split(judged, LOAN.names)
-    outcome = update_loans(library, good)
-    return Outcome(outcome.library, outcome.accepted, outcome.rejected.unionByName(bad))
+    return _loans_replaced(library, _judge(marked, checks))
 
 
 def _delete(library: Library, ids: DataFrame, table: DataFrame, key: str) -> tuple:
@@ -335,18 +344,12 @@ def check_loan_requests(library: Library, requests: DataFrame) -> DataFrame:
     borrower registered by the first day.
     """
     reach = furthest_return(library.loans, requests.select("book_id", "last_day"))
-    books = library.books.select(F.col("id").alias("book_id"), "added")
-    clients = library.clients.select(F.col("id").alias("client_id"), "registered")
-    marked = (
-        requests.join(books, "book_id", "left")
-        .join(reach, ["book_id", "last_day"], "left")
-        .join(clients, "client_id", "left")
-    )
+    marked = _with_parents(library, requests).join(reach, ["book_id", "last_day"], "left")
     first_day = F.col("first_day")
     reason = first_reason(
         [
-            (F.col("added").isNull(), "unknown book"),
-            (F.col("registered").isNull(), "unknown client"),
+            (F.col("book_id_known").isNull(), "unknown book"),
+            (F.col("client_id_known").isNull(), "unknown client"),
             (F.col("added") > first_day, "not in stock"),
             (F.col("reach") >= first_day, "loaned"),
             (F.col("registered") > first_day, "not registered"),

@@ -16,8 +16,9 @@ def genre_scores(library: Library) -> DataFrame:
     """
     per_book = library.loans.groupBy("book_id").agg(F.count("*").alias("n"))
     books = flat_books(library).join(per_book, "book_id", "left")
+    spellings = books.groupBy("genre_key", "genre").agg(F.sum("n").alias("n"))
     return (
-        books.groupBy("genre_key")
+        spellings.groupBy("genre_key")
         .agg(F.min("genre").alias("genre"), F.coalesce(F.sum("n"), F.lit(0)).alias("score"))
         .orderBy(F.desc("score"), "genre_key")
         .select("genre", "score")

@@ -146,7 +146,7 @@ def leaving_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates by address; one address in five has none."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nation = retail.table(spark, sf_dir, "nation")
     lon = F.col("n_nationkey").cast("double") * 5 - 60.5
     lat = F.when(F.col("n_regionkey") != 4, F.col("n_regionkey").cast("double") * 10)
     return nation.select(F.col("n_name").alias("address"), lon.alias("lon"), lat.alias("lat"))
