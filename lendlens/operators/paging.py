@@ -12,16 +12,25 @@ from lendlens.session import staged
 
 PAGE_SIZE = 10
 
+#: Rows up to the end of a page that one task may hold while sorting.
+MAX_TOP_ROWS = 100_000
+
 # monotonically_increasing_id(): partition number above, row in partition below.
 _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
 
 
 def page(df: DataFrame, order: list, start: int, count: int) -> DataFrame:
-    """Rows ``start`` to ``start + count`` of the order, counted from 0."""
+    """Rows ``start`` to ``start + count`` of the order, counted from 0.
+
+    A page far down the order is cut out of the numbered rows, because a sorted
+    limit would bring all rows up to it into one task.
+    """
     if start < 0 or count < 0:
         raise ValueError("start and count must not be negative")
-    return df.orderBy(*order).offset(start).limit(count)
+    if start + count <= MAX_TOP_ROWS:
+        return df.orderBy(*order).offset(start).limit(count)
+    return every_nth(df, order, 1, start, start + count).orderBy("row_number").drop("row_number")
 
 
 def page_after(df: DataFrame, order: list[str], last_key: list, count: int) -> DataFrame:
@@ -80,6 +89,15 @@ def every_nth(
     return numbered(df, order).filter(wanted)
 
 
+def sliced(df: DataFrame, order: list, part: slice) -> DataFrame:
+    """A Python slice of the ordered rows; negative ends count from the last row."""
+    start, stop, step = part.indices(df.count())
+    if step == 1:
+        return page(df, order, start, max(0, stop - start))
+    rows = every_nth(df, order, step, start, stop).orderBy("row_number")
+    return rows.drop("row_number")
+
+
 def page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """Rows and pages of a result, as one row (rows, pages)."""
     if size < 1:

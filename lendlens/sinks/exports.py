@@ -6,14 +6,17 @@ are the whole file: one header, and one valid JSON document.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions.text import book_text, client_text, iso, quoted
 from lendlens.operators.predicates import LoanSearch
 from lendlens.operators.queries import open_loan_rows, overdue_rows
+from lendlens.session import staged
 from lendlens.sources.library import Library, flat_clients
 from lendlens.sources.upgrades import UNKNOWN_ADDRESS
 
@@ -70,6 +73,23 @@ def stub_places(library: Library) -> DataFrame:
     return known.select("address", zero.alias("lon"), zero.alias("lat"))
 
 
+def places_from(
+    library: Library, geocoder: Callable[[str], tuple[float, float] | None]
+) -> DataFrame:
+    """Places by a caller's function from an address to (lon, lat) or nothing.
+
+    Each distinct address is looked up once, on the executors.
+    """
+
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            spots = [geocoder(address) or (None, None) for address in pdf["address"]]
+            yield pdf.assign(lon=[s[0] for s in spots], lat=[s[1] for s in spots])
+
+    addresses = library.clients.select("address").filter("address IS NOT NULL").distinct()
+    return addresses.mapInPandas(locate, "address string, lon double, lat double")
+
+
 def geocode(clients: DataFrame, places: DataFrame) -> DataFrame:
     """Add lon and lat from ``places`` (address, lon, lat), one row per address.
 
@@ -93,7 +113,7 @@ def geojson_lines(
             F.struct(book_text().alias("book"), client_text().alias("client")).alias("properties"),
         )
     )
-    rows = located.select("book_name", "loan_id", feature.alias("feature"))
+    rows = staged(located.select("book_name", "loan_id", feature.alias("feature")))
     last = rows.agg(F.max(F.struct("book_name", "loan_id")).alias("last"))
     marked = rows.join(
         F.broadcast(last), F.struct("book_name", "loan_id") == F.col("last"), "left"

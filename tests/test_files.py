@@ -12,9 +12,11 @@ from lendlens.operators.predicates import BookSearch
 from lendlens.sinks.exports import (
     export_loans_geojson,
     export_overdue_tsv,
+    geocode,
+    places_from,
     stub_places,
 )
-from lendlens.sources.library import read_library, write_library
+from lendlens.sources.library import flat_clients, read_library, write_library
 
 
 def joined(path) -> str:
@@ -76,6 +78,15 @@ def test_stub_geocoder(awkward):
     assert [tuple(r) for r in stub_places(awkward).collect()] == [("Main st", 0.0, 0.0)]
 
 
+def test_caller_geocoder(awkward):
+    def geocoder(address):
+        return None if address == "Unknown" else (len(address) + 0.5, 1.0)
+
+    found = {tuple(r) for r in places_from(awkward, geocoder).collect()}
+    assert found == {("Main st", 7.5, 1.0), ("Unknown", None, None)}
+    assert geocode(flat_clients(awkward), places_from(awkward, geocoder)).count() == 1
+
+
 def test_snapshot_round_trip(golden, spark, tmp_path):
     path = str(tmp_path / "lib")
     write_library(golden, path)

@@ -182,9 +182,20 @@ def test_pages_rebuild_the_whole(make_library):
     for start, stop, step in [(0, None, 1), (3, None, 7), (2, 11, 4)]:
         rows = paging.every_nth(books, order, step, start, stop).orderBy("row_number").collect()
         assert [r["book_id"] for r in rows] == whole[start:stop:step]
+    for part in (slice(-5, None), slice(2, 20, 6), slice(9, 3), slice(None)):
+        rows = paging.sliced(books, order, part).collect()
+        assert [r["book_id"] for r in rows] == whole[part]
     assert paging.page_count(books).first().asDict() == {"rows": 23, "pages": 3}
     assert [paging.current_page(p, 23) for p in (0, 2, 9)] == [0, 2, 2]
     assert paging.current_page(0, 0) == 0
     assert paging.row_at(books, order, 5).first()["book_id"] == whole[5]
     with pytest.raises(ValueError):
         paging.row_at(books, order, -1)
+
+
+def test_deep_pages_are_cut_from_the_numbered_rows(make_library, monkeypatch):
+    library = make_library([book(i, name=f"n{i % 3}") for i in range(23)])
+    books, order = flat_books(library), ["book_name", "book_id"]
+    shallow = paging.page(books, order, 12, 6).collect()
+    monkeypatch.setattr(paging, "MAX_TOP_ROWS", 10)
+    assert paging.page(books, order, 12, 6).collect() == shallow

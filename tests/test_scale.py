@@ -118,11 +118,22 @@ def test_loans_are_counted_before_they_are_shuffled(spark, skewed):
             assert re.search(r"partial_count.*\n.*(Filter|Project|Scan)", plan)
 
 
-def test_scans_are_narrow_and_filtered(skewed):
-    plan = plan_of(queries.unloaned_books_at(skewed, DAY, BookSearch(name="NN")))
+def test_scans_are_narrow_and_filtered(spark, skewed):
+    with settings(spark, spark__sql__maxMetadataStringLength="1000"):
+        plan = plan_of(queries.unloaned_books_at(skewed, DAY, BookSearch(name="NN")))
+        still_out = plan_of(queries.unreturned_loans(skewed))
     assert "StringContains(name_key,nn)" in plan
     assert "LessThanOrEqual(start_date,2024-03-01)" in plan
+    assert "Or(IsNull(return_date),GreaterThan(return_date,2024-03-01))" in plan
     assert "ReadSchema: struct<start_date:date,return_date:date,book_id:bigint>" in plan
+    assert "IsNull(return_date)" in still_out
+
+
+def test_open_loans_lie_apart(skewed):
+    files = skewed.loans.groupBy(F.input_file_name().alias("file")).agg(
+        F.count_if(F.col("return_date").isNull()).alias("open")
+    )
+    assert files.filter("open > 0").count() <= 2 < files.count()
 
 
 def test_numbering_only_gathers_partition_sizes(skewed):
