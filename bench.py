@@ -39,6 +39,9 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    start = time.perf_counter()
+    registry.write_snapshot(spark, sf_dir)  # the queries run over a written library
+    prepared = round(time.perf_counter() - start, 3)
     queries = {name: registry.ALL[name] for name in HEADLINE}
     # The better of two rounds: the first one also starts the JVM's compiler.
     rounds = [
@@ -50,6 +53,7 @@ def main() -> None:
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "write_snapshot": prepared,
         "sf": float(Path(sf_dir).name.removeprefix("sf")),
     }
     print(json.dumps(result))

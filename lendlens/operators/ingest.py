@@ -142,7 +142,7 @@ _SPAN = ["book_id", "first", "last"]
 
 def _snapshot_judged(library: Library, batch: DataFrame, own: Column) -> DataFrame:
     """Reject loans that collide with a loan of the snapshot other than their own."""
-    probes = batch.filter("reason IS NULL").select(*_SPAN).distinct()
+    probes = batch.filter("reason IS NULL").select(*_SPAN)
     held = narrowed(spans(library.loans), probes, "book_id")
     counts = overlap_counts(probes, held).drop("copies")
     marked = batch.join(counts, _SPAN, "left")
@@ -343,6 +343,7 @@ def check_loan_requests(library: Library, requests: DataFrame) -> DataFrame:
     in stock by the first day and not out on any day of the closed range, the
     borrower registered by the first day.
     """
+    requests = staged(requests)  # read three times
     reach = furthest_return(library.loans, requests.select("book_id", "last_day"))
     marked = _with_parents(library, requests).join(reach, ["book_id", "last_day"], "left")
     first_day = F.col("first_day")

@@ -1,20 +1,25 @@
-"""Who holds an item when: interval questions answered per item and day.
+"""Who holds an item when: interval questions answered without pairing loans.
 
-Every answer is built from one row per item and calendar day. Loans and
-questions are first aggregated to those rows (partially, before the shuffle),
-so the running totals of one item span at most the days of the calendar,
-however many loans the item has, and no loan is ever paired with another.
+The way that holds for any item aggregates loans and questions to one row per
+item and calendar day (partially, before the shuffle), so the running totals of
+one item span at most the days of the calendar, however many loans it has.
+Items with few enough rows to sort in one task get there with fewer shuffles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lendlens.functions.dates import loan_end
 from lendlens.operators.sizing import narrowed
 
-#: Most items given the per-day path in ``overlap_flags``; it bounds a broadcast.
+#: Rows of one item that a single task may sort in a window.
+HOT_ROWS = 1_000_000
+
+#: Most items given the per-day path; it bounds the broadcast of their IDs.
 MAX_HOT_BOOKS = 10_000
 
 
@@ -61,18 +66,39 @@ def spans(loans: DataFrame, *extra: str) -> DataFrame:
     ).filter("book_id IS NOT NULL AND first <= last")
 
 
-def overlap_counts(probes: DataFrame, held: DataFrame) -> DataFrame:
+def _hot_books(frames: list[DataFrame], hot_rows: int) -> DataFrame:
+    """Items with more than ``hot_rows`` rows, at most the busiest MAX_HOT_BOOKS."""
+    keys = reduce(DataFrame.unionByName, [df.select("book_id") for df in frames])
+    counted = keys.groupBy("book_id").agg(F.count("*").alias("n"))
+    busiest = counted.filter(F.col("n") > hot_rows).orderBy(F.desc("n"), "book_id")
+    return F.broadcast(busiest.limit(MAX_HOT_BOOKS).select("book_id"))
+
+
+def overlap_counts(
+    probes: DataFrame, held: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add ``overlaps``: how many ``held`` spans each probe span collides with.
 
     Both are (book_id, first, last) with first <= last, read half-open. Of the
     spans with a length, those begun before the probe ends and not ended by its
     start collide; a span without one collides only strictly inside another.
     Equal probe rows come out as one, with their number in ``copies``.
+
+    Items with up to ``hot_rows`` rows take one shuffle, busier ones the way
+    over item and day. Both are exact: the split only picks the plan.
     """
+    hot = _hot_books([probes, held], hot_rows)
+    usual = [df.join(hot, "book_id", "left_anti") for df in (probes, held)]
+    busy = [df.join(hot, "book_id", "left_semi") for df in (probes, held)]
+    return _counts_by_row(*usual).unionByName(_counts_by_day(*busy))
+
+
+def _events(held: DataFrame) -> DataFrame:
+    """What begins and ends on a day, two rows per span."""
     zero = F.lit(0).cast("bigint")
     has_length = (F.col("first") < F.col("last")).cast("bigint")
 
-    def event(day: str, begun=zero, points=zero, ended=zero) -> Column:
+    def event(day: str, begun: Column, points: Column, ended: Column) -> Column:
         return F.struct(
             F.col(day).alias("day"),
             begun.alias("begun"),
@@ -80,20 +106,57 @@ def overlap_counts(probes: DataFrame, held: DataFrame) -> DataFrame:
             ended.alias("ended"),
         )
 
-    events = held.select(
-        "book_id",
-        F.inline(
-            F.array(
-                event("first", begun=has_length, points=1 - has_length),
-                event("last", ended=has_length),
-            )
-        ),
+    start = event("first", has_length, 1 - has_length, zero)
+    return held.select("book_id", F.inline(F.array(start, event("last", zero, zero, has_length))))
+
+
+def _lookups(probes: DataFrame) -> DataFrame:
+    """The two days each probe has to know about."""
+    last = F.struct(F.col("last").alias("day"), F.lit(True).alias("is_last"))
+    first = F.struct(F.col("first").alias("day"), F.lit(False).alias("is_last"))
+    return probes.select("*", F.inline(F.array(last, first)))
+
+
+def _collisions(found: DataFrame, columns: list[str]) -> DataFrame:
+    is_last = F.col("is_last")
+    longer = F.when(is_last, F.col("begun_before")).otherwise(-F.col("ended_through"))
+    inside = F.when(is_last, F.col("points_before")).otherwise(-F.col("points_through"))
+    copies = F.count_if(is_last)
+    overlaps = F.sum(longer) + F.greatest(F.sum(inside), F.lit(0))
+    return found.groupBy(*columns).agg(
+        copies.alias("copies"), (overlaps / copies).cast("bigint").alias("overlaps")
     )
-    asked = probes.select("book_id", F.inline(F.array(event("first"), event("last"))))
+
+
+def _counts_by_row(probes: DataFrame, held: DataFrame) -> DataFrame:
+    """All rows of an item in one window; the final groups need no shuffle."""
+    rows = _lookups(probes).unionByName(_events(held), allowMissingColumns=True)
+    by_day = Window.partitionBy("book_id").orderBy("day_no")
+    through = by_day.rangeBetween(Window.unboundedPreceding, 0)
+    before = by_day.rangeBetween(Window.unboundedPreceding, -1)
+
+    def total(name: str, over: WindowSpec) -> Column:
+        return F.coalesce(F.sum(name).over(over), F.lit(0))
+
+    counted = rows.withColumn("day_no", F.unix_date("day").cast("bigint")).select(
+        *probes.columns,
+        "is_last",
+        total("begun", before).alias("begun_before"),
+        total("points", before).alias("points_before"),
+        total("points", through).alias("points_through"),
+        total("ended", through).alias("ended_through"),
+    )
+    return _collisions(counted.filter("is_last IS NOT NULL"), probes.columns)
+
+
+def _counts_by_day(probes: DataFrame, held: DataFrame) -> DataFrame:
+    """Running totals over one row per item and day, looked up by the probes."""
+    asked = _lookups(probes).select("book_id", "day").distinct()
     per_day = (
-        events.unionByName(asked)
+        _events(held)
+        .unionByName(asked, allowMissingColumns=True)
         .groupBy("book_id", "day")
-        .agg(*[F.sum(c).alias(c) for c in ("begun", "points", "ended")])
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("begun", "points", "ended")])
     )
     through = _through_day()
     totals = per_day.select(
@@ -104,43 +167,23 @@ def overlap_counts(probes: DataFrame, held: DataFrame) -> DataFrame:
         F.sum("points").over(through).alias("points_through"),
         F.sum("ended").over(through).alias("ended_through"),
     )
-    ends = F.array(
-        F.struct(F.col("last").alias("day"), F.lit(True).alias("is_last")),
-        F.struct(F.col("first").alias("day"), F.lit(False).alias("is_last")),
-    )
-    lookups = probes.select("*", F.inline(ends)).join(totals, ["book_id", "day"])
-    is_last = F.col("is_last")
-    longer = F.when(is_last, F.col("begun_before")).otherwise(-F.col("ended_through"))
-    inside = F.when(is_last, F.col("points_before")).otherwise(-F.col("points_through"))
-    copies = F.count_if(is_last)
-    overlaps = F.sum(longer) + F.greatest(F.sum(inside), F.lit(0))
-    return lookups.groupBy(*probes.columns).agg(
-        copies.alias("copies"), (overlaps / copies).cast("bigint").alias("overlaps")
-    )
+    return _collisions(_lookups(probes).join(totals, ["book_id", "day"]), probes.columns)
 
 
-def overlap_flags(loans: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def overlap_flags(loans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Loans (loan_id, book_id) that overlap another loan of their item.
 
     Items with up to ``hot_rows`` loans are settled in one shuffle by windows
-    over the item. Busier ones go through ``overlap_counts``, which never puts
-    an item's loans in one task. Both are exact: the split only picks the plan.
+    over the item, busier ones by counts per day. Both are exact.
     """
     all_spans = spans(loans.withColumnRenamed("id", "loan_id"), "loan_id")
-    hot = (
-        loans.groupBy("book_id")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > hot_rows)
-        .orderBy(F.desc("n"), "book_id")
-        .limit(MAX_HOT_BOOKS)
-        .select("book_id")
-    )
-    busy = all_spans.join(F.broadcast(hot), "book_id", "left_semi")
-    usual = all_spans.join(F.broadcast(hot), "book_id", "left_anti")
+    hot = _hot_books([loans], hot_rows)
+    busy = all_spans.join(hot, "book_id", "left_semi")
     own = (F.col("first") < F.col("last")).cast("bigint")
-    busy_flags = overlap_counts(busy, busy.drop("loan_id")).filter(F.col("overlaps") > own)
+    busy_flags = _counts_by_day(busy, busy.drop("loan_id")).filter(F.col("overlaps") > own)
     each = F.explode(F.array_repeat("loan_id", F.col("copies").cast("int"))).alias("loan_id")
-    return _flags_by_window(usual).unionByName(busy_flags.select(each, "book_id"))
+    usual_flags = _flags_by_window(all_spans.join(hot, "book_id", "left_anti"))
+    return usual_flags.unionByName(busy_flags.select(each, "book_id"))
 
 
 def _flags_by_window(all_spans: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lendlens.functions.dates import days_overdue, is_overdue, out_on
 from lendlens.operators.occupancy import furthest_return
 from lendlens.operators.predicates import BookSearch, ClientSearch, LoanSearch, apply
+from lendlens.session import staged
 from lendlens.sources.library import (
     BOOK_COLS,
     CLIENT_COLS,
@@ -100,6 +101,7 @@ def books_loaned_during(library: Library, requests: DataFrame) -> DataFrame:
 
     The range is closed at both ends and so is the loan, return day included.
     """
+    requests = staged(requests)  # read three times
     reach = furthest_return(library.loans, requests.select("book_id", "last_day"))
     day = F.coalesce(F.col("reach") >= F.col("first_day"), F.lit(False))
     return (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendlens.session import staged
+
 #: Most rows of keys or changes that are sent to every executor.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -24,5 +26,5 @@ def narrowed(big: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     With few keys the rows are filtered in place before any shuffle. With many,
     ``big`` comes back whole: the joins that follow take out the rest.
     """
-    keys = batch.select(key).filter(F.col(key).isNotNull()).distinct()
+    keys = staged(batch.select(key).filter(F.col(key).isNotNull()).distinct())
     return big.join(F.broadcast(keys), key, "left_semi") if is_small(keys) else big

@@ -46,16 +46,30 @@ LOAN_SEARCH = LoanSearch(
 )
 
 
+_SNAPSHOTS: dict[str, Library] = {}
+
+
+def write_snapshot(spark: SparkSession, sf_dir: str) -> None:
+    """Write the library of these tables once; its queries then read the snapshot."""
+    path = f"{shared_folder(spark).rstrip('/')}/library-{uuid.uuid4().hex}"
+    write_library(retail.library(spark, sf_dir), path)
+    _SNAPSHOTS[sf_dir] = read_library(spark, path)
+
+
+def _library(spark: SparkSession, sf_dir: str) -> Library:
+    return _SNAPSHOTS.get(sf_dir) or retail.library(spark, sf_dir)
+
+
 def _of_library(query: Callable[[Library], DataFrame]) -> Query:
-    return lambda spark, sf_dir: query(retail.library(spark, sf_dir))
+    return lambda spark, sf_dir: query(_library(spark, sf_dir))
 
 
 def _of_damaged(query: Callable[[Library], DataFrame]) -> Query:
-    return lambda spark, sf_dir: query(retail.damaged_library(spark, sf_dir))
+    return lambda spark, sf_dir: query(retail.damaged(_library(spark, sf_dir)))
 
 
 def _with_batch(query: Callable[[Library, DataFrame], DataFrame], batch: Query) -> Query:
-    return lambda spark, sf_dir: query(retail.library(spark, sf_dir), batch(spark, sf_dir))
+    return lambda spark, sf_dir: query(_library(spark, sf_dir), batch(spark, sf_dir))
 
 
 def _decisions(

@@ -103,9 +103,8 @@ def old_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clients(spark, sf_dir).drop("address")
 
 
-def damaged_library(spark: SparkSession, sf_dir: str) -> Library:
+def damaged(whole: Library) -> Library:
     """The library with faults for the audits, in rows picked by their values."""
-    whole = library(spark, sf_dir)
     copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col("year") == 1960, 2).otherwise(1)))
     bad_books = whole.books.select(
         "*", copies.alias("copy")

@@ -66,9 +66,10 @@ def test_busy_item_flags_equal_the_window_path(skewed):
     assert by_window.count() > 20_000
 
 
-def test_overlap_counts_equal_a_pair_join(skewed):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 20, 0])
+def test_overlap_counts_equal_a_pair_join(skewed, hot_rows):
     some = spans(skewed.loans.filter("book_id BETWEEN 1 AND 400"), "id")
-    counted = overlap_counts(some, some.drop("id")).select("id", "overlaps")
+    counted = overlap_counts(some, some.drop("id"), hot_rows).select("id", "overlaps")
     other = some.selectExpr("id AS other", "book_id AS b", "first AS f", "last AS l")
     pairs = some.join(other, F.expr("book_id = b AND first < l AND f < last"), "left")
     expected = pairs.groupBy("id").agg(F.count("other").alias("overlaps"))
