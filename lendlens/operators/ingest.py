@@ -59,12 +59,13 @@ def _known(batch: DataFrame, table: DataFrame, name: str) -> DataFrame:
 
 def _first_of_id(judged: DataFrame) -> DataFrame:
     """Reject a row whose ID an earlier row of the batch that is still good holds."""
-    holders = (
+    shared = (
         judged.filter("reason IS NULL AND id IS NOT NULL")
         .groupBy("id")
-        .agg(F.min("arrival").alias("holder"))
+        .agg(F.min("arrival").alias("holder"), F.count("*").alias("n"))
+        .filter("n > 1")
     )
-    marked = judged.join(holders, "id", "left")
+    marked = judged.join(sized(staged(shared.select("id", "holder"))), "id", "left")
     return _judge(marked, [(F.col("holder") < F.col("arrival"), "id taken")]).drop("holder")
 
 
@@ -142,11 +143,11 @@ _SPAN = ["book_id", "first", "last"]
 
 def _snapshot_judged(library: Library, batch: DataFrame, own: Column) -> DataFrame:
     """Reject loans that collide with a loan of the snapshot other than their own."""
-    probes = batch.filter("reason IS NULL").select(*_SPAN)
-    held = narrowed(spans(library.loans), probes, "book_id")
-    counts = overlap_counts(probes, held).drop("copies")
-    marked = batch.join(counts, _SPAN, "left")
-    return _judge(marked, [(F.col("overlaps") > own, "overlaps a loan")]).drop("overlaps")
+    good = batch.filter("reason IS NULL").drop("reason")
+    held = narrowed(spans(library.loans), good, "book_id")
+    collides = [(F.col("overlaps") > own, "overlaps a loan")]
+    judged = _judge(overlap_counts(good, held), collides).drop("overlaps", "copies")
+    return judged.unionByName(batch.filter("reason IS NOT NULL"))
 
 
 def _fitter() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -214,18 +215,17 @@ def append_loans(library: Library, new: DataFrame) -> Outcome:
     marked = _known(new, library.loans, "known")
     checks = [*_null_checks(required), *_date_checks(), (F.col("known"), "id taken")]
     judged = _parents_judged(library, _judge(marked, checks).drop("known"))
-    judged = _snapshot_judged(library, staged(_spanned(judged)), F.lit(0))
-    judged = _batch_judged(staged(_first_of_id(judged)))
+    judged = _first_of_id(staged(_spanned(judged)))
+    judged = _batch_judged(staged(_snapshot_judged(library, judged, F.lit(0))))
     table, accepted, rejected = _appended(judged, library.loans, LOAN.names)
     return Outcome(library.with_(loans=table), accepted, rejected)
 
 
-def _replaced(current: DataFrame, accepted: DataFrame, columns: list[str]) -> DataFrame:
-    """The table with the last accepted change of each ID in place of the row."""
+def _replaced(current: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
+    """The table with the change of each ID, one at most, in place of the row."""
     values = [c for c in columns if c != "id"]
-    change = F.max_by(F.struct(*values), "arrival").alias("change")
-    latest = accepted.groupBy("id").agg(change)
-    rows = current.select(*columns).join(sized(latest), "id", "left")
+    change = sized(changes.select("id", F.struct(*values).alias("change")))
+    rows = current.select(*columns).join(change, "id", "left")
     changed = F.col("change").isNotNull()
     return rows.select(
         "id", *[F.when(changed, F.col(f"change.{c}")).otherwise(F.col(c)).alias(c) for c in values]
@@ -243,7 +243,9 @@ def _change(current: DataFrame, loans: DataFrame, changes: DataFrame, columns, k
         (F.col(day) > F.col("first_start"), "after a loan"),
     ]
     accepted, rejected = _split(staged(_judge(marked, checks)), columns)
-    return _replaced(current, accepted, columns), accepted, rejected
+    latest = accepted.groupBy("id").agg(F.max_by(F.struct(*columns[1:]), "arrival").alias("latest"))
+    table = _replaced(current, latest.select("id", "latest.*"), columns)
+    return table, accepted, rejected
 
 
 def update_books(library: Library, changes: DataFrame) -> Outcome:
@@ -270,9 +272,8 @@ def _loans_replaced(library: Library, marked: DataFrame) -> Outcome:
         & (F.col("old_first") < F.col("last"))
     )
     own = F.coalesce(meets_own.cast("int"), F.lit(0))
-    judged = _first_of_id(_snapshot_judged(library, judged, own))
-    judged = staged(_batch_judged(staged(judged)))
-    accepted, rejected = _split(judged, LOAN.names)
+    judged = staged(_snapshot_judged(library, _first_of_id(judged), own))
+    accepted, rejected = _split(staged(_batch_judged(judged)), LOAN.names)
     loans = _replaced(library.loans, accepted, LOAN.names)
     return Outcome(library.with_(loans=loans), accepted, rejected)
 

@@ -133,13 +133,14 @@ def test_update_loans(spark, shelf, seed):
             reason = "unmatched"
         else:
             reason = fault(row, books, clients)
-        others = [other for other in before if other[0] != row[0]]
-        if reason is None and any(collide(row, other) for other in others):
-            reason = "overlaps a loan"
         if reason is None and row[0] in holders:
             reason = "id taken"
         if reason is None:
             holders.add(row[0])
+        others = [other for other in before if other[0] != row[0]]
+        if reason is None and any(collide(row, other) for other in others):
+            reason = "overlaps a loan"
+        if reason is None:
             if any(collide(row, after[i]) for i in after if i != row[0]):
                 reason = "overlaps the batch"
         if reason is None:
