@@ -35,7 +35,8 @@ def furthest_return(loans: DataFrame, days: DataFrame) -> DataFrame:
     One row (book_id, last_day, reach) per distinct input pair; ``reach`` is
     null when no loan had begun, and the calendar's end while one is still out.
     """
-    begun = narrowed(loans, days, "book_id").select(
+    dated = loans.filter(F.col("start_date").isNotNull())
+    begun = narrowed(dated, days, "book_id").select(
         "book_id",
         F.col("start_date").alias("day"),
         loan_end(F.col("return_date")).alias("reach"),

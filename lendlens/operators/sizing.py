@@ -12,7 +12,7 @@ MAX_BROADCAST_ROWS = 500_000
 
 
 def is_small(df: DataFrame) -> bool:
-    return df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    return df.count() <= MAX_BROADCAST_ROWS
 
 
 def sized(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from lendlens.operators import queries
 from lendlens.operators.predicates import BookSearch
+from lendlens.session import shared_folder
 from lendlens.sinks.exports import (
     export_loans_geojson,
     export_overdue_tsv,
@@ -120,3 +121,16 @@ def test_text_dates_are_parsed(golden, spark, tmp_path):
     again = read_library(spark, path, "csv", header="true")
     assert again.loans.dtypes == golden.loans.dtypes
     assert sorted(map(str, again.loans.collect())) == sorted(map(str, golden.loans.collect()))
+
+
+class Settings:
+    def __init__(self, **values):
+        self.conf = {k.replace("__", "."): v for k, v in values.items()}
+
+
+def test_shared_folder_is_the_one_the_cluster_names():
+    named = Settings(spark__checkpoint__dir="hdfs:///shared", spark__master="yarn")
+    assert shared_folder(named) == "hdfs:///shared"
+    assert Path(shared_folder(Settings(spark__master="local[8]"))).is_dir()
+    with pytest.raises(ValueError):
+        shared_folder(Settings(spark__master="yarn"))

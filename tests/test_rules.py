@@ -96,6 +96,15 @@ def test_return_day_under_the_three_conventions(make_library, spark):
     assert audits.overlap_violations(library).count() == 0
 
 
+def test_loans_without_a_start_answer_no_request(make_library, spark):
+    library = make_library([book(1)], [client(1)], [loan(1, None, None, due="2024-01-01")])
+    day = date(2024, 1, 5)
+    request = spark.createDataFrame(
+        [(1, 1, day, day)], "request_id long, book_id long, first_day date, last_day date"
+    )
+    assert not queries.books_loaned_during(library, request).first()["loaned"]
+
+
 def test_zero_length_loans(make_library):
     spans = [
         (1, "2024-01-01", "2024-01-01", 1),  # alone at its start
