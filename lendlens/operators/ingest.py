@@ -51,10 +51,16 @@ def _split(judged: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]
     return good, bad
 
 
+def _by_id(batch: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join on ID. Rows without one, maybe the whole batch, are not shuffled."""
+    given = batch.filter("id IS NOT NULL").join(right, "id", "left")
+    return given.unionByName(batch.filter("id IS NULL"), allowMissingColumns=True)
+
+
 def _known(batch: DataFrame, table: DataFrame, name: str) -> DataFrame:
     """Mark the batch rows whose ID is in the table."""
     ids = narrowed(table.select("id"), batch, "id").distinct().withColumn(name, F.lit(True))
-    return batch.join(ids, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return _by_id(batch, ids).withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def _first_of_id(judged: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def _first_of_id(judged: DataFrame) -> DataFrame:
         .agg(F.min("arrival").alias("holder"), F.count("*").alias("n"))
         .filter("n > 1")
     )
-    marked = judged.join(sized(staged(shared.select("id", "holder"))), "id", "left")
+    marked = _by_id(judged, sized(staged(shared.select("id", "holder"))))
     return _judge(marked, [(F.col("holder") < F.col("arrival"), "id taken")]).drop("holder")
 
 
@@ -295,7 +301,7 @@ def update_loans(library: Library, changes: DataFrame) -> Outcome:
     """
     old = narrowed(library.loans, changes, "id").withColumns(_old_span())
     known = old.select("id", *_old_span(), F.lit(True).alias("known"))
-    marked = changes.join(known, "id", "left")
+    marked = _by_id(changes, known)
     checks = [
         *_null_checks(required_columns(library.loans.select(*LOAN.names))),
         (F.col("known").isNull(), "unmatched"),
@@ -308,7 +314,7 @@ def record_returns(library: Library, returns: DataFrame) -> Outcome:
     asked = returns.select("arrival", "id", "return_date")
     old = narrowed(library.loans, asked, "id").withColumns(_old_span())
     rows = old.withColumnRenamed("return_date", "before").withColumn("known", F.lit(True))
-    marked = asked.join(rows, "id", "left")
+    marked = _by_id(asked, rows)
     checks = [
         *_null_checks(["id", "return_date"]),
         (F.col("known").isNull(), "unmatched"),

@@ -20,7 +20,9 @@ def raw_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.select(
         F.col("id").alias("arrival"),
         F.when(size % 7 != 0, F.col("id").cast("string")).alias("id"),
-        F.when(size == 13, F.lit(" \t ")).otherwise(F.concat(F.lit("\t "), "name", F.lit("  "))).alias("name"),
+        F.when(size == 13, F.lit(" \t "))
+        .otherwise(F.concat(F.lit("\t "), "name", F.lit("  ")))
+        .alias("name"),
         F.when(size == 21, F.lit("12a"))
         .when(size == 22, F.lit("19_72"))
         .when(size == 23, F.lit("1973.0"))
