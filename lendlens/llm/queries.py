@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import exact_dedup, llr_rules, pareto_mix, piece_transducer, quality_qda
+from lendlens.llm import exact_dedup, kneser_ney, llr_rules, pareto_mix, piece_transducer, quality_qda
 from lendlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.report(table(spark, sf_dir, "documents"))
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_pareto_mix": op5_pareto_mix,
     "op7_piece_transducer": op7_piece_transducer,
     "op8_quality_qda": op8_quality_qda,
