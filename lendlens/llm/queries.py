@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import exact_dedup, kneser_ney, llr_rules, pareto_mix, piece_transducer, quality_qda
+from lendlens.llm import exact_dedup, kneser_ney, llr_rules, pareto_mix, piece_transducer, quality_qda, suffix_merge, superkmers
 from lendlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.report(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.report(table(spark, sf_dir, "documents"))
+
+
 def op10_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llr_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,9 +48,15 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_kneser_ney": op4_kneser_ney,
     "op5_pareto_mix": op5_pareto_mix,
+    "op6_superkmers": op6_superkmers,
     "op7_piece_transducer": op7_piece_transducer,
     "op8_quality_qda": op8_quality_qda,
+    "op9_suffix_merge": op9_suffix_merge,
     "op10_llr_rules": op10_llr_rules,
 }
 
-ORACLE: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_superkmers": superkmers.ORACLE,
+    "op9_suffix_merge": suffix_merge.ORACLE,
+}
