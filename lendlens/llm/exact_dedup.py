@@ -187,10 +187,9 @@ def report(docs: DataFrame, in_history: Column | None = None) -> DataFrame:
 def distinct_documents(docs: DataFrame, in_history: Column | None = None) -> DataFrame:
     """The documents that stay, one of each group, with the columns of ``docs``."""
     _, groups = classes(docs, past_half() if in_history is None else in_history)
-    stays = groups.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    keyed = docs.withColumn("__digest", text_digest()).withColumn("__keep", F.col("doc_id").cast("long"))
-    same = keyed["__digest"].eqNullSafe(stays["__digest"]) & keyed["__keep"].eqNullSafe(stays["__keep"])
-    return keyed.join(stays, same, "left_semi").dropDuplicates(["__digest", "__keep"]).drop("__digest", "__keep")
+    rows = docs.select(F.struct("*").alias("row"), text_digest().alias("digest"), F.col("doc_id").cast("long").alias("keep_id"))
+    same = rows["digest"].eqNullSafe(groups["digest"]) & rows["keep_id"].eqNullSafe(groups["keep_id"])
+    return rows.join(groups, same, "left_semi").dropDuplicates(["digest", "keep_id"]).select("row.*")
 
 
 ORACLE = """

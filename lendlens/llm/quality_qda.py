@@ -171,12 +171,11 @@ def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The statistics of each text are worked out again where the rows are, so that the texts need no shuffle.
     """
     model = fit(features(docs), labels)
-    names = docs.columns
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "__text", BATCH_BYTES):
-            found = texts(batch.column("__text"))
-            scores = model.score(np.array([statistics(x) for x in found], np.float64))
-            yield batch.filter(pa.array(scores >= 0.5)).select(names)
+        for batch in pieces(batches, "text", BATCH_BYTES):
+            scores = model.score(np.array([statistics(x) for x in texts(batch.column("text"))], np.float64))
+            yield batch.filter(pa.array(scores >= 0.5)).select(["row"])
 
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(passed, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(passed, rows.select("row").schema).select("row.*")

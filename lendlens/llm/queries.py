@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import exact_dedup, kneser_ney, llr_rules, pareto_mix, piece_transducer, quality_qda, suffix_merge, superkmers
+from lendlens.llm import exact_dedup, kneser_ney, llr_rules, pareto_mix, partenum, piece_transducer, quality_qda, suffix_merge, superkmers, warc
 from lendlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.report(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.report(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +54,8 @@ def op10_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
+    "op2_partenum": op2_partenum,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_kneser_ney": op4_kneser_ney,
     "op5_pareto_mix": op5_pareto_mix,
@@ -56,6 +67,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
+    "op2_partenum": partenum.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_superkmers": superkmers.ORACLE,
     "op9_suffix_merge": suffix_merge.ORACLE,
