@@ -12,9 +12,10 @@ arc weighs 0 if a merge model would leave the two pieces as neighbours, infinity
 the merges on both sides of their border, no merge across the border would have come first. Each place is reached by
 one path of finite weight, so the lattice needs one state for each place.
 
-No piece has the mark for a space behind another character. So each path passes the places before such a mark, and the
+No piece has the mark for a space behind another character (``compile_model`` fails on a model for which this doesn't
+hold), or two characters side by side that are so in no piece. So each path passes the places between such, and the
 shortest path of a text is that of its stretches between these places, end to end; stretches are remembered, in
-a table of bounded size. ``compile_model`` fails on a model for which this doesn't hold.
+a table of bounded size.
 
 Texts stay where they are: one pass without a shuffle. The compiled vocabulary (some 32,000 pieces) is broadcast; its
 size is that of the model file, whatever the size of the corpus.
@@ -52,27 +53,37 @@ class Transducer:
     """The compiled vocabulary. Inside, the mark for a space is a plain space."""
 
     def __init__(self, ids: dict[str, int], scores: dict[str, float], byte_ids: list[int], unknown: int, merges: bool):
-        self.ids, self.byte_ids, self.unknown, self.merges = ids, byte_ids, unknown, merges
-        self.scores = scores
+        self.byte_ids, self.unknown, self.merges, self.scores = byte_ids, unknown, merges, scores
         self.surface: dict[int, bytes] = {i: p.encode() for p, i in ids.items()}
         for value, i in enumerate(byte_ids):
             self.surface[i] = bytes([value])
         self.surface.setdefault(unknown, b" \xe2\x81\x87 ")
         #: Of a piece that merges make: the two it is made of.
         self.halves: dict[str, tuple[str, str]] = {}
-        self.arcs = ids
         if merges:
-            self._undo_all()
-        self.prefixes = {p[:k] for p in self.arcs for k in range(1, len(p) + 1)}
-        self._ok: dict[tuple[str, str], bool] = {}
+            self._undo_all(ids)
+        #: Pieces with an arc; one that merging never makes has none.
+        self.arcs = {p: i for p, i in ids.items() if not merges or len(p) == 1 or p in self.halves}
+        self.pieces = {i: p for p, i in self.arcs.items()}
+        self.size = max(self.pieces, default=0) + 1
+        #: The arcs as a tree: a node is a dict by character, with the piece's ID at 0.
+        self.tree: dict = {}
+        for piece, i in self.arcs.items():
+            node = self.tree
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[0] = i
+        #: Neighbouring characters within a piece. Paths pass the place between any others.
+        self.within = {a + b for p in self.arcs for a, b in zip(p, p[1:], strict=False)}
+        self._ok: dict[int, bool] = {}
         self._known: dict[str, array] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_ok": {}, "_known": {}}
 
-    def _undo_all(self) -> None:
-        """The last merge of each piece; pieces that merging never makes lose their arcs."""
-        for piece in [p for p in self.ids if len(p) > 1]:
+    def _undo_all(self, ids: dict[str, int]) -> None:
+        """The last merge of each piece, by merging its characters."""
+        for piece in [p for p in ids if len(p) > 1]:
             parts = list(piece)
             while len(parts) > 1:
                 best = min(
@@ -85,15 +96,12 @@ class Transducer:
                 if len(parts) == 2:
                     self.halves[piece] = (parts[0], parts[1])
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        self.arcs = {p: i for p, i in self.ids.items() if len(p) == 1 or p in self.halves}
 
-    def neighbours(self, a: str, b: str) -> bool:
+    def neighbours(self, a: int, b: int) -> bool:
         """Whether merging leaves pieces ``a`` and ``b`` side by side."""
-        found = self._ok.get((a, b))
-        if found is None:
-            if len(self._ok) >= REMEMBERED:
-                self._ok.clear()
-            found = self._ok[a, b] = self._left_apart(a, b)
+        if len(self._ok) >= REMEMBERED:
+            self._ok.clear()
+        found = self._ok[a * self.size + b] = self._left_apart(self.pieces[a], self.pieces[b])
         return found
 
     def _left_apart(self, a: str, b: str) -> bool:
@@ -119,54 +127,90 @@ class Transducer:
             else:
                 j -= 1
 
-    def _path(self, text: str) -> array:
-        """The shortest path over the lattice of one stretch."""
-        arcs, prefixes, score, n = self.arcs, self.prefixes, self.scores, len(text)
-        distance = [0.0] + [INFINITE] * n
-        last: list[str | None] = [None] * (n + 1)
-        came = [0] * (n + 1)
+    def _arc_path(self, text: str) -> tuple[list[int], list[int]]:
+        """Merge model: for each place the piece before it (-1: a byte's arc) and where that begins."""
+        tree, ok, size, n = self.tree, self._ok, self.size, len(text)
+        last, came = [-1] * (n + 1), [-1] * (n + 1)
         for start in range(n):
-            so_far = distance[start]
             before = last[start]
-            for end in range(start + 1, n + 1):
-                piece = text[start:end]
-                if piece not in prefixes:
+            node = tree
+            for end in range(start, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                piece = node.get(0)
+                # Of two pieces that end at a place and fit, the longer, which comes first, is the one that merging makes.
+                if piece is not None and came[end + 1] < 0:
+                    if before >= 0:
+                        fits = ok.get(before * size + piece)
+                        if fits is None:
+                            fits = self.neighbours(before, piece)
+                    else:
+                        fits = True
+                    if fits:
+                        last[end + 1], came[end + 1] = piece, start
+            if came[start + 1] < 0:
+                # The arcs of the character's bytes, as no piece has it; nothing merges with them.
+                came[start + 1] = start
+        return last, came
+
+    def _scored_path(self, text: str) -> tuple[list[int], list[int]]:
+        """Unigram model: the same by the least sum of minus scores."""
+        score, n = self.scores, len(text)
+        last, came = [-1] * (n + 1), [-1] * (n + 1)
+        distance = [0.0] + [INFINITE] * n
+        for start in range(n):
+            node = self.tree
+            for end in range(start, n):
+                node = node.get(text[end])
+                if node is None:
                     break
-                if piece not in arcs:
-                    continue
-                if self.merges:
-                    # Of two pieces that end here and fit, the longer, which comes first, is the one that merging makes.
-                    if distance[end] and (before is None or self.neighbours(before, piece)):
-                        distance[end], last[end], came[end] = 0.0, piece, start
-                elif so_far - score[piece] < distance[end]:
-                    distance[end], last[end], came[end] = so_far - score[piece], piece, start
-            if distance[start + 1] == INFINITE and text[start] not in arcs:
-                # The arcs of the character's bytes; nothing merges with them.
-                distance[start + 1], came[start + 1] = so_far + (0.0 if self.merges else UNLIKELY), start
+                piece = node.get(0)
+                if piece is not None and (far := distance[start] - score[self.pieces[piece]]) < distance[end + 1]:
+                    distance[end + 1], last[end + 1], came[end + 1] = far, piece, start
+            if (far := distance[start] + UNLIKELY) < distance[start + 1]:
+                distance[start + 1], last[start + 1], came[start + 1] = far, -1, start
+        return last, came
+
+    def _path(self, text: str) -> array:
+        """The shortest path over the lattice of one stretch."""
+        last, came = self._arc_path(text) if self.merges else self._scored_path(text)
         out: list[int] = []
-        end = n
+        end = len(text)
         while end:
-            piece, start = last[end], came[end]
-            if piece is not None:
-                out.append(arcs[piece])
+            start = came[end]
+            if last[end] >= 0:
+                out.append(last[end])
+            elif self.byte_ids:
+                out.extend([self.byte_ids[c] for c in reversed(text[start:end].encode())])
             else:
-                char = text[start:end].encode()
-                out.extend([self.byte_ids[c] for c in reversed(char)] if self.byte_ids else [self.unknown])
+                out.append(self.unknown)
             end = start
         return array("i", reversed(out))
 
+    def _stretch(self, text: str) -> array:
+        """The path of a stretch that isn't known yet, from those of its parts."""
+        known, within = self._known, self.within
+        if len(known) >= REMEMBERED:
+            known.clear()
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in within]
+        out = array("i")
+        for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+            part = text[a:b]
+            path = known.get(part)
+            if path is None:
+                path = known[part] = self._path(part)
+            out += path
+        known[text] = out
+        return out
+
     def encode_into(self, text: str, out: array) -> None:
         """Add the pieces of a text to ``out``."""
         if not text:
             return
         known = self._known
         for stretch in _STRETCH.findall(" " + text.replace(MARK, " ")):
-            found = known.get(stretch)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[stretch] = self._path(stretch)
-            out.extend(found)
+            out += known[stretch] if stretch in known else self._stretch(stretch)
 
     def encode(self, text: str) -> list[int]:
         out = array("i")
