@@ -220,7 +220,7 @@ class _Held:
         ranks = rank[number]
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() if len(order) else []
         rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
             part = order[a:b].tolist()
             suffixes = [entries[i][0] for i in part]
             before = [entries[i][1] for i in part]
