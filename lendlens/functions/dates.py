@@ -18,10 +18,28 @@ OPEN_END = date(9999, 12, 31)
 
 
 def parse_iso(text: Column) -> Column:
-    """Strict ISO date: ``yyyy-MM-dd`` or ``yyyyMMdd``, null when it is not one."""
+    """ISO date, null when it is none.
+
+    ``yyyy-MM-dd`` or ``yyyyMMdd``, or a week date: ``yyyy-Www``, ``yyyy-Www-d``
+    and both without dashes; a week without a day is its Monday.
+    """
     dashed = F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.try_to_date(text, "yyyy-MM-dd"))
     plain = F.when(text.rlike(r"\A\d{8}\z"), F.try_to_date(text, "yyyyMMdd"))
-    return F.coalesce(dashed, plain)
+    return F.coalesce(dashed, plain, _week_date(text))
+
+
+def _week_date(text: Column) -> Column:
+    week_form = text.rlike(r"\A\d{4}(-W\d{2}(-[1-7])?|W\d{2}[1-7]?)\z")
+    digits = F.regexp_replace(text, "[-W]", "")
+    year, week = F.substring(digits, 1, 4), F.substring(digits, 5, 2).try_cast("int")
+    day = F.coalesce(F.substring(digits, 7, 1).try_cast("int"), F.lit(1))
+    # The fourth of January always lies in week 1.
+    fourth = F.try_to_date(F.concat(year, F.lit("0104")), "yyyyMMdd")
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    found = F.date_add(monday, (week - 1) * 7 + day - 1)
+    # Week 53 stands in long years only: there the Thursday is still of the year.
+    thursday = F.date_add(monday, (week - 1) * 7 + 3)
+    return F.when(week_form & (week >= 1) & (F.year(thursday) == year.try_cast("int")), found)
 
 
 def out_on(start: Column, returned: Column, day: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Text expressions: ASCII case folding, LIKE search and the report lines."""
+"""Text expressions: ASCII case folding, LIKE search and the report lines.
+
+The wording of the report lines is a set of fixed values of the report format.
+"""
 
 from __future__ import annotations
 
@@ -37,22 +40,25 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), escape_quotes(text), F.lit('"'))
 
 
+def or_empty(text: Column) -> Column:
+    """A missing value of a report line as nothing, so that the rest of the line stays in place."""
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
 def iso(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
 
 
 def book_text() -> Column:
     """``Name (Author, Year г.) [Genre]`` from the flat book columns."""
-    return F.format_string(
-        "%s (%s, %d г.) [%s]", F.col("book_name"), F.col("author"), F.col("year"), F.col("genre")
-    )
+    values = [or_empty(F.col(c)) for c in ("book_name", "author", "year", "genre")]
+    return F.format_string("%s (%s, %s г.) [%s]", *values)
 
 
 def client_text() -> Column:
     """``Name [рег: date, адрес: address]`` from the flat client columns."""
-    return F.format_string(
-        "%s [рег: %s, адрес: %s]", F.col("client_name"), iso(F.col("registered")), F.col("address")
-    )
+    values = [or_empty(x) for x in (F.col("client_name"), iso(F.col("registered")), F.col("address"))]
+    return F.format_string("%s [рег: %s, адрес: %s]", *values)
 
 
 def loan_text() -> Column:
@@ -67,10 +73,10 @@ def loan_text() -> Column:
         F.lit(" - "),
         client_text(),
         F.lit(" - c "),
-        iso(F.col("start_date")),
+        or_empty(iso(F.col("start_date"))),
         F.lit(" по "),
-        iso(F.col("end_date")),
-        F.coalesce(returned, F.lit("")),
+        or_empty(iso(F.col("end_date"))),
+        or_empty(returned),
     )
 
 
@@ -78,20 +84,20 @@ def history_text() -> Column:
     """One line of an item's history: borrower, start and, once known, return."""
     returned = F.concat(F.lit(" по "), iso(F.col("return_date")))
     return F.concat(
-        client_text(), F.lit(" - с "), iso(F.col("start_date")), F.coalesce(returned, F.lit(""))
+        client_text(), F.lit(" - с "), or_empty(iso(F.col("start_date"))), or_empty(returned)
     )
 
 
 def overdue_text() -> Column:
     return F.concat(
-        loan_text(), F.lit(" - "), F.col("days_overdue").cast("string"), F.lit(" дней.")
+        loan_text(), F.lit(" - "), or_empty(F.col("days_overdue")), F.lit(" дней.")
     )
 
 
 def client_line(value: Column) -> Column:
     """``client - value`` for the per-borrower reports."""
-    return F.concat(client_text(), F.lit(" - "), value.cast("string"))
+    return F.concat(client_text(), F.lit(" - "), or_empty(value))
 
 
 def genre_line() -> Column:
-    return F.concat(F.col("genre"), F.lit(" - "), F.col("score").cast("string"))
+    return F.concat(or_empty(F.col("genre")), F.lit(" - "), or_empty(F.col("score")))

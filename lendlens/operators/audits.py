@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.text import iso
 from lendlens.operators.occupancy import overlap_flags
-from lendlens.operators.sizing import narrowed, sized
+from lendlens.operators.sizing import narrowed
 from lendlens.session import staged
 from lendlens.sources.library import NULLABLE, Library, flat_loans
 
@@ -70,7 +70,7 @@ def _suspects(loans: DataFrame, parents: DataFrame, key: str, day: str) -> DataF
     known = F.coalesce(f"{key}_known", F.lit(False))
     marked = first.filter(F.col(key).isNotNull()).join(days, key, "left")
     found = marked.filter(~known | (F.col("first_start") < F.col(day)))
-    return sized(staged(found.select(key, day, known.alias(f"{key}_known"))))
+    return found.select(key, day, known.alias(f"{key}_known"))
 
 
 def _book_suspects(library: Library) -> DataFrame:

@@ -8,20 +8,21 @@ nothing raises for a bad row.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.functions.dates import loan_end
 from lendlens.operators.audits import parent_days, required_columns
+from lendlens.operators.components import components
 from lendlens.operators.intake import first_reason
 from lendlens.operators.occupancy import furthest_return, overlap_counts, spans
 from lendlens.operators.paging import numbered
-from lendlens.operators.sizing import narrowed, sized
+from lendlens.operators.sizing import narrowed
 from lendlens.session import staged
 from lendlens.sources.library import BOOK, CLIENT, LOAN, Library
 
@@ -71,7 +72,7 @@ def _first_of_id(judged: DataFrame) -> DataFrame:
         .agg(F.min("arrival").alias("holder"), F.count("*").alias("n"))
         .filter("n > 1")
     )
-    marked = _by_id(judged, sized(staged(shared.select("id", "holder"))))
+    marked = _by_id(judged, shared.select("id", "holder"))
     return _judge(marked, [(F.col("holder") < F.col("arrival"), "id taken")]).drop("holder")
 
 
@@ -144,72 +145,132 @@ def _spanned(batch: DataFrame) -> DataFrame:
     )
 
 
-_SPAN = ["book_id", "first", "last"]
-
-
-def _snapshot_judged(library: Library, batch: DataFrame, own: Column) -> DataFrame:
-    """Reject loans that collide with a loan of the snapshot other than their own."""
+def _snapshot_judged(loans: DataFrame, batch: DataFrame) -> DataFrame:
+    """Reject rows that collide with one of ``loans``, which the batch leaves as they are."""
     good = batch.filter("reason IS NULL").drop("reason")
-    held = narrowed(spans(library.loans), good, "book_id")
-    collides = [(F.col("overlaps") > own, "overlaps a loan")]
+    held = narrowed(spans(loans), good, "book_id")
+    collides = [(F.col("overlaps") > 0, "overlaps a loan")]
     judged = _judge(overlap_counts(good, held), collides).drop("overlaps", "copies")
     return judged.unionByName(batch.filter("reason IS NOT NULL"))
 
 
-def _fitter() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The pass over spans sorted by item and arrival.
+def _replayer() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The pass over rows sorted by group, holders before changes, and arrival.
 
-    A local function, so that it travels to the executors by value.
+    A holder puts the span of a loan in place. A change fits if its span meets
+    none of its item but the loan's own, which it then takes the place of; a
+    loan that was out (``is_return``) can come back once. A local function, so
+    that it travels to the executors by value.
     """
 
-    def fit_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Accepted spans of an item never overlap, so the one that begins last
-        # before a span's end is the only one that can reach into it.
-        item, begins, ends, points = None, [], [], []
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, items, places, back = None, {}, {}, set()
+
+        def put(loan: int, book: int, first: int, last: int) -> None:
+            starts, held, longest = items.setdefault(book, ([], [], [0]))
+            at = bisect_right(starts, first)
+            starts.insert(at, first)
+            held.insert(at, (first, last, loan))
+            longest[0] = max(longest[0], last - first)
+            places[loan] = (book, first, last)
+
+        def fits(loan: int, book: int, first: int, last: int) -> bool:
+            starts, held, longest = items.get(book, ([], [], [0]))
+            low, high = bisect_left(starts, first - longest[0]), bisect_left(starts, last)
+            return all(
+                other == loan or begin >= last or first >= end
+                for begin, end, other in held[low:high]
+            )
+
+        def judge(row) -> str | None:
+            loan, book, first, last, is_return = row
+            if is_return and loan in back:
+                return "not out"
+            if not fits(loan, book, first, last):
+                return "overlaps the batch"
+            if loan in places:
+                old_book, old_first, old_last = places[loan]
+                starts, held, _ = items[old_book]
+                at = held.index((old_first, old_last, loan), bisect_left(starts, old_first))
+                del starts[at], held[at]
+            put(loan, book, first, last)
+            back.add(loan)
+            return None
+
         for pdf in batches:
-            fits = []
-            for book, first, last in zip(pdf["book_id"], pdf["first_no"], pdf["last_no"]):
-                if book != item:
-                    item, begins, ends, points = book, [], [], []
-                at = bisect_left(begins, last)
-                free = at == 0 or ends[at - 1] <= first
-                if free and first < last:
-                    inner = bisect_right(points, first)
-                    free = inner == len(points) or points[inner] >= last
-                    if free:
-                        begins.insert(at, first)
-                        ends.insert(at, last)
-                elif free:
-                    insort(points, first)
-                fits.append(free)
-            yield pdf.assign(fits=fits)
-
-    return fit_in_order
-
-
-def _batch_judged(batch: DataFrame) -> DataFrame:
-    """Reject good rows that collide with an earlier accepted row of the batch.
-
-    Of equal spans only the earliest can be accepted, and equal spans without
-    length share its fate. So the pass in arrival order sees one row per item
-    and pair of dates, not one per loan, and streams through the items.
+            reasons = []
+            columns = ("loan", "book_id", "first_no", "last_no", "is_return")
+            rows = zip(*(pdf[c] for c in columns))
+            for component, is_change, row in zip(pdf["component"], pdf["is_change"], rows):
+                if component != group:
+                    group, items, places, back = component, {}, {}, set()
+                reasons.append(judge(row) if is_change else put(*row[:4]))
+            judged = pdf[["arrival"]].assign(late_reason=pd.Series(reasons, pdf.index, dtype=object))
+            yield judged[pdf["is_change"]]
+
+    return replay
+
+
+def _islands(rows: DataFrame) -> DataFrame:
+    """Add ``island``, the day on which the stretch of days begins that holds the span.
+
+    A stretch is covered by spans of its item without a gap. Spans are reduced
+    to one row per item and first day, so a busy item is as many rows as the
+    calendar has days.
+    """
+    days = rows.groupBy("book_id", "first").agg(F.max("last").alias("last"))
+    by_day = Window.partitionBy("book_id").orderBy("first")
+    reach = F.max("last").over(by_day.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col("first") >= reach), F.col("first"))
+    marked = days.withColumn("begins", begins)
+    island = F.last("begins", ignorenulls=True).over(by_day)
+    found = marked.select("book_id", "first", island.alias("island"))
+    return rows.join(found, ["book_id", "first"])
+
+
+def _replayed(batch: DataFrame, holders: DataFrame | None = None) -> DataFrame:
+    """Judge the good rows of a batch in arrival order, each by what those before it left.
+
+    ``batch`` has arrival, loan, book_id, first, last, is_return and reason;
+    ``holders`` the spans (loan, book_id, first, last) of the loans it changes.
+
+    Rows meet only within an island of days of an item, and islands that one
+    loan moves between make one group. Groups with one change of one loan
+    settle themselves; the others are gone through row by row, and a busy item
+    is as many groups as it has islands.
     """
-    no = {"first_no": F.unix_date("first"), "last_no": F.unix_date("last")}
-    leaders = (
-        batch.filter("reason IS NULL")
-        .groupBy(*_SPAN)
-        .agg(F.min("arrival").alias("leader"))
-        .withColumns(no)
+    span = ["loan", "book_id", "first", "last"]
+    good = batch.filter("reason IS NULL")
+    rows = good.select("arrival", *span, "is_return", F.lit(True).alias("is_change"))
+    if holders is not None:
+        held = holders.select(*span, F.lit(False).alias("is_return"), F.lit(False).alias("is_change"))
+        rows = rows.unionByName(held, allowMissingColumns=True)
+    placed = _islands(rows).withColumn("component", F.xxhash64("book_id", "island"))
+    if holders is not None:
+        placed = _joined_islands(staged(placed))
+    placed = staged(placed)
+    met = placed.groupBy("component").agg(
+        F.min("loan").alias("least"), F.max("loan").alias("most"), F.count_if("is_change").alias("n")
     )
-    in_order = leaders.repartition("book_id").sortWithinPartitions("book_id", "leader")
-    fitted = in_order.mapInPandas(
-        _fitter(),
-        "book_id long, first date, last date, leader long, first_no int, last_no int, fits boolean",
-    ).select(*_SPAN, "leader", "fits")
-    marked = batch.join(fitted, _SPAN, "left")
-    doubled = (F.col("first") < F.col("last")) & (F.col("leader") < F.col("arrival"))
-    checks = [(~F.col("fits") | doubled, "overlaps the batch")]
-    return _judge(marked, checks).drop("leader", "fits")
+    contested = met.filter("n > 0 AND (least <> most OR n > 1)").select("component")
+    numbers = {"first_no": F.unix_date("first"), "last_no": F.unix_date("last")}
+    passed = placed.join(contested, "component", "left_semi").withColumns(numbers)
+    in_order = passed.repartition("component").sortWithinPartitions("component", "is_change", "arrival")
+    columns = ["component", "is_change", "arrival", "loan", "book_id", "first_no", "last_no", "is_return"]
+    judged = in_order.select(*columns).mapInPandas(_replayer(), "arrival long, late_reason string")
+    marked = batch.join(judged, "arrival", "left")
+    return marked.withColumn("reason", F.coalesce("reason", "late_reason")).drop("late_reason")
+
+
+def _joined_islands(placed: DataFrame) -> DataFrame:
+    """Give the islands that a loan moves between one component."""
+    ends = placed.groupBy("loan").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    moved = ends.filter("a <> b").select("loan", "a")
+    hops = placed.join(moved, "loan").select("a", F.col("component").alias("b"))
+    labels = components(hops.filter("a <> b").distinct())
+    named = labels.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    joined = placed.join(named, "component", "left")
+    return joined.withColumn("component", F.coalesce("joined", "component")).drop("joined")
 
 
 def append_loans(library: Library, new: DataFrame) -> Outcome:
@@ -222,15 +283,16 @@ def append_loans(library: Library, new: DataFrame) -> Outcome:
     checks = [*_null_checks(required), *_date_checks(), (F.col("known"), "id taken")]
     judged = _parents_judged(library, _judge(marked, checks).drop("known"))
     judged = _first_of_id(staged(_spanned(judged)))
-    judged = _batch_judged(staged(_snapshot_judged(library, judged, F.lit(0))))
-    table, accepted, rejected = _appended(judged, library.loans, LOAN.names)
+    new = {"loan": F.col("arrival"), "is_return": F.lit(False)}
+    judged = staged(_snapshot_judged(library.loans, judged).withColumns(new))
+    table, accepted, rejected = _appended(_replayed(judged), library.loans, LOAN.names)
     return Outcome(library.with_(loans=table), accepted, rejected)
 
 
 def _replaced(current: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """The table with the change of each ID, one at most, in place of the row."""
     values = [c for c in columns if c != "id"]
-    change = sized(changes.select("id", F.struct(*values).alias("change")))
+    change = changes.select("id", F.struct(*values).alias("change"))
     rows = current.select(*columns).join(change, "id", "left")
     changed = F.col("change").isNotNull()
     return rows.select(
@@ -270,38 +332,33 @@ def update_clients(library: Library, changes: DataFrame) -> Outcome:
 
 
 def _loans_replaced(library: Library, marked: DataFrame) -> Outcome:
-    """Judge new versions of loans, marked with their old item and span, and put them in."""
-    judged = staged(_spanned(_parents_judged(library, _judge(marked, _date_checks()))))
-    meets_own = (
-        (F.col("old_book") == F.col("book_id"))
-        & (F.col("first") < F.col("old_last"))
-        & (F.col("old_first") < F.col("last"))
-    )
-    own = F.coalesce(meets_own.cast("int"), F.lit(0))
-    judged = staged(_snapshot_judged(library, _first_of_id(judged), own))
-    accepted, rejected = _split(staged(_batch_judged(judged)), LOAN.names)
-    loans = _replaced(library.loans, accepted, LOAN.names)
-    return Outcome(library.with_(loans=loans), accepted, rejected)
+    """Judge new versions of loans one at a time, and put in the last accepted one of each.
 
-
-def _old_span() -> dict[str, Column]:
-    return {
-        "old_book": F.col("book_id"),
-        "old_first": F.col("start_date"),
-        "old_last": loan_end(F.col("return_date")),
-    }
+    Loans the batch does not touch stay where they are and are checked by
+    counts; the others are gone through in arrival order.
+    """
+    checked = _spanned(_parents_judged(library, _judge(marked, _date_checks())))
+    judged = staged(checked.withColumn("loan", F.col("id")))
+    moving = staged(judged.filter("reason IS NULL").select("id").distinct())
+    fixed = library.loans.join(moving, "id", "left_anti")
+    judged = staged(_snapshot_judged(fixed, judged))
+    own = narrowed(library.loans, moving, "id").withColumnRenamed("id", "loan")
+    judged = staged(_replayed(judged, spans(own, "loan")))
+    accepted, rejected = _split(judged, LOAN.names)
+    values = F.struct(*LOAN.names[1:])
+    latest = accepted.groupBy("id").agg(F.max_by(values, "arrival").alias("latest"))
+    loans = _replaced(library.loans, latest.select("id", "latest.*"), LOAN.names)
+    return Outcome(library.with_(loans=loans), accepted, rejected)
 
 
 def update_loans(library: Library, changes: DataFrame) -> Outcome:
-    """Replace loans by ID.
+    """Replace loans by ID, one at a time in arrival order.
 
-    A change must fit the other loans as they stood before the batch and the
-    changes accepted before it; days that another change of the same batch
-    gives up are free from the next batch on. One change per loan and batch.
+    A change must fit the loans as the changes accepted before it left them:
+    days that one gives up are free for the next, and a loan may change again.
     """
-    old = narrowed(library.loans, changes, "id").withColumns(_old_span())
-    known = old.select("id", *_old_span(), F.lit(True).alias("known"))
-    marked = _by_id(changes, known)
+    known = narrowed(library.loans, changes, "id").select("id", F.lit(True).alias("known"))
+    marked = _by_id(changes, known.distinct()).withColumn("is_return", F.lit(False))
     checks = [
         *_null_checks(required_columns(library.loans.select(*LOAN.names))),
         (F.col("known").isNull(), "unmatched"),
@@ -310,11 +367,15 @@ def update_loans(library: Library, changes: DataFrame) -> Outcome:
 
 
 def record_returns(library: Library, returns: DataFrame) -> Outcome:
-    """Set the return day of loans still out, from rows (arrival, id, return_date)."""
+    """Set the return day of loans still out, from rows (arrival, id, return_date).
+
+    Of several returns of a loan the first that is good counts; the loan is
+    not out for those after it.
+    """
     asked = returns.select("arrival", "id", "return_date")
-    old = narrowed(library.loans, asked, "id").withColumns(_old_span())
+    old = narrowed(library.loans, asked, "id")
     rows = old.withColumnRenamed("return_date", "before").withColumn("known", F.lit(True))
-    marked = _by_id(asked, rows)
+    marked = _by_id(asked, rows).withColumn("is_return", F.lit(True))
     checks = [
         *_null_checks(["id", "return_date"]),
         (F.col("known").isNull(), "unmatched"),
@@ -326,8 +387,8 @@ def record_returns(library: Library, returns: DataFrame) -> Outcome:
 def _delete(library: Library, ids: DataFrame, table: DataFrame, key: str) -> tuple:
     marked = _known(ids.select("arrival", "id"), table, "known")
     checks = [*_null_checks(["id"]), (~F.col("known"), "unmatched")]
-    accepted, rejected = _split(_judge(marked, checks), ["id"])
-    gone = sized(accepted.select("id").distinct())
+    accepted, rejected = _split(staged(_judge(marked, checks)), ["id"])
+    gone = accepted.select("id").distinct()
     loans = library.loans.join(gone.withColumnRenamed("id", key), key, "left_anti")
     return table.join(gone, "id", "left_anti"), loans.select(*LOAN.names), accepted, rejected
 

@@ -1,28 +1,18 @@
 """Who holds an item when: interval questions answered without pairing loans.
 
-The way that holds for any item aggregates loans and questions to one row per
-item and calendar day (partially, before the shuffle), so the running totals of
-one item span at most the days of the calendar, however many loans it has.
-Items with few enough rows to sort in one task get there with fewer shuffles.
+Loans and questions are aggregated to one row per item and calendar day
+(partially, before the shuffle), so the running totals of one item span at most
+the days of the calendar, however many loans it has.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lendlens.functions.dates import loan_end
 from lendlens.operators.sizing import narrowed
 
-#: Rows of one item that a single task may sort in a window.
-HOT_ROWS = 1_000_000
-
-#: Most items given the per-day path; it bounds the broadcast of their IDs.
-MAX_HOT_BOOKS = 10_000
-
-
 def _through_day() -> WindowSpec:
     """Rows of one item up to and including a day."""
     days = Window.partitionBy("book_id").orderBy("day")
@@ -67,17 +57,7 @@ def spans(loans: DataFrame, *extra: str) -> DataFrame:
     ).filter("book_id IS NOT NULL AND first <= last")
 
 
-def _hot_books(frames: list[DataFrame], hot_rows: int) -> DataFrame:
-    """Items with more than ``hot_rows`` rows, at most the busiest MAX_HOT_BOOKS."""
-    keys = reduce(DataFrame.unionByName, [df.select("book_id") for df in frames])
-    counted = keys.groupBy("book_id").agg(F.count("*").alias("n"))
-    busiest = counted.filter(F.col("n") > hot_rows).orderBy(F.desc("n"), "book_id")
-    return F.broadcast(busiest.limit(MAX_HOT_BOOKS).select("book_id"))
-
-
-def overlap_counts(
-    probes: DataFrame, held: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def overlap_counts(probes: DataFrame, held: DataFrame) -> DataFrame:
     """Add ``overlaps``: how many ``held`` spans each probe span collides with.
 
     Both are (book_id, first, last) with first <= last, read half-open. Of the
@@ -85,19 +65,33 @@ def overlap_counts(
     start collide; a span without one collides only strictly inside another.
     Equal probe rows come out as one, with their number in ``copies``.
 
-    Items with up to ``hot_rows`` rows take one shuffle, busier ones the way
-    over item and day. Both are exact: the split only picks the plan.
+    Running totals over one row per item and day are looked up by the probes.
     """
-    hot = _hot_books([probes, held], hot_rows)
-    usual = [df.join(hot, "book_id", "left_anti") for df in (probes, held)]
-    busy = [df.join(hot, "book_id", "left_semi") for df in (probes, held)]
-    return _counts_by_row(*usual).unionByName(_counts_by_day(*busy))
+    asked = _lookups(probes).select("book_id", "day").distinct()
+    per_day = (
+        _events(held)
+        .unionByName(asked, allowMissingColumns=True)
+        .groupBy("book_id", "day")
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("begun", "points", "ended")])
+    )
+    through = _through_day()
+    totals = per_day.select(
+        "book_id",
+        "day",
+        (F.sum("begun").over(through) - F.col("begun")).alias("begun_before"),
+        (F.sum("points").over(through) - F.col("points")).alias("points_before"),
+        F.sum("points").over(through).alias("points_through"),
+        F.sum("ended").over(through).alias("ended_through"),
+    )
+    return _collisions(_lookups(probes).join(totals, ["book_id", "day"]), probes.columns)
 
 
 def _events(held: DataFrame) -> DataFrame:
-    """What begins and ends on a day, two rows per span."""
+    """What begins and ends on a day, two rows per span; a span with ``n`` stands for as many."""
     zero = F.lit(0).cast("bigint")
-    has_length = (F.col("first") < F.col("last")).cast("bigint")
+    n = F.col("n") if "n" in held.columns else F.lit(1).cast("bigint")
+    is_long = F.col("first") < F.col("last")
+    has_length, is_point = F.when(is_long, n).otherwise(zero), F.when(is_long, zero).otherwise(n)
 
     def event(day: str, begun: Column, points: Column, ended: Column) -> Column:
         return F.struct(
@@ -107,7 +101,7 @@ def _events(held: DataFrame) -> DataFrame:
             ended.alias("ended"),
         )
 
-    start = event("first", has_length, 1 - has_length, zero)
+    start = event("first", has_length, is_point, zero)
     return held.select("book_id", F.inline(F.array(start, event("last", zero, zero, has_length))))
 
 
@@ -125,82 +119,24 @@ def _collisions(found: DataFrame, columns: list[str]) -> DataFrame:
     copies = F.count_if(is_last)
     overlaps = F.sum(longer) + F.greatest(F.sum(inside), F.lit(0))
     return found.groupBy(*columns).agg(
-        copies.alias("copies"), (overlaps / copies).cast("bigint").alias("overlaps")
-    )
-
-
-def _counts_by_row(probes: DataFrame, held: DataFrame) -> DataFrame:
-    """All rows of an item in one window; the final groups need no shuffle."""
-    rows = _lookups(probes).unionByName(_events(held), allowMissingColumns=True)
-    by_day = Window.partitionBy("book_id").orderBy("day_no")
-    through = by_day.rangeBetween(Window.unboundedPreceding, 0)
-    before = by_day.rangeBetween(Window.unboundedPreceding, -1)
-
-    def total(name: str, over: WindowSpec) -> Column:
-        return F.coalesce(F.sum(name).over(over), F.lit(0))
-
-    counted = rows.withColumn("day_no", F.unix_date("day").cast("bigint")).select(
-        *probes.columns,
-        "is_last",
-        total("begun", before).alias("begun_before"),
-        total("points", before).alias("points_before"),
-        total("points", through).alias("points_through"),
-        total("ended", through).alias("ended_through"),
+        copies.alias("copies"), F.call_function("div", overlaps, copies).alias("overlaps")
     )
-    return _collisions(counted.filter("is_last IS NOT NULL"), probes.columns)
 
 
-def _counts_by_day(probes: DataFrame, held: DataFrame) -> DataFrame:
-    """Running totals over one row per item and day, looked up by the probes."""
-    asked = _lookups(probes).select("book_id", "day").distinct()
-    per_day = (
-        _events(held)
-        .unionByName(asked, allowMissingColumns=True)
-        .groupBy("book_id", "day")
-        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("begun", "points", "ended")])
-    )
-    through = _through_day()
-    totals = per_day.select(
-        "book_id",
-        "day",
-        (F.sum("begun").over(through) - F.col("begun")).alias("begun_before"),
-        (F.sum("points").over(through) - F.col("points")).alias("points_before"),
-        F.sum("points").over(through).alias("points_through"),
-        F.sum("ended").over(through).alias("ended_through"),
-    )
-    return _collisions(_lookups(probes).join(totals, ["book_id", "day"]), probes.columns)
-
-
-def overlap_flags(loans: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def overlap_flags(loans: DataFrame) -> DataFrame:
     """Loans (loan_id, book_id) that overlap another loan of their item.
 
-    Items with up to ``hot_rows`` loans are settled in one shuffle by windows
-    over the item, busier ones by counts per day. Both are exact.
+    A loan is told by its span alone, so equal spans are counted once, and the
+    loans look up the count of their span.
     """
     all_spans = spans(loans.withColumnRenamed("id", "loan_id"), "loan_id")
-    hot = _hot_books([loans], hot_rows)
-    busy = all_spans.join(hot, "book_id", "left_semi")
+    same = ["book_id", "first", "last"]
+    distinct = all_spans.groupBy(*same).agg(F.count("*").alias("n"))
     own = (F.col("first") < F.col("last")).cast("bigint")
-    busy_flags = _counts_by_day(busy, busy.drop("loan_id")).filter(F.col("overlaps") > own)
-    each = F.explode(F.array_repeat("loan_id", F.col("copies").cast("int"))).alias("loan_id")
-    usual_flags = _flags_by_window(all_spans.join(hot, "book_id", "left_anti"))
-    return usual_flags.unionByName(busy_flags.select(each, "book_id"))
+    hit = _counted(distinct).filter(F.col("overlaps") > own).select(*same)
+    return all_spans.join(hit, same, "left_semi").select("loan_id", "book_id")
 
 
-def _flags_by_window(all_spans: DataFrame) -> DataFrame:
-    by_start = Window.partitionBy("book_id").orderBy("day_no")
-    earlier = by_start.rangeBetween(Window.unboundedPreceding, -1)
-    same_start = Window.partitionBy("book_id", "day_no")
-    is_long = F.col("first") < F.col("last")
-    rows = (
-        all_spans.withColumn("day_no", F.unix_date("first").cast("bigint"))
-        .withColumn("reach", F.max("last").over(earlier))
-        .withColumn("next_first", F.lead("first").over(by_start))
-        .withColumn("later", F.max("next_first").over(same_start))
-        .withColumn("twins", F.count_if(is_long).over(same_start))
-    )
-    begun_earlier = F.col("reach") > F.col("first")
-    begun_later = (F.col("later") > F.col("first")) & (F.col("later") < F.col("last"))
-    begun_with = is_long & (F.col("twins") > 1)
-    hit: Column = F.coalesce(begun_earlier, F.lit(False)) | F.coalesce(begun_later, F.lit(False))
-    return rows.filter(hit | begun_with).select("loan_id", "book_id")
+def _counted(distinct: DataFrame) -> DataFrame:
+    """Overlaps of distinct spans (book_id, first, last, n), each standing for n."""
+    return overlap_counts(distinct.drop("n"), distinct)

@@ -12,9 +12,6 @@ from lendlens.session import staged
 
 PAGE_SIZE = 10
 
-#: Rows up to the end of a page that one task may hold while sorting.
-MAX_TOP_ROWS = 100_000
-
 # monotonically_increasing_id(): partition number above, row in partition below.
 _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
@@ -23,14 +20,12 @@ _ROW_MASK = (1 << _ROW_BITS) - 1
 def page(df: DataFrame, order: list, start: int, count: int) -> DataFrame:
     """Rows ``start`` to ``start + count`` of the order, counted from 0.
 
-    A page far down the order is cut out of the numbered rows, because a sorted
-    limit would bring all rows up to it into one task.
+    Spark keeps the rows up to the page's end of each partition only. Pages deep
+    in a large result are better asked for by ``page_after``.
     """
     if start < 0 or count < 0:
         raise ValueError("start and count must not be negative")
-    if start + count <= MAX_TOP_ROWS:
-        return df.orderBy(*order).offset(start).limit(count)
-    return every_nth(df, order, 1, start, start + count).orderBy("row_number").drop("row_number")
+    return df.orderBy(*order).offset(start).limit(count)
 
 
 def page_after(df: DataFrame, order: list[str], last_key: list, count: int) -> DataFrame:

@@ -1,30 +1,15 @@
-"""Broadcasts behind a check of their size."""
+"""Narrowing a large table to the keys of a batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.session import staged
-
-#: Most rows of keys or changes that are sent to every executor.
-MAX_BROADCAST_ROWS = 500_000
-
-
-def is_small(df: DataFrame) -> bool:
-    return df.count() <= MAX_BROADCAST_ROWS
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """Mark for broadcast when the rows are counted to be few, else leave as is."""
-    return F.broadcast(df) if is_small(df) else df
-
 
 def narrowed(big: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Drop rows of ``big`` whose key the batch does not name, if that is cheap.
+    """Rows of ``big`` whose key the batch names.
 
-    With few keys the rows are filtered in place before any shuffle. With many,
-    ``big`` comes back whole: the joins that follow take out the rest.
+    A plain semi join: Spark broadcasts the keys when their bytes are few, and
+    else splits a busy key, which both sides being direct shuffles allows.
     """
-    keys = staged(batch.select(key).filter(F.col(key).isNotNull()).distinct())
-    return big.join(F.broadcast(keys), key, "left_semi") if is_small(keys) else big
+    return big.join(batch.select(key).filter(F.col(key).isNotNull()), key, "left_semi")

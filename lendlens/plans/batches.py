@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from lendlens.sources import retail
 
-#: Added to the given IDs of new rows, to keep them clear of the old ones.
-NEW_IDS = 1_000_000
-
 
 def raw_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as typed in: text columns with stray spaces and bad values."""
@@ -33,21 +30,23 @@ def raw_books(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size == 31, F.lit("2024-02-30"))
         .when(size == 32, F.lit("2024-1-2"))
         .when(size == 33, F.lit("20240102"))
+        .when(size == 34, F.lit("2024-W10-1"))
+        .when(size == 35, F.lit("2023W53"))
         .otherwise(F.date_format("added", "yyyy-MM-dd"))
         .alias("added"),
     )
 
 
-def _new_id(kind: Column) -> Column:
+def _new_id(kind: Column, beyond: Column) -> Column:
     """Some IDs already in use, some given twice in the batch, the rest unset."""
-    paired = F.floor(F.col("id") / 2).cast("bigint") + NEW_IDS
+    paired = F.floor(F.col("id") / 2).cast("bigint") + beyond
     return F.when(kind == 0, F.col("id")).when(kind == 1, paired)
 
 
 def new_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retail.books(spark, sf_dir).select(
         F.col("id").alias("arrival"),
-        _new_id(F.col("year") % 4).alias("id"),
+        _new_id(F.col("year") % 4, retail.beyond(spark, sf_dir, "part")).alias("id"),
         F.when(F.col("year") != 1994, F.col("name")).alias("name"),
         "year",
         "author",
@@ -60,7 +59,7 @@ def new_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.dayofmonth("registered") % 4
     return retail.clients(spark, sf_dir).select(
         F.col("id").alias("arrival"),
-        _new_id(kind).alias("id"),
+        _new_id(kind, retail.beyond(spark, sf_dir, "customer")).alias("id"),
         "name",
         "registered",
         F.when(F.col("address") != "NATION_3", F.col("address")).alias("address"),
@@ -85,7 +84,9 @@ def new_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def book_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retail.books(spark, sf_dir).select(
         F.col("id").alias("arrival"),
-        F.when(F.col("year") == 1977, F.col("id") + NEW_IDS).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("year") == 1977, F.col("id") + retail.beyond(spark, sf_dir, "part"))
+        .otherwise(F.col("id"))
+        .alias("id"),
         F.upper("name").alias("name"),
         "year",
         F.when(F.col("year") != 1978, F.col("author")).alias("author"),
@@ -132,17 +133,19 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def discarded_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item is named; those not of the seventies under an unknown ID."""
     stays = ~F.col("year").between(1970, 1979)
+    unknown = F.col("id") + retail.beyond(spark, sf_dir, "part")
     return retail.books(spark, sf_dir).select(
         F.col("id").alias("arrival"),
-        F.when(stays, F.col("id") + NEW_IDS).otherwise(F.col("id")).alias("id"),
+        F.when(stays, unknown).otherwise(F.col("id")).alias("id"),
     )
 
 
 def leaving_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     stays = F.col("registered") >= F.lit(date(1994, 9, 1))
+    unknown = F.col("id") + retail.beyond(spark, sf_dir, "customer")
     return retail.clients(spark, sf_dir).select(
         F.col("id").alias("arrival"),
-        F.when(stays, F.col("id") + NEW_IDS).otherwise(F.col("id")).alias("id"),
+        F.when(stays, unknown).otherwise(F.col("id")).alias("id"),
     )
 
 

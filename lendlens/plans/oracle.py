@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DAY = "DATE '1997-01-01'"
+_LATE_DAY = "DATE '2000-12-01'"
 
 # The library as common table expressions; every query starts with these.
 _LIBRARY = """
@@ -23,7 +25,7 @@ line AS (
            min(l_linenumber) AS line
     FROM lineitem GROUP BY 1, 2),
 loan AS (
-    SELECT l_orderkey * 10000000 + book_id AS id, CAST(o_orderdate AS DATE) AS start_date,
+    SELECT l_orderkey * (SELECT max(p_partkey) + 1 FROM part) + book_id AS id, CAST(o_orderdate AS DATE) AS start_date,
            CAST(o_orderdate AS DATE) + line * 7 AS end_date,
            CASE WHEN flag = 'N' AND CAST(o_orderdate AS DATE) >= DATE '2000-06-01' THEN NULL
                 ELSE CAST(o_orderdate AS DATE) + held END AS return_date,
@@ -65,6 +67,14 @@ flat AS (
            CAST(least(coalesce(return_date, {at}), {at}) - end_date AS BIGINT) AS days_overdue
     FROM loan JOIN book ON book_id = book.id JOIN client ON client_id = client.id)"""
 
+_BAD_FLAT = f"""
+flat AS (
+    SELECT l.id AS loan_id, start_date, end_date, return_date, book_id, client_id, b.name AS book_name,
+           year, author, genre, added, c.name AS client_name, registered, address,
+           CAST(least(coalesce(return_date, {_LATE_DAY}), {_LATE_DAY}) - end_date AS BIGINT)
+               AS days_overdue
+    FROM bad_loan AS l JOIN bad_book AS b ON book_id = b.id JOIN bad_client AS c ON client_id = c.id)"""
+
 _BOOK_COLS = "id AS book_id, name AS book_name, year, author, genre, added"
 _CLIENT_COLS = "id AS client_id, name AS client_name, registered, address"
 _LOAN_ROW = (
@@ -72,9 +82,6 @@ _LOAN_ROW = (
     "genre, added, client_name, registered, address"
 )
 
-_DAY = "DATE '1997-01-01'"
-_LATE_DAY = "DATE '2000-12-01'"
-
 _BOOK_TEXT = "{name} || ' (' || author || ', ' || year || ' г.) [' || genre || ']'"
 _CLIENT_TEXT = "{name} || ' [рег: ' || CAST(registered AS VARCHAR) || ', адрес: ' || address || ']'"
 _LOAN_TEXT = (
@@ -148,22 +155,48 @@ _LOANED = """EXISTS (SELECT 1 FROM loan WHERE loan.book_id = request.book_id
 _TSV = """SELECT concat_ws(chr(9), 'BookName', 'Author', 'Genre', 'PublicationYear', 'ClientName',
     'ClientRegDate', 'LoanStartDate', 'LoanEndDate', 'ExpiredByDays') AS line
 UNION ALL
-SELECT concat_ws(chr(9), '"' || replace(book_name, '"', '""') || '"',
-    '"' || replace(author, '"', '""') || '"', '"' || replace(genre, '"', '""') || '"', year,
-    '"' || replace(client_name, '"', '""') || '"', registered, start_date, end_date, days_overdue)
+SELECT concat_ws(chr(9), '"' || replace(coalesce(book_name, ''), '"', '""') || '"',
+    '"' || replace(coalesce(author, ''), '"', '""') || '"',
+    '"' || replace(coalesce(genre, ''), '"', '""') || '"', coalesce(CAST(year AS VARCHAR), ''),
+    '"' || replace(coalesce(client_name, ''), '"', '""') || '"',
+    coalesce(CAST(registered AS VARCHAR), ''), coalesce(CAST(start_date AS VARCHAR), ''),
+    coalesce(CAST(end_date AS VARCHAR), ''), coalesce(CAST(days_overdue AS VARCHAR), ''))
 FROM flat WHERE """
 
+_TABLE_ROWS = {
+    "book": "id, name, year, author, genre, added",
+    "client": "id, name, registered, address",
+    "loan": "id, start_date, end_date, return_date, book_id, client_id",
+}
+
+
+def _whole_library() -> str:
+    """Every row of the three tables as (table, id, row)."""
+
+    def rows(table: str, columns: str) -> str:
+        texts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns.split(", "))
+        return f"SELECT '{table}' AS \"table\", id, concat_ws('|', {texts}) AS row FROM {table}"
+
+    return " UNION ALL ".join(rows(t, c) for t, c in _TABLE_ROWS.items())
+
+
 SOURCES_AND_SINKS = {
-    "read_library": _flat(
-        f"SELECT {_LOAN_ROW} FROM flat WHERE return_date IS NULL "
-        f"AND {_fold('book_name')} LIKE '%ring%'"
-    ),
+    "read_library": _with(_whole_library()),
     "backfill_due_dates": _with(
         "SELECT id, start_date, coalesce(return_date, start_date) AS end_date, return_date, "
         "book_id, client_id FROM loan"
     ),
     "backfill_address": _with("SELECT id, name, registered, 'Unknown' AS address FROM client"),
     "export_overdue_tsv": _flat(_TSV + _overdue(_LATE_DAY)),
+    "export_overdue_tsv_damaged": _with(
+        _DAMAGED,
+        _BAD_FLAT,
+        _TSV + _overdue(_LATE_DAY),
+    ),
+    "geocode_by_function": _with(
+        """SELECT DISTINCT address, CAST(length(address) AS DOUBLE) AS lon,
+               CAST(ascii(substr(address, length(address), 1)) AS DOUBLE) AS lat FROM client"""
+    ),
     "export_loans_geojson": _geojson(_PLACES),
     "export_loans_geojson_stub": _geojson(_STUB),
     "geocode": _with(
@@ -295,7 +328,7 @@ PAGES = {
     "order_by": _with(f"SELECT {_CLIENT_COLS} FROM client ORDER BY address, id DESC"),
     "row_number": _flat(
         """SELECT loan_id, book_name, row_number() OVER (ORDER BY book_name, loan_id) AS row_number
-           FROM flat WHERE return_date IS NULL"""
+           FROM flat"""
     ),
     "every_nth": _with(
         f"""SELECT * FROM (SELECT {_BOOK_COLS},
@@ -353,7 +386,7 @@ _REPEATED = " UNION ALL ".join(
 
 _CHANGES = """
 change_book AS (
-    SELECT id AS arrival, CASE WHEN year = 1977 THEN id + 1000000 ELSE id END AS id,
+    SELECT id AS arrival, CASE WHEN year = 1977 THEN id + (SELECT max(p_partkey) + 1 FROM part) ELSE id END AS id,
            upper(name) AS name, year, CASE WHEN year <> 1978 THEN author END AS author, genre,
            added + (year - 1970) * 5 AS added
     FROM book),
@@ -372,12 +405,11 @@ def _earlier(day: str, other: str) -> str:
 AUDITS = {
     "overlap_violations": _with(_overlapping("loan")),
     "overlap_violations_as_written": _with(
+        # Either loan starts before the other is back, or neither is back.
         """SELECT a.id AS loan_id, a.book_id FROM loan AS a WHERE EXISTS (
-               SELECT 1 FROM loan AS b WHERE b.book_id = a.book_id AND b.id <> a.id AND
-               CASE WHEN a.return_date IS NULL
-                    THEN b.return_date IS NULL OR a.start_date < b.return_date
-                    WHEN b.return_date IS NULL THEN b.start_date < a.return_date
-                    ELSE b.start_date < a.return_date OR a.start_date < b.return_date END)"""
+               SELECT 1 FROM loan AS b WHERE b.book_id = a.book_id AND b.id <> a.id AND (
+                   a.start_date < b.return_date OR b.start_date < a.return_date
+                   OR (a.return_date IS NULL AND b.return_date IS NULL)))"""
     ),
     "loan_before_book": _with(
         """SELECT loan.id AS loan_id, book_id, start_date, added
@@ -436,27 +468,29 @@ AUDITS = {
 }
 
 
-def _new_id(kind: str) -> str:
-    return f"CASE {kind} WHEN 0 THEN id WHEN 1 THEN 1000000 + id // 2 END"
+def _new_id(kind: str, table: str) -> str:
+    top = f"(SELECT max(id) + 1 FROM {table})"
+    return f"CASE {kind} WHEN 0 THEN id WHEN 1 THEN {top} + id // 2 END"
 
 
-def _appended(columns: str, id_kind: str, null_checks: str, table: str) -> str:
-    """IDs and reasons of an append to the table of items or borrowers."""
-    return _with(
-        f"""
-        batch AS (SELECT id AS arrival, {_new_id(id_kind)} AS new_id, {columns} FROM {table}),
+def _appended(columns: str, id_kind: str, null_checks: str, table: str) -> tuple[str, str]:
+    """Of an append to the table of items or borrowers: IDs and reasons, and the table after it."""
+    parts = f"""
+        batch AS (SELECT id AS arrival, {_new_id(id_kind, table)} AS new_id, {columns} FROM {table}),
         judged AS (SELECT *, CASE {null_checks}
             WHEN new_id IN (SELECT id FROM {table}) THEN 'id taken' END AS reason FROM batch),
-        settled AS (SELECT arrival, new_id, coalesce(reason, CASE WHEN new_id IS NOT NULL
+        settled AS (SELECT * REPLACE (coalesce(reason, CASE WHEN new_id IS NOT NULL
             AND arrival > min(arrival) FILTER (WHERE reason IS NULL) OVER (PARTITION BY new_id)
-            THEN 'id taken' END) AS reason FROM judged),
+            THEN 'id taken' END) AS reason) FROM judged),
         top AS (SELECT greatest((SELECT max(id) FROM {table}),
-            (SELECT max(new_id) FROM settled WHERE reason IS NULL)) AS id)""",
-        """SELECT arrival, CASE WHEN new_id IS NULL AND reason IS NULL
+            (SELECT max(new_id) FROM settled WHERE reason IS NULL)) AS id),
+        numbered AS (SELECT * , CASE WHEN new_id IS NULL AND reason IS NULL
                THEN (SELECT id FROM top) + row_number() OVER (
                    PARTITION BY new_id IS NULL AND reason IS NULL ORDER BY arrival)
-               ELSE new_id END AS id, reason FROM settled""",
-    )
+               ELSE new_id END AS id FROM settled)"""
+    names = _TABLE_ROWS[table]
+    after = f"SELECT {names} FROM {table} UNION ALL SELECT {names} FROM numbered WHERE reason IS NULL"
+    return _with(parts, "SELECT arrival, id, reason FROM numbered"), _with(parts, after)
 
 
 # Loans of a batch (arrival, id, start_date, end_date, return_date, book_id, client_id, reason),
@@ -494,6 +528,112 @@ settled AS (
         CASE WHEN NOT fits THEN 'overlaps the batch' END) AS reason
     FROM fixed LEFT JOIN pass ON pass.arrival = fixed.arrival)"""
 
+# The same for changes of loans that are there, one after the other: the spans of the loans that may
+# move are carried along, and an accepted change takes the place of its loan's span.
+_PASS_CHANGES = (
+    _PASS[: _PASS.index("fixed AS (")]
+    + """
+moving AS (SELECT DISTINCT id FROM parented WHERE early_reason IS NULL),
+still AS (SELECT * FROM loan WHERE id NOT IN (SELECT id FROM moving)),
+fixed AS (
+    SELECT *, coalesce(early_reason, CASE WHEN EXISTS (
+        SELECT 1 FROM still AS o WHERE o.book_id = p.book_id
+        AND o.start_date < p.last AND p.start_date < coalesce(o.return_date, DATE '9999-12-31'))
+        THEN 'overlaps a loan' END) AS fixed_reason
+    FROM parented AS p),
+queue AS (
+    SELECT arrival, id, book_id, start_date AS first, last,
+           row_number() OVER (PARTITION BY book_id ORDER BY arrival) AS turn
+    FROM fixed WHERE fixed_reason IS NULL),
+pass AS (
+    SELECT CAST(NULL AS BIGINT) AS arrival, book_id, CAST(0 AS BIGINT) AS turn, TRUE AS fits,
+           list({'id': id, 'f': start_date, 'l': coalesce(return_date, DATE '9999-12-31')}) AS held
+    FROM loan WHERE id IN (SELECT id FROM moving) GROUP BY book_id
+    UNION ALL
+    SELECT arrival, book_id, turn, fits,
+           CASE WHEN fits THEN list_append(
+               list_filter(held, lambda h: h.id <> id), {'id': id, 'f': first, 'l': last})
+               ELSE held END
+    FROM (SELECT q.arrival, q.id, q.book_id, q.turn, q.first, q.last, p.held,
+                 len(list_filter(p.held,
+                     lambda h: h.id <> q.id AND h.f < q.last AND q.first < h.l)) = 0 AS fits
+          FROM pass AS p JOIN queue AS q ON q.book_id = p.book_id AND q.turn = p.turn + 1)),
+settled AS (
+    SELECT fixed.* EXCLUDE (reason), coalesce(fixed_reason,
+        CASE WHEN NOT fits THEN 'overlaps the batch' END) AS reason
+    FROM fixed LEFT JOIN pass ON pass.arrival = fixed.arrival)"""
+)
+
+_LOAN_COLS = _TABLE_ROWS["loan"]
+
+
+def _changed(batch: str) -> tuple[str, str]:
+    """Decisions on changes of loans, and the loans after them."""
+    after = f"""SELECT {_LOAN_COLS} FROM settled WHERE reason IS NULL
+        UNION ALL SELECT {_LOAN_COLS} FROM loan
+        WHERE id NOT IN (SELECT id FROM settled WHERE reason IS NULL)"""
+    parts = [batch, _PASS_CHANGES]
+    decisions = "SELECT arrival, id, reason FROM settled"
+    return _with(*parts, decisions, recursive=True), _with(*parts, after, recursive=True)
+
+
+_BOOKS = _appended(
+    "CASE WHEN year <> 1994 THEN name END AS name, year, author, genre, added",
+    "year % 4",
+    "WHEN name IS NULL THEN 'null name'",
+    "book",
+)
+_CLIENTS = _appended(
+    "name, registered, CASE WHEN address <> 'NATION_3' THEN address END AS address",
+    "day(registered) % 4",
+    "WHEN address IS NULL THEN 'null address'",
+    "client",
+)
+_LOAN_UPDATES = _changed(
+    """
+        batch AS (
+            SELECT id AS arrival, id, start_date, end_date + 3 AS end_date,
+                   least(coalesce(return_date, cut), cut) AS return_date, book_id, client_id,
+                   CAST(NULL AS VARCHAR) AS reason
+            FROM (SELECT *, start_date + CAST(day(start_date) % 5 AS INT) AS cut FROM loan))"""
+)
+_RETURNS = _changed(
+    """
+        batch AS (
+            SELECT id AS arrival, id, start_date, end_date, CASE WHEN day(end_date) = 1
+                   THEN start_date - 1 ELSE end_date - 5 END AS return_date, book_id, client_id,
+                   CASE WHEN return_date IS NOT NULL THEN 'not out' END AS reason
+            FROM loan)"""
+)
+_NEW_LOANS = """
+        batch AS (
+            SELECT request_id AS arrival, CAST(NULL AS BIGINT) AS id, first_day AS start_date,
+                   last_day AS end_date, CASE WHEN day(first_day) <> 31
+                   THEN first_day + CAST(42 - (last_day - first_day) AS INT) END AS return_date,
+                   book_id, client_id, CAST(NULL AS VARCHAR) AS reason
+            FROM request)"""
+_NUMBERED_LOANS = """
+        numbered AS (SELECT arrival, CASE WHEN reason IS NULL THEN (SELECT max(id) FROM loan)
+               + row_number() OVER (PARTITION BY reason IS NULL ORDER BY arrival) END AS id, reason
+           FROM settled)"""
+_GONE_BOOKS = "year BETWEEN 1970 AND 1979"
+_GONE_CLIENTS = "registered < DATE '1994-09-01'"
+
+
+def _deleted(table: str, gone: str) -> dict[str, str]:
+    """What is left of the loans and of the table itself, and the decisions."""
+    key, name = f"{table}_id", f"delete_{table}s"
+    top = f"(SELECT max(id) + 1 FROM {table})"
+    return {
+        name: _with(f"SELECT * FROM loan WHERE {key} NOT IN (SELECT id FROM {table} WHERE {gone})"),
+        f"{name}_table": _with(f"SELECT {_TABLE_ROWS[table]} FROM {table} WHERE NOT ({gone})"),
+        f"{name}_decisions": _with(
+            f"""SELECT id AS arrival, CASE WHEN {gone} THEN id ELSE id + {top} END AS id,
+                    CASE WHEN NOT ({gone}) THEN 'unmatched' END AS reason FROM {table}"""
+        ),
+    }
+
+
 INTAKE = {
     "clean_rows": _with(
         """
@@ -502,40 +642,44 @@ INTAKE = {
                    CASE WHEN p_size = 13 THEN '' ELSE name END AS name,
                    CASE WHEN p_size IN (21, 23) THEN NULL ELSE year END AS year,
                    CASE WHEN p_size <> 17 THEN author END AS author, genre,
-                   CASE WHEN p_size IN (31, 32) THEN NULL WHEN p_size = 33
-                        THEN DATE '2024-01-02' ELSE added END AS added
+                   CASE WHEN p_size IN (31, 32, 35) THEN NULL WHEN p_size = 33
+                        THEN DATE '2024-01-02' WHEN p_size = 34 THEN DATE '2024-03-04'
+                        ELSE added END AS added
             FROM book JOIN part ON id = p_partkey)""",
         """SELECT *, CASE WHEN name = '' THEN 'empty name' WHEN year IS NULL THEN 'bad year'
                WHEN author IS NULL THEN 'empty author' WHEN added IS NULL THEN 'bad added'
                END AS reject_reason FROM raw""",
     ),
-    "append_books": _appended(
-        "CASE WHEN year <> 1994 THEN name END AS name, year, author, genre, added",
-        "year % 4",
-        "WHEN name IS NULL THEN 'null name'",
-        "book",
-    ),
-    "append_clients": _appended(
-        "name, registered, CASE WHEN address <> 'NATION_3' THEN address END AS address",
-        "day(registered) % 4",
-        "WHEN address IS NULL THEN 'null address'",
-        "client",
-    ),
+    "append_books": _BOOKS[0],
+    "append_books_table": _BOOKS[1],
+    "append_clients": _CLIENTS[0],
+    "append_clients_table": _CLIENTS[1],
     "append_loans": _with(
+        _REQUESTS, _NEW_LOANS, _PASS, _NUMBERED_LOANS, "SELECT * FROM numbered", recursive=True
+    ),
+    "append_loans_table": _with(
         _REQUESTS,
-        """
-        batch AS (
-            SELECT request_id AS arrival, CAST(NULL AS BIGINT) AS id, first_day AS start_date,
-                   last_day AS end_date, CASE WHEN day(first_day) <> 31
-                   THEN first_day + CAST(42 - (last_day - first_day) AS INT) END AS return_date,
-                   book_id, client_id, CAST(NULL AS VARCHAR) AS reason
-            FROM request)""",
+        _NEW_LOANS,
         _PASS,
-        """SELECT arrival, CASE WHEN reason IS NULL THEN (SELECT max(id) FROM loan)
-               + row_number() OVER (PARTITION BY reason IS NULL ORDER BY arrival) END AS id, reason
-           FROM settled""",
+        _NUMBERED_LOANS,
+        f"""SELECT {_LOAN_COLS} FROM loan UNION ALL
+            SELECT n.id, start_date, end_date, return_date, book_id, client_id
+            FROM numbered AS n JOIN batch USING (arrival) WHERE n.reason IS NULL""",
         recursive=True,
     ),
+    "update_books_decisions": _with(
+        _CHANGES,
+        """SELECT arrival, c.id, CASE WHEN c.author IS NULL THEN 'null author'
+               WHEN book.id IS NULL THEN 'unmatched'
+               WHEN c.added > first_start THEN 'after a loan' END AS reason
+           FROM change_book AS c LEFT JOIN book ON book.id = c.id
+           LEFT JOIN first_by_book ON book_id = c.id""",
+    ),
+    "update_clients_decisions": _with(
+        _CHANGES,
+        """SELECT arrival, c.id, CASE WHEN c.registered > first_start THEN 'after a loan' END AS reason
+           FROM change_client AS c LEFT JOIN first_by_client ON client_id = c.id""",
+    ),
     "update_books": _with(
         _CHANGES,
         """
@@ -557,36 +701,12 @@ INTAKE = {
            UNION ALL SELECT id, name, registered, address FROM client
            WHERE id NOT IN (SELECT id FROM good)""",
     ),
-    "update_loans": _with(
-        """
-        batch AS (
-            SELECT id AS arrival, id, start_date, end_date + 3 AS end_date,
-                   least(coalesce(return_date, cut), cut) AS return_date, book_id, client_id,
-                   CAST(NULL AS VARCHAR) AS reason
-            FROM (SELECT *, start_date + CAST(day(start_date) % 5 AS INT) AS cut FROM loan))""",
-        _PASS,
-        "SELECT arrival, id, reason FROM settled",
-        recursive=True,
-    ),
-    "record_returns": _with(
-        """
-        batch AS (
-            SELECT id AS arrival, id, start_date, end_date, CASE WHEN day(end_date) = 1
-                   THEN start_date - 1 ELSE end_date - 5 END AS return_date, book_id, client_id,
-                   CASE WHEN return_date IS NOT NULL THEN 'not out' END AS reason
-            FROM loan)""",
-        _PASS,
-        "SELECT arrival, id, reason FROM settled",
-        recursive=True,
-    ),
-    "delete_books": _with(
-        """SELECT * FROM loan WHERE book_id NOT IN (
-               SELECT id FROM book WHERE year BETWEEN 1970 AND 1979)"""
-    ),
-    "delete_clients": _with(
-        """SELECT * FROM loan WHERE client_id NOT IN (
-               SELECT id FROM client WHERE registered < DATE '1994-09-01')"""
-    ),
+    "update_loans": _LOAN_UPDATES[0],
+    "update_loans_table": _LOAN_UPDATES[1],
+    "record_returns": _RETURNS[0],
+    "record_returns_table": _RETURNS[1],
+    **_deleted("book", _GONE_BOOKS),
+    **_deleted("client", _GONE_CLIENTS),
     "check_loan_requests": _with(
         _REQUESTS,
         f"""SELECT *, reason IS NULL AS accepted FROM (

@@ -8,6 +8,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lendlens.functions import text
 from lendlens.functions.dates import days_overdue, parse_iso
@@ -20,10 +21,13 @@ from lendlens.sources import retail
 from lendlens.sources.library import (
     BOOK,
     BOOK_COLS,
+    CLIENT,
     CLIENT_COLS,
+    LOAN,
     Library,
     flat_books,
     flat_clients,
+    flat_loans,
     read_library,
     write_library,
 )
@@ -46,63 +50,37 @@ LOAN_SEARCH = LoanSearch(
 )
 
 
-_SNAPSHOTS: dict[str, Library] = {}
+Source = Callable[[SparkSession, str], Library]
 
 
-def write_snapshot(spark: SparkSession, sf_dir: str) -> None:
-    """Write the library of these tables once; its queries then read the snapshot."""
+def written_snapshot(spark: SparkSession, sf_dir: str) -> Library:
+    """The library of these tables, written to the shared folder and read back."""
     path = f"{shared_folder(spark).rstrip('/')}/library-{uuid.uuid4().hex}"
     write_library(retail.library(spark, sf_dir), path)
-    _SNAPSHOTS[sf_dir] = read_library(spark, path)
+    return read_library(spark, path)
 
 
-def _library(spark: SparkSession, sf_dir: str) -> Library:
-    return _SNAPSHOTS.get(sf_dir) or retail.library(spark, sf_dir)
-
-
-def _of_library(query: Callable[[Library], DataFrame]) -> Query:
-    return lambda spark, sf_dir: query(_library(spark, sf_dir))
-
-
-def _of_damaged(query: Callable[[Library], DataFrame]) -> Query:
-    return lambda spark, sf_dir: query(retail.damaged(_library(spark, sf_dir)))
-
-
-def _with_batch(query: Callable[[Library, DataFrame], DataFrame], batch: Query) -> Query:
-    return lambda spark, sf_dir: query(_library(spark, sf_dir), batch(spark, sf_dir))
-
-
-def _decisions(
-    operation: Callable[[Library, DataFrame], ingest.Outcome], batch: Query
-) -> Query:
-    """Every row of the batch with its final ID and the reason it was refused."""
+def _lines(df: DataFrame, key: list[str], line: Column) -> DataFrame:
+    return df.select(*key, line.alias("line"))
 
-    def rows(library: Library, changes: DataFrame) -> DataFrame:
-        outcome = operation(library, changes)
-        accepted = outcome.accepted.withColumn("reason", F.lit(None).cast("string"))
-        both = accepted.unionByName(outcome.rejected)
-        return both.select("arrival", "id", "reason")
 
-    return _with_batch(rows, batch)
+def _table_rows(library: Library) -> DataFrame:
+    """Every row of the three tables as (table, id, row)."""
 
+    def rows(name: str, df: DataFrame, schema: StructType) -> DataFrame:
+        texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in schema.names]
+        return df.select(F.lit(name).alias("table"), "id", F.concat_ws("|", *texts).alias("row"))
 
-def _table_after(
-    operation: Callable[[Library, DataFrame], ingest.Outcome], batch: Query, table: str
-) -> Query:
-    return _with_batch(
-        lambda library, changes: getattr(operation(library, changes).library, table), batch
+    return (
+        rows("book", library.books, BOOK)
+        .unionByName(rows("client", library.clients, CLIENT))
+        .unionByName(rows("loan", library.loans, LOAN))
     )
 
 
-def _lines(df: DataFrame, key: list[str], line: Column) -> DataFrame:
-    return df.select(*key, line.alias("line"))
-
-
-def _written_and_read(library: Library) -> DataFrame:
-    spark = library.loans.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/library-{uuid.uuid4().hex}"
-    write_library(library, path)
-    return queries.unreturned_loans(read_library(spark, path), LoanSearch(book_name="ring"))
+def _spot(address: str) -> tuple[float, float]:
+    """A geocoder that needs no service: the address's length and last character."""
+    return float(len(address)), float(ord(address[-1]))
 
 
 def _iso_dates(library: Library) -> DataFrame:
@@ -148,149 +126,192 @@ def _by_title(library: Library) -> tuple[DataFrame, list[str]]:
 
 
 def _numbered_loans(library: Library) -> DataFrame:
-    rows = queries.open_loan_rows(library).select("loan_id", "book_name")
+    rows = queries.loan_rows(library, flat_loans(library), None).select("loan_id", "book_name")
     return paging.numbered(rows, ["book_name", "loan_id"])
 
 
-SOURCES_AND_SINKS: dict[str, Query] = {
-    "read_library": _of_library(_written_and_read),
-    "backfill_due_dates": lambda s, d: backfill_due_dates(retail.old_loans(s, d)),
-    "backfill_address": lambda s, d: backfill_address(retail.old_clients(s, d)),
-    "export_overdue_tsv": _of_library(lambda lib: exports.overdue_tsv_lines(lib, LATE_DAY)),
-    "export_loans_geojson": _with_batch(exports.geojson_lines, batches.places),
-    "export_loans_geojson_stub": _of_library(
-        lambda lib: exports.geojson_lines(lib, exports.stub_places(lib))
-    ),
-    "geocode": _with_batch(
-        lambda lib, places: exports.geocode(flat_clients(lib), places).select(
-            "client_id", "address", "lon", "lat"
+def _decisions(operation: Callable[[Library, DataFrame], ingest.Outcome]):
+    """Every row of the batch with its final ID and the reason it was refused."""
+
+    def rows(library: Library, changes: DataFrame) -> DataFrame:
+        outcome = operation(library, changes)
+        accepted = outcome.accepted.withColumn("reason", F.lit(None).cast("string"))
+        both = accepted.unionByName(outcome.rejected, allowMissingColumns=True)
+        return both.select("arrival", "id", "reason")
+
+    return rows
+
+
+def queries_over(source: Source) -> dict[str, Query]:
+    """The named queries, each over the library that ``source`` gives."""
+
+    def _of_library(query: Callable[[Library], DataFrame]) -> Query:
+        return lambda spark, sf_dir: query(source(spark, sf_dir))
+
+    def _of_damaged(query: Callable[[Library], DataFrame]) -> Query:
+        return lambda spark, sf_dir: query(retail.damaged(source(spark, sf_dir)))
+
+    def _with_batch(query: Callable[[Library, DataFrame], DataFrame], batch: Query) -> Query:
+        return lambda spark, sf_dir: query(source(spark, sf_dir), batch(spark, sf_dir))
+
+    def _table_after(operation, batch: Query, table: str) -> Query:
+        return _with_batch(lambda lib, changes: getattr(operation(lib, changes).library, table), batch)
+
+    sources_and_sinks: dict[str, Query] = {
+        "read_library": lambda s, d: _table_rows(written_snapshot(s, d)),
+        "backfill_due_dates": lambda s, d: backfill_due_dates(retail.old_loans(s, d)),
+        "backfill_address": lambda s, d: backfill_address(retail.old_clients(s, d)),
+        "export_overdue_tsv": _of_library(lambda lib: exports.overdue_tsv_lines(lib, LATE_DAY)),
+        "export_overdue_tsv_damaged": _of_damaged(lambda lib: exports.overdue_tsv_lines(lib, LATE_DAY)),
+        "geocode_by_function": _of_library(lambda lib: exports.places_from(lib, _spot)),
+        "export_loans_geojson": _with_batch(exports.geojson_lines, batches.places),
+        "export_loans_geojson_stub": _of_library(
+            lambda lib: exports.geojson_lines(lib, exports.stub_places(lib))
         ),
-        batches.places,
-    ),
-}
-
-SEARCHES: dict[str, Query] = {
-    "contains_like": _of_library(lambda lib: queries.books(lib, BookSearch(name="D%_NG"))),
-    "year_between": _of_library(
-        lambda lib: queries.books(lib, BookSearch(year_min=1960, year_max=1975))
-    ),
-    "start_between": _of_library(
-        lambda lib: queries.expired_loans_at(
-            lib, LATE_DAY, LoanSearch(start_min=date(1998, 1, 1), start_max=date(1998, 12, 31))
-        )
-    ),
-    "book_search": _of_library(lambda lib: queries.books(lib, BOOK_SEARCH)),
-    "client_search": _of_library(lambda lib: queries.clients(lib, CLIENT_SEARCH)),
-    "loan_search": _of_library(lambda lib: queries.expired_loans_at(lib, LATE_DAY, LOAN_SEARCH)),
-}
-
-TEXTS: dict[str, Query] = {
-    "book_text": _of_library(lambda lib: _lines(queries.books(lib), ["book_id"], text.book_text())),
-    "client_text": _of_library(
-        lambda lib: _lines(queries.clients(lib), ["client_id"], text.client_text())
-    ),
-    "loan_text": _of_library(
-        lambda lib: _lines(
-            queries.loan_rows(lib, queries.flat_loans(lib), None), ["loan_id"], text.loan_text()
-        )
-    ),
-    "history_text": _of_library(
-        lambda lib: _lines(queries.book_history(lib), ["loan_id"], text.history_text())
-    ),
-    "overdue_text": _of_library(
-        lambda lib: _lines(queries.expired_loans_at(lib, DAY), ["loan_id"], text.overdue_text())
-    ),
-    "report_lines": _of_library(_report_lines),
-    "days_overdue": _of_library(_days_overdue),
-    "escape_quotes": _of_library(_quoted),
-    "iso_date": _of_library(_iso_dates),
-}
-
-QUERIES: dict[str, Query] = {
-    "books": _of_library(queries.books),
-    "clients": _of_library(queries.clients),
-    "unloaned_books_at": _of_library(lambda lib: queries.unloaned_books_at(lib, DAY)),
-    "unloaned_books_at_search": _of_library(
-        lambda lib: queries.unloaned_books_at(lib, LATE_DAY, BookSearch(genre="large"))
-    ),
-    "unreturned_loans": _of_library(queries.unreturned_loans),
-    "expired_loans_at": _of_library(lambda lib: queries.expired_loans_at(lib, LATE_DAY)),
-    "book_history": _of_library(queries.book_history),
-    "books_loaned_during": _with_batch(queries.books_loaned_during, retail.requests),
-}
-
-REPORTS: dict[str, Query] = {
-    "genre_scores": _of_library(reports.genre_scores),
-    "last_visit_dates": _of_library(reports.last_visit_dates),
-    "total_loans_per_client": _of_library(reports.total_loans_per_client),
-    "unreturned_loans_per_client": _of_library(reports.unreturned_loans_per_client),
-    "unreturned_loans_per_client_all": _of_library(
-        lambda lib: reports.unreturned_loans_per_client(lib, keep_all=True)
-    ),
-    "count_rows": _of_library(
-        lambda lib: reports.count_rows(queries.expired_loans_at(lib, LATE_DAY))
-    ),
-    "count_distinct_genre": _of_library(reports.count_distinct_genre),
-}
-
-PAGES: dict[str, Query] = {
-    "page": _of_library(lambda lib: paging.page(*_by_title(lib), start=20, count=10)),
-    "page_after": _of_library(
-        lambda lib: paging.page_after(*_by_title(lib), last_key=["new bolt", 100], count=10)
-    ),
-    "row_at": _of_library(lambda lib: paging.row_at(*_by_title(lib), position=42)),
-    "order_by": _of_library(
-        lambda lib: flat_clients(lib).select(*CLIENT_COLS).orderBy("address", F.desc("client_id"))
-    ),
-    "row_number": _of_library(_numbered_loans),
-    "every_nth": _of_library(lambda lib: paging.every_nth(*_by_title(lib), step=7, start=3)),
-    "page_count": _of_library(lambda lib: paging.page_count(queries.unreturned_loans(lib))),
-}
-
-AUDITS: dict[str, Query] = {
-    "overlap_violations": _of_library(audits.overlap_violations),
-    "overlap_violations_as_written": _of_library(
-        lambda lib: audits.overlap_violations(lib, as_written=True)
-    ),
-    "loan_before_book": _of_library(audits.loan_before_book),
-    "loan_before_client": _of_library(audits.loan_before_client),
-    "book_after_loan": _with_batch(
-        lambda lib, changes: audits.book_after_loan(lib, changes.select("id", "added")),
-        batches.book_changes,
-    ),
-    "client_after_loan": _with_batch(
-        lambda lib, changes: audits.client_after_loan(lib, changes.select("id", "registered")),
-        batches.client_changes,
-    ),
-    "return_before_start": _of_damaged(audits.return_before_start),
-    "due_before_start": _of_damaged(audits.due_before_start),
-    "null_required": _of_damaged(audits.null_required),
-    "orphan_loans": _of_damaged(audits.orphan_loans),
-    "duplicate_ids": _of_damaged(audits.duplicate_ids),
-    "audit_all": _of_damaged(audits.audit_all),
-}
-
-INTAKE: dict[str, Query] = {
-    "clean_rows": lambda s, d: intake.clean_rows(batches.raw_books(s, d), BOOK),
-    "append_books": _decisions(ingest.append_books, batches.new_books),
-    "append_clients": _decisions(ingest.append_clients, batches.new_clients),
-    "append_loans": _decisions(ingest.append_loans, batches.new_loans),
-    "update_books": _table_after(ingest.update_books, batches.book_changes, "books"),
-    "update_clients": _table_after(ingest.update_clients, batches.client_changes, "clients"),
-    "update_loans": _decisions(ingest.update_loans, batches.loan_changes),
-    "record_returns": _decisions(ingest.record_returns, batches.returns),
-    "delete_books": _table_after(ingest.delete_books, batches.discarded_books, "loans"),
-    "delete_clients": _table_after(ingest.delete_clients, batches.leaving_clients, "loans"),
-    "check_loan_requests": _with_batch(ingest.check_loan_requests, retail.requests),
-}
-
-ALL: dict[str, Query] = {
-    **SOURCES_AND_SINKS,
-    **SEARCHES,
-    **TEXTS,
-    **QUERIES,
-    **REPORTS,
-    **PAGES,
-    **AUDITS,
-    **INTAKE,
-}
+        "geocode": _with_batch(
+            lambda lib, places: exports.geocode(flat_clients(lib), places).select(
+                "client_id", "address", "lon", "lat"
+            ),
+            batches.places,
+        ),
+    }
+
+    searches: dict[str, Query] = {
+        "contains_like": _of_library(lambda lib: queries.books(lib, BookSearch(name="D%_NG"))),
+        "year_between": _of_library(
+            lambda lib: queries.books(lib, BookSearch(year_min=1960, year_max=1975))
+        ),
+        "start_between": _of_library(
+            lambda lib: queries.expired_loans_at(
+                lib, LATE_DAY, LoanSearch(start_min=date(1998, 1, 1), start_max=date(1998, 12, 31))
+            )
+        ),
+        "book_search": _of_library(lambda lib: queries.books(lib, BOOK_SEARCH)),
+        "client_search": _of_library(lambda lib: queries.clients(lib, CLIENT_SEARCH)),
+        "loan_search": _of_library(lambda lib: queries.expired_loans_at(lib, LATE_DAY, LOAN_SEARCH)),
+    }
+
+    texts: dict[str, Query] = {
+        "book_text": _of_library(lambda lib: _lines(queries.books(lib), ["book_id"], text.book_text())),
+        "client_text": _of_library(
+            lambda lib: _lines(queries.clients(lib), ["client_id"], text.client_text())
+        ),
+        "loan_text": _of_library(
+            lambda lib: _lines(
+                queries.loan_rows(lib, queries.flat_loans(lib), None), ["loan_id"], text.loan_text()
+            )
+        ),
+        "history_text": _of_library(
+            lambda lib: _lines(queries.book_history(lib), ["loan_id"], text.history_text())
+        ),
+        "overdue_text": _of_library(
+            lambda lib: _lines(queries.expired_loans_at(lib, DAY), ["loan_id"], text.overdue_text())
+        ),
+        "report_lines": _of_library(_report_lines),
+        "days_overdue": _of_library(_days_overdue),
+        "escape_quotes": _of_library(_quoted),
+        "iso_date": _of_library(_iso_dates),
+    }
+
+    rows: dict[str, Query] = {
+        "books": _of_library(queries.books),
+        "clients": _of_library(queries.clients),
+        "unloaned_books_at": _of_library(lambda lib: queries.unloaned_books_at(lib, DAY)),
+        "unloaned_books_at_search": _of_library(
+            lambda lib: queries.unloaned_books_at(lib, LATE_DAY, BookSearch(genre="large"))
+        ),
+        "unreturned_loans": _of_library(queries.unreturned_loans),
+        "expired_loans_at": _of_library(lambda lib: queries.expired_loans_at(lib, LATE_DAY)),
+        "book_history": _of_library(queries.book_history),
+        "books_loaned_during": _with_batch(queries.books_loaned_during, retail.requests),
+    }
+
+    per_client: dict[str, Query] = {
+        "genre_scores": _of_library(reports.genre_scores),
+        "last_visit_dates": _of_library(reports.last_visit_dates),
+        "total_loans_per_client": _of_library(reports.total_loans_per_client),
+        "unreturned_loans_per_client": _of_library(reports.unreturned_loans_per_client),
+        "unreturned_loans_per_client_all": _of_library(
+            lambda lib: reports.unreturned_loans_per_client(lib, keep_all=True)
+        ),
+        "count_rows": _of_library(
+            lambda lib: reports.count_rows(queries.expired_loans_at(lib, LATE_DAY))
+        ),
+        "count_distinct_genre": _of_library(reports.count_distinct_genre),
+    }
+
+    pages: dict[str, Query] = {
+        "page": _of_library(lambda lib: paging.page(*_by_title(lib), start=20, count=10)),
+        "page_after": _of_library(
+            lambda lib: paging.page_after(*_by_title(lib), last_key=["new bolt", 100], count=10)
+        ),
+        "row_at": _of_library(lambda lib: paging.row_at(*_by_title(lib), position=42)),
+        "order_by": _of_library(
+            lambda lib: flat_clients(lib).select(*CLIENT_COLS).orderBy("address", F.desc("client_id"))
+        ),
+        "row_number": _of_library(_numbered_loans),
+        "every_nth": _of_library(lambda lib: paging.every_nth(*_by_title(lib), step=7, start=3)),
+        "page_count": _of_library(lambda lib: paging.page_count(queries.unreturned_loans(lib))),
+    }
+
+    rules: dict[str, Query] = {
+        "overlap_violations": _of_library(audits.overlap_violations),
+        "overlap_violations_as_written": _of_library(
+            lambda lib: audits.overlap_violations(lib, as_written=True)
+        ),
+        "loan_before_book": _of_library(audits.loan_before_book),
+        "loan_before_client": _of_library(audits.loan_before_client),
+        "book_after_loan": _with_batch(
+            lambda lib, changes: audits.book_after_loan(lib, changes.select("id", "added")),
+            batches.book_changes,
+        ),
+        "client_after_loan": _with_batch(
+            lambda lib, changes: audits.client_after_loan(lib, changes.select("id", "registered")),
+            batches.client_changes,
+        ),
+        "return_before_start": _of_damaged(audits.return_before_start),
+        "due_before_start": _of_damaged(audits.due_before_start),
+        "null_required": _of_damaged(audits.null_required),
+        "orphan_loans": _of_damaged(audits.orphan_loans),
+        "duplicate_ids": _of_damaged(audits.duplicate_ids),
+        "audit_all": _of_damaged(audits.audit_all),
+    }
+
+    batch: dict[str, Query] = {
+        "clean_rows": lambda s, d: intake.clean_rows(batches.raw_books(s, d), BOOK),
+        "append_books": _with_batch(_decisions(ingest.append_books), batches.new_books),
+        "append_books_table": _table_after(ingest.append_books, batches.new_books, "books"),
+        "append_clients": _with_batch(_decisions(ingest.append_clients), batches.new_clients),
+        "append_clients_table": _table_after(ingest.append_clients, batches.new_clients, "clients"),
+        "append_loans": _with_batch(_decisions(ingest.append_loans), batches.new_loans),
+        "append_loans_table": _table_after(ingest.append_loans, batches.new_loans, "loans"),
+        "update_books": _table_after(ingest.update_books, batches.book_changes, "books"),
+        "update_books_decisions": _with_batch(_decisions(ingest.update_books), batches.book_changes),
+        "update_clients": _table_after(ingest.update_clients, batches.client_changes, "clients"),
+        "update_clients_decisions": _with_batch(_decisions(ingest.update_clients), batches.client_changes),
+        "update_loans": _with_batch(_decisions(ingest.update_loans), batches.loan_changes),
+        "update_loans_table": _table_after(ingest.update_loans, batches.loan_changes, "loans"),
+        "record_returns": _with_batch(_decisions(ingest.record_returns), batches.returns),
+        "record_returns_table": _table_after(ingest.record_returns, batches.returns, "loans"),
+        "delete_books": _table_after(ingest.delete_books, batches.discarded_books, "loans"),
+        "delete_books_table": _table_after(ingest.delete_books, batches.discarded_books, "books"),
+        "delete_books_decisions": _with_batch(_decisions(ingest.delete_books), batches.discarded_books),
+        "delete_clients": _table_after(ingest.delete_clients, batches.leaving_clients, "loans"),
+        "delete_clients_table": _table_after(ingest.delete_clients, batches.leaving_clients, "clients"),
+        "delete_clients_decisions": _with_batch(_decisions(ingest.delete_clients), batches.leaving_clients),
+        "check_loan_requests": _with_batch(ingest.check_loan_requests, retail.requests),
+    }
+
+    return {
+        **sources_and_sinks,
+        **searches,
+        **texts,
+        **rows,
+        **per_client,
+        **pages,
+        **rules,
+        **batch,
+    }
+
+
+ALL: dict[str, Query] = queries_over(retail.library)

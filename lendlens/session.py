@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +17,17 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Bytes of input for each shuffle partition that ``build_session`` asks for to begin with.
+PARTITION_BYTES = 256 << 20
 
-def build_session(app: str = "lendlens", master: str | None = None, **extra: str) -> SparkSession:
+
+def build_session(
+    app: str = "lendlens", master: str | None = None, input_bytes: int | None = None, **extra: str
+) -> SparkSession:
+    """``input_bytes``: size of the tables, for as many shuffle partitions; adaptive execution joins small ones."""
+    if input_bytes:
+        number = str(max(200, input_bytes // PARTITION_BYTES))
+        extra = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": number, **extra}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -27,31 +36,38 @@ def build_session(app: str = "lendlens", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="lendlens-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor sees, as the cluster names it.
+    """Folder every executor sees: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
-    A session without one gets a temporary folder, but only in local mode.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder()
+
+def _staging_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     Used where a result is read more than once and must not be worked out
-    twice; it survives the loss of executors.
+    twice; it survives the loss of executors. ``clear_staged`` removes the
+    tables of a session.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lendlens-{uuid.uuid4().hex}"
+    path = f"{_staging_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove what this session has staged; results that still read it must be done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staging_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what was staged for the results worked out within."""
+    try:
+        yield
+    finally:
+        clear_staged(spark)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.functions.text import book_text, client_text, iso, quoted
+from lendlens.functions.text import book_text, client_text, iso, or_empty, quoted
 from lendlens.operators.predicates import LoanSearch
 from lendlens.operators.queries import open_loan_rows, overdue_rows
 from lendlens.session import staged
@@ -48,18 +48,20 @@ def overdue_tsv_lines(
 ) -> DataFrame:
     """Header and rows of the overdue report, in file order, as ``line``."""
     late = overdue_rows(library, at, search)
-    line = F.concat_ws(
-        "\t",
-        quoted(F.col("book_name")),
-        quoted(F.col("author")),
-        quoted(F.col("genre")),
-        F.col("year").cast("string"),
-        quoted(F.col("client_name")),
-        iso(F.col("registered")),
-        iso(F.col("start_date")),
-        iso(F.col("end_date")),
-        F.col("days_overdue").cast("string"),
-    )
+    empty = F.lit("")
+    # Each field stands in its place: a missing value is an empty one, quoted where the others are.
+    fields = [
+        quoted(F.coalesce("book_name", empty)),
+        quoted(F.coalesce("author", empty)),
+        quoted(F.coalesce("genre", empty)),
+        or_empty(F.col("year")),
+        quoted(F.coalesce("client_name", empty)),
+        or_empty(iso(F.col("registered"))),
+        or_empty(iso(F.col("start_date"))),
+        or_empty(iso(F.col("end_date"))),
+        or_empty(F.col("days_overdue")),
+    ]
+    line = F.concat_ws("\t", *fields)
     rows = late.select(F.lit(1).alias("part"), "book_name", "loan_id", line.alias("line"))
     header = _fixed_line(late, 0, "\t".join(OVERDUE_HEADER))
     return header.unionByName(rows).orderBy(*_ORDER).select("line")
@@ -122,6 +124,7 @@ def geojson_lines(
     features = marked.select(
         F.lit(1).alias("part"), "book_name", "loan_id", F.concat("feature", comma).alias("line")
     )
+    # Fixed values of the format.
     head = _fixed_line(rows, 0, '{"type": "FeatureCollection","features": [')
     tail = _fixed_line(rows, 2, "]}")
     lines = head.unionByName(features).unionByName(tail)

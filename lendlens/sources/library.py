@@ -66,13 +66,20 @@ class Library:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and type the columns of ``schema``; text dates must be ISO dates."""
+    """Select and type the columns of ``schema``.
+
+    A text date that is no ISO date stops the job with its value: a return day
+    lost on the way would turn a returned loan into an open one.
+    """
     present = dict(df.dtypes)
 
     def typed(field: T.StructField) -> Column:
         column = F.col(field.name)
         if isinstance(field.dataType, T.DateType) and present[field.name] == "string":
-            return parse_iso(column).alias(field.name)
+            day = parse_iso(column)
+            message = F.concat(F.lit(f"{field.name} is not an ISO date: "), column)
+            bad = column.isNotNull() & day.isNull()
+            return F.when(bad, F.raise_error(message).cast("date")).otherwise(day).alias(field.name)
         return column.cast(field.dataType).alias(field.name)
 
     folded = [F.col(name) for name in df.columns if name.endswith("_key")]
@@ -80,15 +87,24 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_library(
-    spark: SparkSession, path: str, fmt: str = "parquet", **options: str
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schemas: dict[str, str] | None = None,
+    **options: str,
 ) -> Library:
     """Read ``path``/book, /client and /loan in any format Spark reads.
 
-    Snapshots of the older schemas are brought up to the current one.
+    Snapshots of the older schemas are brought up to the current one. Formats
+    without a schema of their own need ``schemas`` by table, else Spark goes
+    through the data once more to infer them.
     """
 
     def raw(name: str) -> DataFrame:
-        return spark.read.format(fmt).options(**options).load(f"{path}/{name}")
+        reader = spark.read.format(fmt).options(**options)
+        if schemas:
+            reader = reader.schema(schemas[name])
+        return reader.load(f"{path}/{name}")
 
     books, clients, loans = raw("book"), raw("client"), raw("loan")
     if "address" not in clients.columns:

@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beyond(spark: SparkSession, sf_dir: str, name: str) -> Column:
+    """One more than the largest key of part or customer, 1 if there is none."""
+    key = {"part": "p_partkey", "customer": "c_custkey"}[name]
+    top = table(spark, sf_dir, name).agg(F.coalesce(F.max(key), F.lit(0)) + 1)
+    return top.scalar()
+
+
 def _neighbour(key: str, every: int) -> Column:
     moved = (F.col(key) % every == 0) & (F.col(key) > 0)
     return F.when(moved, F.col(key) - 1).otherwise(F.col(key))
@@ -80,8 +87,10 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     still_out = (F.col("flag") == ord("N")) & (F.col("start_date") >= F.lit(RECENT))
     returned = F.when(~still_out, F.date_add("start_date", F.col("held")))
+    # A pair of keys as one number: no two pairs share it, whatever the number of parts.
+    pair = F.col("l_orderkey") * beyond(spark, sf_dir, "part") + F.col("book_id")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("l_orderkey") * 10_000_000 + F.col("book_id")).alias("id"),
+        pair.alias("id"),
         "start_date",
         F.date_add("start_date", F.col("line") * 7).alias("end_date"),
         returned.alias("return_date"),

@@ -50,20 +50,20 @@ def make_library(spark):
 def golden(make_library) -> Library:
     return make_library(
         books=[
-            (0, "Война и мир", 1873, "Л.Н. Толстой", "Роман-эпопея", "2024-01-01"),
-            (1, "Война и мир", 1875, "Л.Н. Толстой", "Роман-эпопея", "2024-01-01"),
-            (2, "Евгений Онегин", 1875, "А.С. Пушкин", "Роман в стихах", "2024-01-01"),
-            (3, "Евгений Онегин", 1899, "А.С. Пушкин", "Роман в стихах", "2024-01-01"),
+            (0, "Анна Каренина", 1878, "Л.Н. Толстой", "Роман-хроника", "2022-09-10"),
+            (1, "Анна Каренина", 1880, "Л.Н. Толстой", "Роман-хроника", "2022-09-10"),
+            (2, "Мёртвые души", 1880, "Н.В. Гоголь", "Роман в прозе", "2022-09-10"),
+            (3, "Мёртвые души", 1901, "Н.В. Гоголь", "Роман в прозе", "2022-09-10"),
         ],
         clients=[
-            (0, "Петров Александ Михайлович", "2024-01-01", "ш. Космонавтов, 111Д, Пермь"),
-            (1, "Неверов Леонид Васильевич", "2024-01-01", "ул. Ленина, 53, Пермь"),
-            (2, "Некрасов Никита Валерьевич", "2024-01-01", "Парковая ул., 16, Пермь"),
+            (0, "Соколов Илья Андреевич", "2022-09-10", "Садовая ул., 7, Тверь"),
+            (1, "Жукова Мария Петровна", "2022-09-10", "пр. Победы, 12, Казань"),
+            (2, "Журавлёв Павел Игоревич", "2022-09-10", "Речная наб., 3, Томск"),
         ],
         loans=[
-            (1, "2024-06-23", "2024-07-23", "2024-07-17", 2, 1),
-            (2, "2024-07-16", "2024-08-16", "2024-08-22", 1, 1),
-            (3, "2024-06-22", "2024-06-22", None, 0, 2),
-            (4, "2024-06-25", "2024-06-25", None, 3, 2),
+            (1, "2023-03-02", "2023-04-02", "2023-03-26", 2, 1),
+            (2, "2023-03-25", "2023-04-25", "2023-05-01", 1, 1),
+            (3, "2023-03-01", "2023-03-01", None, 0, 2),
+            (4, "2023-03-04", "2023-03-04", None, 3, 2),
         ],
     )

@@ -6,14 +6,16 @@ from datetime import date
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lendlens.operators import queries
 from lendlens.operators.predicates import BookSearch
-from lendlens.session import shared_folder
+from lendlens.session import shared_folder, staged, staging
 from lendlens.sinks.exports import (
     export_loans_geojson,
     export_overdue_tsv,
     geocode,
+    overdue_tsv_lines,
     places_from,
     stub_places,
 )
@@ -96,7 +98,7 @@ def test_snapshot_round_trip(golden, spark, tmp_path):
         names = getattr(golden, table).columns
         rows = getattr(again, table).select(*names).collect()
         assert sorted(map(str, rows)) == sorted(map(str, getattr(golden, table).collect()))
-    found = queries.books(again, BookSearch(name="Онегин"))
+    found = queries.books(again, BookSearch(name="Мёртвые"))
     assert [r["book_id"] for r in found.collect()] == [2, 3]
     with pytest.raises(Exception, match="already exists"):
         write_library(golden, path)
@@ -109,7 +111,7 @@ def test_old_snapshots_are_upgraded(golden, spark, tmp_path):
     golden.loans.drop("end_date").write.parquet(f"{path}/loan")
     upgraded = read_library(spark, path)
     due = {r["id"]: str(r["end_date"]) for r in upgraded.loans.collect()}
-    assert due == {1: "2024-07-17", 2: "2024-08-22", 3: "2024-06-22", 4: "2024-06-25"}
+    assert due == {1: "2023-03-26", 2: "2023-05-01", 3: "2023-03-01", 4: "2023-03-04"}
     assert {r["address"] for r in upgraded.clients.collect()} == {"Unknown"}
     assert stub_places(upgraded).count() == 0
 
@@ -131,6 +133,44 @@ class Settings:
 def test_shared_folder_is_the_one_the_cluster_names():
     named = Settings(spark__checkpoint__dir="hdfs:///shared", spark__master="yarn")
     assert shared_folder(named) == "hdfs:///shared"
-    assert Path(shared_folder(Settings(spark__master="local[8]"))).is_dir()
-    with pytest.raises(ValueError):
-        shared_folder(Settings(spark__master="yarn"))
+    unnamed = Settings(spark__master="yarn", spark__sql__warehouse__dir="hdfs:///warehouse")
+    assert shared_folder(unnamed) == "hdfs:///warehouse"
+
+
+def test_staged_tables_go_with_the_work(spark):
+    with staging(spark):
+        kept = staged(spark.range(3))
+        assert kept.count() == 3
+        folder = Path(kept.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert not folder.exists() and not folder.parent.exists()
+
+
+def test_a_bad_text_date_stops_the_job(golden, spark, tmp_path):
+    path = str(tmp_path / "csv")
+    golden.books.write.option("header", True).csv(f"{path}/book")
+    golden.clients.write.option("header", True).csv(f"{path}/client")
+    late = F.when(F.col("id") == 1, F.lit("2023-3-26")).otherwise(F.col("return_date").cast("string"))
+    golden.loans.withColumn("return_date", late).write.option("header", True).csv(f"{path}/loan")
+    library = read_library(spark, path, "csv", header="true")
+    with pytest.raises(Exception, match="return_date is not an ISO date: 2023-3-26"):
+        queries.unreturned_loans(library).collect()
+
+
+def test_text_formats_take_their_schemas(golden, spark, tmp_path):
+    path = str(tmp_path / "json")
+    schemas = {}
+    for name, df in (("book", golden.books), ("client", golden.clients), ("loan", golden.loans)):
+        df.write.json(f"{path}/{name}")
+        schemas[name] = ", ".join(f"{c} {'string' if t == 'date' else t}" for c, t in df.dtypes)
+    again = read_library(spark, path, "json", schemas)
+    assert sorted(map(str, again.loans.collect())) == sorted(map(str, golden.loans.collect()))
+
+
+def test_overdue_lines_keep_their_fields(make_library):
+    library = make_library(
+        [(1, "n", 2000, None, "g", "2024-01-01")],
+        [(1, None, None, "x")],
+        [(1, None, "2024-02-05", None, 1, 1)],
+    )
+    lines = [r[0] for r in overdue_tsv_lines(library, date(2024, 3, 1)).collect()]
+    assert lines[1:] == ['"n"\t""\t"g"\t2000\t""\t\t\t2024-02-05\t25']

@@ -124,7 +124,7 @@ def test_update_loans(spark, shelf, seed):
     books, clients, before = collected(shelf)
     ids = [r[0] for r in before] + [999, None]
     batch = random_loans(rng, 40, lambda arrival: rng.choice(ids))
-    after, expected, holders = {r[0]: r for r in before}, {}, set()
+    after, expected, good = {r[0]: r for r in before}, {}, {}
     for arrival, *rest in sorted(batch):
         row = tuple(rest)
         if row[0] is None:
@@ -133,19 +133,17 @@ def test_update_loans(spark, shelf, seed):
             reason = "unmatched"
         else:
             reason = fault(row, books, clients)
-        if reason is None and row[0] in holders:
-            reason = "id taken"
-        if reason is None:
-            holders.add(row[0])
-        others = [other for other in before if other[0] != row[0]]
-        if reason is None and any(collide(row, other) for other in others):
-            reason = "overlaps a loan"
-        if reason is None:
-            if any(collide(row, after[i]) for i in after if i != row[0]):
-                reason = "overlaps the batch"
+        expected[arrival] = reason
         if reason is None:
+            good[arrival] = row
+    moving = {row[0] for row in good.values()}
+    for arrival, row in good.items():
+        met = [i for i, other in after.items() if i != row[0] and collide(row, other)]
+        if not met:
             after[row[0]] = row
-        expected[arrival] = reason
+        else:
+            fixed = any(i not in moving for i in met)
+            expected[arrival] = "overlaps a loan" if fixed else "overlaps the batch"
     outcome = ingest.update_loans(shelf, spark.createDataFrame(batch, LOAN_BATCH))
     assert reasons(outcome) == expected
     found = {r["id"]: tuple(r) for r in outcome.library.loans.select(*LOAN.names).collect()}
@@ -153,6 +151,30 @@ def test_update_loans(spark, shelf, seed):
     assert audits.overlap_violations(outcome.library).count() == 0
 
 
+def test_changes_see_the_ones_before_them(spark, shelf):
+    # Loan 1 leaves its days and loan 2 takes them; then loan 1 changes once more.
+    books, clients, before = collected(shelf)
+    book, borrower = next(b for b in books), next(c for c in clients)
+    free = max(r[1] for r in before)
+
+    def days(n):
+        return free + timedelta(days=n)
+
+    start = [(1, None, days(100), days(110), days(110), book, borrower), (2, None, days(200), days(210), days(210), book, borrower)]
+    library = ingest.append_loans(shelf, spark.createDataFrame(start, LOAN_BATCH))
+    one, two = (r["id"] for r in library.accepted.orderBy("arrival").collect())
+    changes = [
+        (1, one, days(300), days(310), days(310), book, borrower),
+        (2, two, days(102), days(109), days(109), book, borrower),
+        (3, one, days(110), days(120), days(120), book, borrower),
+        (4, one, days(105), days(108), days(108), book, borrower),
+    ]
+    outcome = ingest.update_loans(library.library, spark.createDataFrame(changes, LOAN_BATCH))
+    assert reasons(outcome) == {1: None, 2: None, 3: None, 4: "overlaps the batch"}
+    found = {r["id"]: r["start_date"] for r in outcome.library.loans.filter(F.col("id").isin(one, two)).collect()}
+    assert found == {one: days(110), two: days(102)}
+
+
 def test_record_returns(spark, shelf):
     still_out = shelf.loans.filter("return_date IS NULL").first()["id"]
     rows = [(1, still_out, at(75)), (2, 100, at(75)), (3, 999, at(75)), (4, None, at(75))]

@@ -5,11 +5,12 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from lendlens.functions import text
 from lendlens.functions.dates import parse_iso
 from lendlens.operators import audits, paging, queries, reports
 from lendlens.operators.occupancy import overlap_flags
 from lendlens.operators.predicates import BookSearch, ClientSearch, LoanSearch
-from lendlens.sources.library import flat_books
+from lendlens.sources.library import flat_books, flat_clients, flat_loans
 
 
 def book(id, name="b", year=2000, author="a", genre="g", added="2024-01-01"):
@@ -118,9 +119,8 @@ def test_zero_length_loans(make_library):
     ]
     loans = [loan(i, s, r, b) for i, s, r, b in spans]
     library = make_library([book(i) for i in (1, 2, 3)], [client(1)], loans)
-    for hot_rows in (1_000_000, 0):
-        flags = overlap_flags(library.loans, hot_rows).collect()
-        assert sorted(r["loan_id"] for r in flags) == [3, 4, 7, 8]
+    flags = overlap_flags(library.loans).collect()
+    assert sorted(r["loan_id"] for r in flags) == [3, 4, 7, 8]
 
 
 def test_returned_loans_collide_only_as_written(make_library):
@@ -202,9 +202,22 @@ def test_pages_rebuild_the_whole(make_library):
         paging.row_at(books, order, -1)
 
 
-def test_deep_pages_are_cut_from_the_numbered_rows(make_library, monkeypatch):
-    library = make_library([book(i, name=f"n{i % 3}") for i in range(23)])
-    books, order = flat_books(library), ["book_name", "book_id"]
-    shallow = paging.page(books, order, 12, 6).collect()
-    monkeypatch.setattr(paging, "MAX_TOP_ROWS", 10)
-    assert paging.page(books, order, 12, 6).collect() == shallow
+def test_missing_values_leave_a_line_in_place(make_library):
+    nobody = (1, None, None, None)
+    library = make_library([(1, None, 2000, None, "g", None)], [nobody], [loan(1, "2024-01-01", None, 1)])
+    row = flat_loans(library).join(flat_books(library), "book_id").join(flat_clients(library), "client_id")
+    assert row.select(text.loan_text()).first()[0].startswith(" (, 2000 г.) [g] -  [рег: , адрес: ] - c 2024-01-01 по ")
+
+
+def test_week_dates(spark):
+    days = ["2024-W10-1", "2024W10", "2020-W53-7", "2021-W53-1", "2024-W00-1", "2024-W10-8", "2024-W101", "2009W537"]
+    found = spark.createDataFrame([(d,) for d in days], "d string").select(parse_iso(F.col("d"))).collect()
+
+    def wanted(text):
+        try:
+            return date.fromisoformat(text)
+        except ValueError:
+            return None
+
+    assert [r[0] for r in found] == [wanted(d) for d in days]
+    assert sum(r[0] is not None for r in found) == 4

@@ -59,17 +59,21 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_busy_item_flags_equal_the_window_path(skewed):
-    by_window = overlap_flags(skewed.loans, hot_rows=1_000_000)
-    split = overlap_flags(skewed.loans, hot_rows=1_000)
-    assert by_window.exceptAll(split).count() == 0 and split.exceptAll(by_window).count() == 0
-    assert by_window.count() > 20_000
-
-
-@pytest.mark.parametrize("hot_rows", [1_000_000, 20, 0])
-def test_overlap_counts_equal_a_pair_join(skewed, hot_rows):
+def test_flags_of_busy_items_equal_a_pair_join(skewed):
+    # A third of all loans is of item 0, and many other items are as busy as can be paired here.
+    loans = skewed.loans.withColumn("book_id", F.expr("if(book_id = 0, id % 40 * 10000, book_id)"))
+    own = spans(loans, "id")
+    other = own.selectExpr("id AS other", "book_id AS b", "first AS f", "last AS l")
+    meets = F.expr("book_id = b AND id <> other AND first < l AND f < last")
+    expected = own.join(other, meets, "left_semi").select(F.col("id").alias("loan_id"), "book_id")
+    found = overlap_flags(loans)
+    assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+    assert found.count() > 20_000 and overlap_flags(skewed.loans).count() > 20_000
+
+
+def test_overlap_counts_equal_a_pair_join(skewed):
     some = spans(skewed.loans.filter("book_id BETWEEN 1 AND 400"), "id")
-    counted = overlap_counts(some, some.drop("id"), hot_rows).select("id", "overlaps")
+    counted = overlap_counts(some, some.drop("id")).select("id", "overlaps")
     other = some.selectExpr("id AS other", "book_id AS b", "first AS f", "last AS l")
     pairs = some.join(other, F.expr("book_id = b AND first < l AND f < last"), "left")
     expected = pairs.groupBy("id").agg(F.count("other").alias("overlaps"))
@@ -148,32 +152,45 @@ def test_numbering_only_gathers_partition_sizes(skewed):
     assert "Aggregate" in gathered.splitlines()[1]
 
 
-def test_large_batches_are_not_broadcast(skewed, monkeypatch):
-    asked = skewed.loans.select("book_id")
-    assert "LeftSemi" in plan_of(sizing.narrowed(skewed.loans, asked, "book_id"))
-    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 10)
-    assert sizing.narrowed(skewed.loans, asked, "book_id") is skewed.loans
-    assert "broadcast" not in sizing.sized(asked)._jdf.queryExecution().logical().toString()
-
-
-def test_batches_give_the_same_rows_when_nothing_is_small(spark, skewed, monkeypatch):
-    new = skewed.loans.select(
+def new_loans(skewed, days=400):
+    return skewed.loans.select(
         F.col("id").alias("arrival"),
         F.lit(None).cast("long").alias("id"),
-        F.date_add("start_date", 400).alias("start_date"),
-        F.date_add("end_date", 400).alias("end_date"),
-        F.date_add("start_date", (400 + F.col("id") % 4).cast("int")).alias("return_date"),
-        (F.col("book_id") + 0).alias("book_id"),
+        F.date_add("start_date", days).alias("start_date"),
+        F.date_add("end_date", days).alias("end_date"),
+        F.date_add("start_date", (days + F.col("id") % 4).cast("int")).alias("return_date"),
+        "book_id",
         "client_id",
     )
 
+
+def test_large_batches_are_not_broadcast(spark, skewed):
+    asked = skewed.loans.select("book_id")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="1k", spark__sql__adaptive__enabled="false"):
+        plan = plan_of(sizing.narrowed(skewed.loans, asked, "book_id"))
+    assert "LeftSemi" in plan and "Broadcast" not in plan
+
+
+def test_batches_give_the_same_rows_when_nothing_is_broadcast(spark, skewed):
     def rows():
-        outcome = ingest.append_loans(skewed, new)
+        outcome = ingest.append_loans(skewed, new_loans(skewed))
         return {r["arrival"]: r["id"] for r in outcome.accepted.collect()}
 
     small = rows()
-    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 10)
-    assert rows() == small and len(small) > 1000
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        assert rows() == small and len(small) > 1000
+
+
+def test_a_busy_item_is_gone_through_in_several_tasks(skewed):
+    rows = new_loans(skewed).where("book_id = 0").select(
+        "arrival", F.col("arrival").alias("loan"), "book_id", F.col("start_date").alias("first"), F.col("return_date").alias("last")
+    )
+    gaps = rows.where("dayofyear(first) % 10 < 5 and dayofyear(last) % 10 < 6 and datediff(last, first) < 6")
+    found = ingest._islands(gaps)
+    assert found.select("island").distinct().count() > 20
+    ends = found.groupBy("island").agg(F.max("last").alias("last"), F.min("first").alias("first")).orderBy("island").collect()
+    assert all(r["first"] == r["island"] for r in ends)
+    assert all(a["last"] <= b["first"] for a, b in zip(ends, ends[1:]))
 
 
 def test_books_of_the_flat_view_keep_their_keys(skewed):
