@@ -8,7 +8,7 @@ import time
 from pathlib import Path
 
 from lendlens.plans import registry
-from lendlens.session import build_session
+from lendlens.session import build_session, staging
 
 HEADLINE = (
     "books clients unloaned_books_at unreturned_loans expired_loans_at loan_search book_history "
@@ -39,21 +39,24 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    start = time.perf_counter()
-    registry.write_snapshot(spark, sf_dir)  # the queries run over a written library
-    prepared = round(time.perf_counter() - start, 3)
-    queries = {name: registry.ALL[name] for name in HEADLINE}
-    # The better of two rounds: the first one also starts the JVM's compiler.
-    rounds = [
-        {name: seconds(query, spark, sf_dir) for name, query in queries.items()} for _ in range(2)
-    ]
-    times = {name: min(r[name] for r in rounds) for name in queries}
+
+    # The better of two rounds: the first one also starts the JVM's compiler. Each round writes
+    # the library its queries run over.
+    def one_round() -> dict[str, float]:
+        with staging(spark):
+            start = time.perf_counter()
+            snapshot = registry.written_snapshot(spark, sf_dir)
+            times = {"write_snapshot": round(time.perf_counter() - start, 3)}
+            queries = registry.queries_over(lambda *_: snapshot)
+            return times | {name: seconds(queries[name], spark, sf_dir) for name in HEADLINE}
+
+    rounds = [one_round() for _ in range(2)]
+    times = {name: min(r[name] for r in rounds) for name in rounds[0]}
     result = {
-        "metric": "headline queries, total of the better of two rounds",
+        "metric": "writing the library and headline queries, total of the better of two rounds",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
-        "write_snapshot": prepared,
         "sf": float(Path(sf_dir).name.removeprefix("sf")),
     }
     print(json.dumps(result))

@@ -22,3 +22,17 @@ def test_every_query_has_its_sql():
 @pytest.mark.parametrize("name", registry.ALL)
 def test_same_rows(spark, duck, name):
     assert_same(registry.ALL[name](spark, SF_DIR), duck, oracle.ALL[name])
+
+
+WRITTEN = [name for name in registry.ALL if not name.startswith(("append", "update", "delete", "record", "read"))]
+
+
+@pytest.fixture(scope="module")
+def over_snapshot(spark):
+    snapshot = registry.written_snapshot(spark, SF_DIR)
+    return registry.queries_over(lambda *_: snapshot)
+
+
+@pytest.mark.parametrize("name", WRITTEN)
+def test_same_rows_over_a_written_library(spark, duck, over_snapshot, name):
+    assert_same(over_snapshot[name](spark, SF_DIR), duck, oracle.ALL[name])
