@@ -16,9 +16,12 @@ from lendlens.sources.library import (
     CLIENT_COLS,
     LOAN_COLS,
     Library,
+    begun_by,
+    flat,
     flat_books,
     flat_clients,
     flat_loans,
+    out_now,
 )
 
 LOAN_ROW = LOAN_COLS + [c for c in BOOK_COLS + CLIENT_COLS if c not in LOAN_COLS]
@@ -43,7 +46,8 @@ def unloaned_books_at(
     number of loans is one row when the anti join shuffles.
     """
     at = F.lit(day)
-    out = library.loans.filter(out_on(F.col("start_date"), F.col("return_date"), at))
+    begun = begun_by(library.loans, at)
+    out = begun.filter(out_on(F.col("start_date"), F.col("return_date"), at))
     in_stock = apply(flat_books(library), search).filter(F.col("added") <= at)
     free = in_stock.join(out.select("book_id").distinct(), "book_id", "left_anti")
     return free.select(*BOOK_COLS).orderBy("book_name", "book_id")
@@ -60,8 +64,7 @@ def loan_rows(
 def open_loan_rows(
     library: Library, search: LoanSearch | None = None, clients: DataFrame | None = None
 ) -> DataFrame:
-    still_out = flat_loans(library).filter(F.col("return_date").isNull())
-    return loan_rows(library, still_out, search, clients)
+    return loan_rows(library, flat(out_now(library.loans)), search, clients)
 
 
 def overdue_rows(library: Library, at: date, search: LoanSearch | None = None) -> DataFrame:

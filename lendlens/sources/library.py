@@ -65,6 +65,23 @@ class Library:
         return replace(self, **tables)
 
 
+def month_key(day: Column) -> Column:
+    """The month by which a store lays out its loans."""
+    return F.date_format(day, "yyyy-MM")
+
+
+def out_now(loans: DataFrame) -> DataFrame:
+    """Loans still out; of a store, only their folders."""
+    rows = loans.filter(F.col("return_date").isNull())
+    return rows.filter("open_key") if "open_key" in loans.columns else rows
+
+
+def begun_by(loans: DataFrame, day: Column) -> DataFrame:
+    """Loans begun by a day; of a store, only the folders of the months up to it."""
+    rows = loans.filter(F.col("start_date") <= day)
+    return rows.filter(F.col("month_key") <= month_key(day)) if "month_key" in loans.columns else rows
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select and type the columns of ``schema``.
 
@@ -163,4 +180,8 @@ def flat_clients(library: Library) -> DataFrame:
 
 
 def flat_loans(library: Library) -> DataFrame:
-    return library.loans.withColumnRenamed("id", "loan_id").select(*LOAN_COLS)
+    return flat(library.loans)
+
+
+def flat(loans: DataFrame) -> DataFrame:
+    return loans.withColumnRenamed("id", "loan_id").select(*LOAN_COLS)
