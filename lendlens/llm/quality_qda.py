@@ -30,8 +30,10 @@ NAMES = (
     "words", "word_length", "capitals", "marks", "symbols", "digits", "distinct", "echoes", "lines", "repeated_lines", "stops",
 )
 BATCH_BYTES = 16 << 20
-SHRINK_TO_POOLED = 0.1
-SHRINK_TO_IDENTITY = 0.01
+#: Cases of the usual kind that each share starts with.
+PRIOR = 20
+SHRINK_TO_POOLED = 0.5
+SHRINK_TO_IDENTITY = 0.05
 
 _NOT_CAPITALS = bytes(c for c in range(256) if not 65 <= c <= 90)
 _NOT_MARKS = bytes(c for c in range(256) if c not in b"!?;:\"'()-")
@@ -40,10 +42,10 @@ _NOT_DIGITS = bytes(c for c in range(256) if c not in b"0123456789")
 _NOT_STOPS = bytes(c for c in range(256) if c not in b".,")
 
 
-def _share(part: float, whole: float) -> float:
-    """Log odds of a share, drawn in at both ends."""
-    p = (part + 0.5) / (whole + 1.0)
-    return math.log(p / max(1.0 - p, 0.5 / (whole + 1.0)))
+def _share(part: float, whole: float, usual: float) -> float:
+    """Log odds of a share, after ``PRIOR`` more cases with the usual share: a short text says little against it."""
+    p = min((part + PRIOR * usual) / (whole + PRIOR), 0.999)
+    return math.log(p / (1.0 - p))
 
 
 def statistics(text: bytes) -> tuple[float, ...]:
@@ -52,17 +54,17 @@ def statistics(text: bytes) -> tuple[float, ...]:
     letters = sum(map(len, words))
     lines = [x for x in text.split(b"\n") if x.strip()]
     return (
-        math.log1p(n),
-        math.log1p(letters / n) if n else 0.0,
-        _share(len(text.translate(None, _NOT_CAPITALS)), letters),
-        _share(len(text.translate(None, _NOT_MARKS)), 2 * n),
-        _share(len(text.translate(None, _NOT_SYMBOLS)), 4 * n),
-        _share(len(text.translate(None, _NOT_DIGITS)), letters),
-        _share(n - len(set(words)), n),
-        _share(sum(map(eq, words, words[1:])), n),
-        math.log1p(n / (1 + len(lines))),
-        _share(len(lines) - len(set(lines)), len(lines)),
-        _share(len(text.translate(None, _NOT_STOPS)), 2 * n),
+        math.log(n + 2 * PRIOR),
+        math.log((letters + 5.5 * PRIOR) / (n + PRIOR)),
+        _share(len(text.translate(None, _NOT_CAPITALS)) / 5.5, letters / 5.5, 0.02),
+        _share(len(text.translate(None, _NOT_MARKS)), 2 * n, 0.002),
+        _share(len(text.translate(None, _NOT_SYMBOLS)), 4 * n, 0.002),
+        _share(len(text.translate(None, _NOT_DIGITS)) / 5.5, letters / 5.5, 0.002),
+        _share(n - len(set(words)), n, 0.2),
+        _share(sum(map(eq, words, words[1:])), n, 0.01),
+        math.log((n + PRIOR) / (len(lines) + 1)),
+        _share(len(lines) - len(set(lines)), len(lines), 0.02),
+        _share(len(text.translate(None, _NOT_STOPS)), 2 * n, 0.08),
     )
 
 
@@ -83,8 +85,8 @@ def features(docs: DataFrame) -> DataFrame:
 class Model:
     """Means, Cholesky factors and log priors of classes 0 and 1."""
 
-    def __init__(self, counts, means, factors, scatter: float):
-        self.counts, self.means, self.factors, self.scatter = counts, means, factors, scatter
+    def __init__(self, counts, means, factors):
+        self.counts, self.means, self.factors = counts, means, factors
 
     @property
     def empty(self) -> bool:
@@ -102,7 +104,7 @@ class Model:
 
 def _from_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float, identity: float) -> Model:
     if len(sums) < 2 or min(n for n, _, _ in sums.values()) < 2:
-        return Model(None, None, None, 0.0)
+        return Model(None, None, None)
     counts = [sums[c][0] for c in (0, 1)]
     means = [sums[c][1] / sums[c][0] for c in (0, 1)]
     scatters = [sums[c][2] - sums[c][0] * np.outer(m, m) for c, m in zip((0, 1), means, strict=True)]
@@ -112,7 +114,7 @@ def _from_sums(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: fl
         own = (1 - pooled) * scatter / n + pooled * both
         own = (1 - identity) * own + identity * max(np.trace(own) / len(own), 1e-6) * np.eye(len(own))
         factors.append(np.linalg.cholesky(own))
-    return Model(counts, means, factors, float(np.trace(both)))
+    return Model(counts, means, factors)
 
 
 def train(rows: DataFrame, pooled: float = SHRINK_TO_POOLED, identity: float = SHRINK_TO_IDENTITY) -> Model:
