@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lendlens.functions.text import iso
 from lendlens.operators.occupancy import overlap_flags
 from lendlens.operators.sizing import narrowed
-from lendlens.session import staged
 from lendlens.sources.library import NULLABLE, Library, flat_loans
 
 
