@@ -44,7 +44,7 @@ BATCH_BYTES = 2 << 20
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 2 << 20
 #: Bytes of suffixes that a task keeps before it sends them.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
 SENT = "bucket int, kind int, data binary"
 _SYMBOLS = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 
