@@ -20,8 +20,6 @@ group_size, while ``distinct_documents`` lets one of them stay; an empty table o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame

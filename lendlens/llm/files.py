@@ -41,11 +41,6 @@ def open_input(uri: str):
     return store.open_input_file(path)
 
 
-def open_stream(uri: str):
-    store, path = _store(uri)
-    return store.open_input_stream(path, compression=None)
-
-
 def open_draft(uri: str):
     """A stream to a draft of the file, and a call that gives it its name."""
     store, path = _store(uri)
@@ -54,11 +49,6 @@ def open_draft(uri: str):
     return store.open_output_stream(draft), lambda: store.move(draft, path)
 
 
-def remove_folder(uri: str) -> None:
-    store, path = _store(uri)
-    store.delete_dir(path)
-
-
 def mapped(uri: str) -> np.ndarray:
     """The bytes of a file, memory-mapped where the folder is mounted, else read."""
     store, path = _store(uri)
