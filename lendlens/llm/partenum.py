@@ -19,10 +19,16 @@ What is exact and what it costs:
   one as well, so sets with fewer shingles seen elsewhere are done. It holds shingles by some ten bits more than
   tell them apart, as a chance match only lets a set through.
 - A census counts each signature's sets. Those with one are dropped, those with more than ``GROUP`` are dealt out in
-  groups of about that many. Sets of a group are compared until they are one component; sets found similar are one
-  component and need no more comparing. Sets are read from memory-mapped files in the shared folder.
-- A dealt-out signature whose sets lie in several components after that gets a second round: all of its sets outside
-  the largest component, in blocks, against all of its sets in other components. So no pair of similar sets is lost.
+  groups of about that many.
+- Each set is first compared with one other, of those it shares a signature with the one whose signatures occur most
+  often: in a crowd of near copies that is what they are copies of. Sets outside the largest component of a group are
+  then compared with a few others of it, ``TURNS`` times. At last all pairs that share a signature and are not in one
+  component yet are compared, each once, across the groups of a dealt-out signature as well: all sets outside its
+  largest component, in blocks, against all. So no pair of similar sets is lost, and a crowd costs few pairs.
+- Before a pair is compared, a sketch is: for each of some four places a shingle, whether an odd number of shingles falls on
+  it. Sets differ in at least as many shingles as their sketches do in places, so most pairs that are too far
+  apart go at that; none that is similar does.
+- Sets and sketches are read from memory-mapped files in the shared folder.
 
 Defined cases: a document without words or text has an empty set, linked with nothing; fewer words than a shingle are
 one; a null doc_id comes after all others and only its own component if nothing else is in it; repeated rows have one set.
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.llm.common import GOLDEN, mix64, pieces, staged, text_of, texts
-from lendlens.llm.components import components
+from lendlens.operators.components import components
 from lendlens.llm.files import mapped, new_folder, pack_numbers, unpack_numbers, write_whole
 from lendlens.llm.minimisers import gram_hashes
 from lendlens.llm.sorted_files import ADD_UP, BLOBS, SortedFiles, added, blob_batch, blobs, bounds, sizes_of, unpacked
@@ -51,6 +57,9 @@ PERCENT = 75
 PARTS = 4
 SEEDS = 16
 GROUP = 1024
+#: One group in so many is looked at before all pairs that meet are compared, and how often that is done.
+LOOK = 16
+TURNS = 2
 BATCH_BYTES = 8 << 20
 #: Bytes of packed sets in a file of the store.
 FILE_BYTES = 4 << 20
@@ -204,10 +213,13 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _of_seed(sets: list[np.ndarray], j: np.ndarray, largest: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The signatures for instance ``j`` by one hash of the domain, and which sets are safe with it."""
     sizes = np.array([len(x) for x in sets], np.int64)
-    most = 2 * largest * (100 - PERCENT) // (100 + PERCENT)  # differences
-    must = most // 2 + 1
+    most = 2 * largest * (100 - PERCENT) // (100 + PERCENT)  # differences of any two sets of the instance
+    least = most // 2 + 1
     # Some partitions more than the least number, so that sets are safe though some are nearly empty.
-    partitions = np.where(most == 0, 1, np.where(most < 8, must, must + must // 4 + 1))
+    partitions = np.where(most == 0, 1, np.where(least < 4, least, least + least // 8 + 1))
+    # A set differs from a similar one of the instance in no more than its own size allows.
+    own = (sizes + np.minimum(largest, 100 * sizes // PERCENT)) * (100 - PERCENT) // (100 + PERCENT)
+    must = own // 2 + 1
     of = np.repeat(np.arange(len(sets)), sizes)
     flat = np.concatenate(sets)
     with np.errstate(over="ignore"):
@@ -252,7 +264,7 @@ class Store:
     """Sets by their ID, in memory-mapped files."""
 
     def __init__(self, folder: str, files: int):
-        self.folder, self.files = folder, files
+        self.folder, self.files, self.present = folder, files, []
 
     @staticmethod
     def write(folder: str, number: int, ids: np.ndarray, sets: list[np.ndarray]) -> None:
@@ -264,6 +276,31 @@ class Store:
     def numbers(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(bounds(self.files), mix64(ids.astype(np.uint64)), "right")
 
+    def labels(self, ids: np.ndarray) -> np.ndarray:
+        """The one number that is held for each ID, or the ID itself; ``ids`` are sorted."""
+        out = ids.copy()
+        numbers = self.numbers(ids)
+        for number in np.intersect1d(numbers, self.present).tolist():
+            mine = np.flatnonzero(numbers == number)
+            held, _, values = _open(f"{self.folder}/{number:08d}")
+            at = np.searchsorted(held, ids[mine])
+            at[at == len(held)] = 0
+            hit = held[at] == ids[mine]
+            out[mine[hit]] = values[at[hit]].view(np.int64)
+        return out
+
+    def many(self, ids: np.ndarray) -> list[np.ndarray]:
+        """What is held for each ID; all must be there."""
+        out: list = [None] * len(ids)
+        numbers = self.numbers(ids)
+        for number in np.unique(numbers).tolist():
+            mine = np.flatnonzero(numbers == number)
+            held, ends, values = _open(f"{self.folder}/{number:08d}")
+            at = np.searchsorted(held, ids[mine])
+            for i, a, b in zip(mine.tolist(), ends[at].tolist(), ends[at + 1].tolist(), strict=True):
+                out[i] = values[a:b]
+        return out
+
     def get(self, id: int) -> np.ndarray:
         number = int(self.numbers(np.array([id], np.int64))[0])
         ids, ends, shingles = _open(f"{self.folder}/{number:08d}")
@@ -278,10 +315,57 @@ def _open(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[8 : 8 + 8 * n].view(np.int64), raw[8 + 8 * n : 16 + 16 * n].view(np.int64), raw[16 + 16 * n :].view(np.uint64)
 
 
-def _store(sets: DataFrame) -> Store:
-    """``sets``: set_id, shingles (packed)."""
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The size of a set, then whether an odd number of its shingles falls on each of so many places, as bits."""
+    places = 64
+    while places < 4 * len(shingles):
+        places *= 2
+    odd = np.bincount((shingles % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.concatenate([np.array([len(shingles)], np.uint64), np.packbits(odd.astype(np.uint8)).view(np.uint64)])
+
+
+class Sketches:
+    """Sketches of sets, by their place in ``ids``. Each place where two differ is a difference of the sets."""
+
+    def __init__(self, store: Store, ids: np.ndarray):
+        found = store.many(ids)
+        self.sizes = np.array([x[0] for x in found], np.int64)
+        self.bits = [x[1:] for x in found]
+        self.words = np.array([len(x) for x in self.bits], np.int64)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _level(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sketches of so many words, those of twice as many folded, and the row of each set."""
+        if words not in self.levels:
+            own, twice = np.flatnonzero(self.words == words), np.flatnonzero(self.words == 2 * words)
+            rows = [self.bits[i] for i in own.tolist()]
+            rows += [self.bits[i][:words] ^ self.bits[i][words:] for i in twice.tolist()]
+            at = np.full(len(self.words), -1, np.int64)
+            at[own], at[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            self.levels[words] = np.stack(rows), at
+        return self.levels[words]
+
+    def may_be_similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False only for pairs that differ in more than similar sets can."""
+        small, large = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        out = 100 * small >= PERCENT * large
+        words = np.minimum(self.words[a], self.words[b])
+        for level in np.unique(words[out]).tolist():
+            matrix, at = self._level(level)
+            mine = np.flatnonzero(out & (words == level))
+            step = max(1, (8 << 20) // (8 * level))
+            for i in range(0, len(mine), step):
+                part = mine[i : i + step]
+                differ = np.bitwise_count(matrix[at[a[part]]] ^ matrix[at[b[part]]]).sum(axis=1, dtype=np.int64)
+                out[part] = (100 + PERCENT) * differ <= (100 - PERCENT) * (small[part] + large[part])
+        return out
+
+
+def _store(sets: DataFrame) -> tuple[Store, Store]:
+    """The shingles and the sketches of sets, from set_id and shingles (packed)."""
     total = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    store = Store(new_folder(sets.sparkSession, "shingle-sets"), int(max(8, total // FILE_BYTES + 1)))
+    files = int(max(8, total // FILE_BYTES + 1))
+    store, sketches = (Store(new_folder(sets.sparkSession, name), files) for name in ("shingle-sets", "sketches"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,95 +375,80 @@ def _store(sets: DataFrame) -> Store:
     def written(table: pa.Table) -> pa.Table:
         number = table.column("number")[0].as_py()
         found = [unpack_numbers(x.as_py(), 1)[0] for x in table.column("shingles")]
-        Store.write(store.folder, number, table.column("set_id").to_numpy(), found)
+        ids = table.column("set_id").to_numpy()
+        Store.write(store.folder, number, ids, found)
+        Store.write(sketches.folder, number, ids, [sketch(x) for x in found])
         return pa.table({"number": pa.array([number], pa.int32()), "n": [len(found)]})
 
     rows = sets.select("set_id", "shingles").mapInArrow(numbered, "number int, set_id long, shingles binary")
     staged(rows.groupBy("number").applyInArrow(written, "number int, n long"))
-    return store
+    return store, sketches
 
 
-class _Components:
-    """Components among the sets of a task, and the links that made them."""
+def _verify(store: Store):
+    """Of pairs a, b those whose sets are similar."""
 
-    def __init__(self, store: Store):
-        self.store, self.parent, self.links, self.apart, self.sets = store, {}, [], set(), {}
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
 
-    def root(self, x: int) -> int:
-        parent = self.parent
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+        def get(id: int) -> np.ndarray:
+            found = sets.get(id)
+            if found is None:
+                if len(sets) >= 4096:
+                    sets.clear()
+                found = sets[id] = store.get(id)
+            return found
 
-    def tie(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def _set(self, x: int) -> np.ndarray:
-        found = self.sets.get(x)
-        if found is None:
-            if len(self.sets) > 4096:
-                self.sets.clear()
-            found = self.sets[x] = self.store.get(x)
-        return found
+        for batch in batches:
+            similar = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = get(a), get(b)
+                close = 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y))
+                if close:
+                    at = np.searchsorted(x, y)
+                    at[at == len(x)] = 0
+                    common = int((x[at] == y).sum())
+                    close = 100 * common >= PERCENT * (len(x) + len(y) - common)
+                similar.append(close)
+            yield batch.filter(pa.array(similar, pa.bool_()))
 
-    def compare(self, a: int, b: int) -> bool:
-        """Whether the two are one component now."""
-        if self.root(a) == self.root(b):
-            return True
-        pair = (a, b) if a < b else (b, a)
-        if pair in self.apart:
-            return False
-        x, y = self._set(a), self._set(b)
-        if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            common = int((x[at] == y).sum())
-            if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                self.links.append(pair)
-                self.tie(a, b)
-                return True
-        self.apart.add(pair)
-        return False
-
-    def resolve(self, members: list[int]) -> None:
-        """Compare the members until they are one component, or all pairs across components are done."""
-        for i, a in enumerate(members):
-            together = True
-            for b in members[i + 1 :]:
-                if not self.compare(a, b):
-                    together = False
-            if together:
-                # All that come after are with this one: nothing is left across components among them.
-                break
+    return verified
 
-    def table(self) -> pa.Table:
-        a, b = zip(*self.links, strict=True) if self.links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+def _links(pairs: DataFrame, store: Store, parts: int) -> DataFrame:
+    """Verify pairs, dealt so that those of one set lie together and a frequent one in several tasks.
 
-def _salts(counts: np.ndarray) -> np.ndarray:
-    return -(-counts // GROUP)
+    The number of parts is given: pairs are few bytes and much work, and would be put together by their bytes.
+    """
+    dealt = pairs.select("a", "b").repartitionByRange(parts, "b", "a")
+    return staged(dealt.mapInArrow(_verify(store), "a long, b long"))
 
 
-def _send(files: SortedFiles, buckets: int):
-    """Blobs of (signature and group, set), and with range -1 those of the signatures that are dealt out."""
+def _send(files: SortedFiles, buckets: int, group: int):
+    """Blobs of (signature and group, set, how often its signatures occur in others), and with range -1 those of the
+    signatures that are dealt out in groups."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "shingles", BATCH_BYTES // 4):
             ids, sets = _sets_in(batch)
             number, signature = signatures(sets)
             counts = _found_in(files, signature)
+            degree = np.bincount(number, weights=np.maximum(counts - 1, 0), minlength=len(sets)).astype(np.int64)
             keep = counts > 1
-            number, signature, salts = number[keep], signature[keep], _salts(counts[keep]).astype(np.uint64)
+            number, signature, salts = number[keep], signature[keep], -(-counts[keep] // group)
             id = ids[number]
+            salts = salts.astype(np.uint64)
             salt = mix64(id.astype(np.uint64) + signature) % salts
             with np.errstate(over="ignore"):
                 key = np.where(salts > 1, mix64(signature + salt * GOLDEN), signature)
             order = np.argsort(key, kind="stable")
-            yield blobs(key[order], id[order], buckets)
+            cuts = [0, *np.searchsorted(key[order], bounds(buckets)).tolist(), len(key)]
+            rows = []
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                part = order[a:b]
+                if len(part):
+                    rows.append((i, len(part), pack_numbers(key[part], id[part], degree[number[part]])))
+            yield blob_batch(rows)
             many = np.flatnonzero(salts > 1)
             if len(many):
                 many = many[np.argsort(signature[many], kind="stable")]
@@ -388,25 +457,96 @@ def _send(files: SortedFiles, buckets: int):
     return sent
 
 
-def _resolve(store: Store):
-    def resolved(table: pa.Table) -> pa.Table:
-        if table.column("range")[0].as_py() < 0:
-            return _Components(store).table()
-        parts = [unpack_numbers(x.as_py(), 2) for x in table.column("data")]
-        key, id = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        order = np.lexsort((id, key))
-        key, id = key[order], id[order].astype(np.int64)
-        found = _Components(store)
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        seen: set[bytes] = set()
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
-            members = np.unique(id[a:b])
-            if len(members) > 1 and (mark := members.tobytes()) not in seen:
-                seen.add(mark)
-                found.resolve(members.tolist())
-        return found.table()
+def _gather(folder: str):
+    """Write the groups of a range to a file. Of each set the best known of those it meets there: a, b and b's degree.
 
-    return resolved
+    One group in ``LOOK`` is looked at: sets that are close meet in a good part of their groups.
+    """
+
+    def gathered(table: pa.Table) -> pa.Table:
+        number = table.column("range")[0].as_py()
+        parts = [unpack_numbers(x.as_py(), 3) for x in table.column("data")]
+        key, id, degree = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        id, degree = id.view(np.int64), degree.view(np.int64)
+        order = np.lexsort((id, -degree, key))
+        key, id, degree = key[order], id[order], degree[order]
+        write_whole(f"{folder}/{number:08d}", np.array([len(key)], np.int64).tobytes(), key.tobytes(), id.tobytes())
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lead = np.repeat(first, np.diff(np.concatenate([first, [len(key)]])))
+        other = np.flatnonzero((id != id[lead]) & (key % np.uint64(LOOK) == 0))
+        a, b, w = id[other], id[lead[other]], degree[lead[other]]
+        order = np.lexsort((b, -w, a))
+        a, b, w = a[order], b[order], w[order]
+        best = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else order
+        # The first row tells of the file.
+        found = {"a": np.append(0, a[best]), "b": np.append(0, b[best]), "w": np.append(-1, w[best])}
+        return pa.table({"range": pa.array(np.full(len(best) + 1, number, np.int32)), **found})
+
+    return gathered
+
+
+def _pair_batch(sketches: Store, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs of places in ``ids``, which are sorted, that may be similar; the smaller ID first."""
+    n = max(len(ids), 1)
+    both = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    used, places = np.unique(np.concatenate([both // n, both % n]), return_inverse=True)
+    a, b = places[: len(both)], places[len(both) :]
+    ids = ids[used]
+    if len(both):
+        close = Sketches(sketches, ids).may_be_similar(a, b)
+        a, b = a[close], b[close]
+    return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+
+def _suggested(label: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """For each member outside the largest component, one of the largest and one of any other, by places."""
+    kinds, part, counts = np.unique(label, return_inverse=True, return_counts=True)
+    largest = part == np.argmax(counts)
+    few = np.flatnonzero(~largest)
+    one = rng.choice(np.flatnonzero(largest), len(few))
+    two = rng.integers(0, len(label), len(few))
+    a, b = np.concatenate([few, few]), np.concatenate([one, two])
+    apart = label[a] != label[b]
+    return a[apart], b[apart]
+
+
+def _across_components(folder: str, labels: Store, sketches: Store, turn: int | None = None):
+    """Of the groups in the files of ranges, the pairs of sets that may be similar and whose components differ: all, or in a
+    ``turn`` some."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("range").to_pylist():
+                raw = mapped(f"{folder}/{number:08d}")
+                n = int(raw[:8].view(np.int64)[0])
+                key, id = raw[8 : 8 + 8 * n].view(np.uint64), raw[8 + 8 * n :].view(np.int64)
+                ids, places = np.unique(id, return_inverse=True)
+                label = labels.labels(ids)[places]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
+                last = np.concatenate([first[1:], [n]])
+                mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first) if n else first.astype(bool)
+                if turn is not None:
+                    mixed &= key[first] % np.uint64(LOOK) == turn
+                rng = np.random.default_rng(number)
+                left, right, size = [], [], 0
+                for i in np.flatnonzero(mixed).tolist():
+                    members, parts = places[first[i] : last[i]], label[first[i] : last[i]]
+                    if turn is None:
+                        a, b = np.triu_indices(len(members), 1)
+                        apart = parts[a] != parts[b]
+                        a, b = a[apart], b[apart]
+                    else:
+                        a, b = _suggested(parts, rng)
+                    left.append(members[a])
+                    right.append(members[b])
+                    size += len(a)
+                    if size > ADD_UP:
+                        yield _pair_batch(sketches, ids, np.concatenate(left), np.concatenate(right))
+                        left, right, size = [], [], 0
+                if size:
+                    yield _pair_batch(sketches, ids, np.concatenate(left), np.concatenate(right))
+
+    return found
 
 
 def _unpack_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,26 +556,22 @@ def _unpack_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["signature", "set_id", "salt", "salts"])
 
 
-def _across(store: Store):
-    """Links between the sets of a block outside the largest component and those of a block of all."""
+def _across_blocks(sketches: Store):
+    """Pairs that may be similar, across components, of a block of sets outside the largest component and a block of all."""
 
-    def found_links(table: pa.Table) -> pa.Table:
-        found = _Components(store)
-        ids, parts, sides = (table.column(c).to_pylist() for c in ("set_id", "component", "side"))
-        for id, part in zip(ids, parts, strict=True):
-            found.tie(id, part)
-        few = [i for i, side in zip(ids, sides, strict=True) if side]
-        every = [i for i, side in zip(ids, sides, strict=True) if not side]
-        for a in few:
-            for b in every:
-                found.compare(a, b)
-        return found.table()
+    def found(table: pa.Table) -> pa.Table:
+        id, part, side = (table.column(c).to_numpy() for c in ("set_id", "component", "side"))
+        few, every = np.flatnonzero(side), np.flatnonzero(~side)
+        a, b = np.repeat(few, len(every)), np.tile(every, len(few))
+        apart = part[a] != part[b]
+        ids, place = np.unique(id, return_inverse=True)
+        return pa.Table.from_batches([_pair_batch(sketches, ids, place[a[apart]], place[b[apart]])])
 
-    return found_links
+    return found
 
 
-def _second_round(many: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
-    """Links across the components of signatures that were dealt out in groups."""
+def _across_groups(many: DataFrame, labels: DataFrame, sketches: Store) -> DataFrame:
+    """Pairs across components of the signatures that were dealt out in groups."""
     rows = many.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
     rows = staged(rows.withColumn("component", F.coalesce("component", "set_id")))
     sizes = rows.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -447,13 +583,61 @@ def _second_round(many: DataFrame, labels: DataFrame, store: Store) -> DataFrame
     salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
     fanned = few.select("signature", F.col("salt").alias("few_salt"), "set_id", "component", salt)
     both = every.unionByName(fanned.withColumn("side", F.lit(True)))
-    return both.groupBy("signature", "few_salt", "salt").applyInArrow(_across(store), "a long, b long")
+    return both.groupBy("signature", "few_salt", "salt").applyInArrow(_across_blocks(sketches), "a long, b long")
+
+
+def _label_store(labels: DataFrame, files: int) -> Store:
+    """The component of each set that has one."""
+    store = Store(new_folder(labels.sparkSession, "components"), files)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = pa.array(store.numbers(batch.column("node").to_numpy()).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([number, batch.column("node"), batch.column("component")], ["number", "node", "component"])
+
+    def written(table: pa.Table) -> pa.Table:
+        number = table.column("number")[0].as_py()
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        Store.write(store.folder, number, node, [x.view(np.uint64) for x in component[:, None]])
+        return pa.table({"number": pa.array([number], pa.int32()), "n": [len(node)]})
+
+    rows = labels.mapInArrow(numbered, "number int, node long, component long")
+    made = staged(rows.groupBy("number").applyInArrow(written, "number int, n long"))
+    store.present = sorted(r["number"] for r in made.collect())  # a row for each file
+    return store
+
+
+def _ties(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that links tie, as a, b."""
+    one, two = labels.alias("one"), labels.alias("two")
+    named = links.alias("l").join(one, F.col("l.a") == F.col("one.node")).join(two, F.col("l.b") == F.col("two.node"))
+    return named.select(F.col("one.component").alias("a"), F.col("two.component").alias("b")).where("a <> b").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component with each component put to the largest one it is tied to, if that is larger, and on from there.
+
+    Components that are tied may still have several names after that, but never one name if they aren't.
+    """
+    sizes = staged(labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    ties = staged(_ties(labels, links))
+    both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own, other = sizes.alias("own"), sizes.alias("other")
+    sized = both.join(own, F.col("a") == F.col("own.component")).join(other, F.col("b") == F.col("other.component"))
+    up = sized.where("other.n > own.n OR (other.n = own.n AND b < a)")
+    top = F.max(F.struct(F.col("other.n").alias("n"), F.bitwise_not("b").alias("b")))["b"]
+    ahead = staged(up.groupBy("a").agg(F.bitwise_not(top).alias("b")))
+    for _ in range(2):
+        further = ahead.alias("x").join(ahead.alias("y"), F.col("x.b") == F.col("y.a"), "left")
+        ahead = staged(further.select("x.a", F.coalesce("y.b", "x.b").alias("b")))
+    joined = labels.join(ahead, labels["component"] == ahead["a"], "left")
+    return staged(joined.select("node", F.coalesce("b", "component").alias("component")))
 
 
 NUMBERS = ["one", "two", "n_shingles"]
 
 
-def similar_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def similar_documents(docs: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(id, key, doc_id and the numbers of its set for each document; the numbers, component and component_id of the sets
     of two documents or with a similar set). The other documents are linked with nothing.
 
@@ -470,26 +654,44 @@ def similar_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = staged(classes.withColumn("set_id", F.xxhash64(*NUMBERS)))
     candidates = described.where("shingles is not null").select(F.xxhash64(*NUMBERS).alias("set_id"), "shingles")
     sets = staged(candidates.groupBy("set_id").agg(F.first("shingles").alias("shingles")))
-    store = _store(sets)
+    store, sketches = _store(sets)
     packed = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
     ranges = int(max(8, packed // (FILE_BYTES // 4) + 1))
     signed = _census(sets.select("shingles"), _signatures_of, ranges, "signatures")
-    sent = staged(sets.mapInArrow(_send(signed, ranges), BLOBS))
-    links = staged(sent.where("range >= 0").groupBy("range").applyInArrow(_resolve(store), "a long, b long"))
+    sent = staged(sets.mapInArrow(_send(signed, ranges, group), BLOBS))
+    folder = new_folder(docs.sparkSession, "signature-groups")
+    met = staged(sent.where("range >= 0").groupBy("range").applyInArrow(_gather(folder), "range int, a long, b long, w long"))
+    ranges_met = met.where("w < 0").select("range").repartition(ranges, "range")
+    # First each set with the best known one it meets: of a crowd of near copies that ties most.
+    best = met.where("w >= 0").groupBy("a").agg(F.max(F.struct("w", "b"))["b"].alias("b"))
+    links = _links(best, store, ranges)
+    labels = staged(sets.select(F.col("set_id").alias("node"), F.col("set_id").alias("component")))
+    labels = _merged(labels, links)
+    # Then those left over with some they meet, of other components.
+    for turn in range(1, TURNS + 1):
+        found = _across_components(folder, _label_store(labels, store.files), sketches, turn)
+        some = _links(ranges_met.mapInArrow(found, "a long, b long").distinct(), store, ranges)
+        labels, links = _merged(labels, some), links.unionByName(some)
+    # At last all pairs that meet and are not in one component yet.
+    found = _across_components(folder, _label_store(labels, store.files), sketches)
+    pairs = ranges_met.mapInArrow(found, "a long, b long")
     many = sent.where("range < 0").select("data")
     if not many.isEmpty():
         many = staged(many.mapInArrow(_unpack_many, "signature long, set_id long, salt long, salts long"))
-        links = staged(links.unionByName(_second_round(many, staged(components(links)), store)))
-    labels = components(links).select(F.col("node").alias("set_id"), "component")
+        pairs = pairs.unionByName(_across_groups(many, labels, sketches))
+    links = links.unionByName(_links(pairs.distinct(), store, ranges))
+    tied = components(_ties(labels, links)).select(F.col("node").alias("name"), F.col("component").alias("whole"))
+    labels = labels.join(tied, labels["component"] == tied["name"], "left")
+    labels = labels.select(F.col("node").alias("set_id"), F.coalesce("whole", "component").alias("component"))
     joined = classes.join(labels, "set_id", "left").where("n > 1 or component is not null")
     joined = staged(joined.select(*NUMBERS, "first_id", F.coalesce("component", "set_id").alias("component")))
     least = staged(joined.groupBy("component").agg(F.min("first_id").alias("component_id")))
     return described, staged(joined.join(least, "component").select(*NUMBERS, "component", "component_id"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    described, groups = similar_documents(docs)
+    described, groups = similar_documents(docs, group)
     component = F.coalesce(F.nullif("component_id", F.lit(LAST)), "doc_id")
     return described.select("doc_id", *NUMBERS).join(groups, NUMBERS, "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
