@@ -3,12 +3,14 @@
 A window is a run of symbols (words or bytes) of one document, a gram a shorter run. A window's minimiser is the gram in
 it that comes first in a fixed scrambled order, the leftmost of equal ones. Equal windows have equal minimisers at the same offset, so
 of two equal windows that start at different places the minimisers lie at different places too.
-A *census* counts the places of each minimiser, in all documents. Only windows whose minimiser has two places or more can
-occur twice, and only they need to travel.
+A *census* counts the different strings over each minimiser, in all documents, or two where one string comes again. Only windows
+whose minimiser has a count of two or more can occur twice, and only they need to travel. A minimiser with a large count would
+gather its strings in one group; its windows travel one by one, dealt by all that they hold (``Runs.split``).
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from lendlens.llm.sorted_files import ADD_UP, BLOBS, SortedFiles, added, blobs,
 #: Bits of a place within a batch; the rest of 64 are a gram's hash.
 PLACE_BITS = np.uint64(30)
 _PLACE = np.uint64((1 << 30) - 1)
+#: Runs that a task looks at before it may send.
+SLICE = 1 << 16
 
 
 def gram_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -87,6 +91,7 @@ class Runs:
         self.last = windows[np.concatenate([new[1:], [len(windows)]]).astype(np.int64) - 1] if len(new) else self.first
         self.anchor = anchors[new]
         self.value = hashes[self.anchor]
+        self.hashes, self.gram, self.window = hashes, gram, window
 
     def __len__(self) -> int:
         return len(self.first)
@@ -94,32 +99,69 @@ class Runs:
     def keep(self, chosen: np.ndarray) -> None:
         self.first, self.last, self.anchor, self.value = (x[chosen] for x in (self.first, self.last, self.anchor, self.value))
 
-
-def census(docs: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], name: str) -> SortedFiles:
-    """The minimisers with two places or more. ``values``: of a batch of rows, the minimisers' hashes."""
+    def contents(self) -> np.ndarray:
+        """A hash of all that each run covers, from grams end to end."""
+        last = self.last + self.window - self.gram
+        out = (last - self.first).astype(np.uint64)
+        for step in range(0, 2 * (self.window - self.gram) + self.gram, self.gram):
+            out = mix64(out + GOLDEN ^ self.hashes[np.minimum(self.first + step, last)])
+        return out
+
+    def split(self, chosen: np.ndarray) -> None:
+        """Make each window of the chosen runs a run of its own, with a hash of the whole window for its value."""
+        if not chosen.any():
+            return
+        counts = np.where(chosen, self.last - self.first + 1, 1)
+        of = np.repeat(np.arange(len(self)), counts)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.keep(of)
+        alone = chosen[of]
+        self.first = self.first + step
+        self.last = np.where(alone, self.first, self.last)
+        single = copy.copy(self)
+        single.keep(alone)
+        self.value[alone] = single.contents()
+
+    def slices(self) -> Iterator[Runs]:
+        for start in range(0, len(self), SLICE):
+            part = copy.copy(self)
+            part.keep(slice(start, start + SLICE))
+            yield part
+
+
+def strings_over(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct minimisers, and of each the number of different strings of its runs; two where one string comes again."""
+    value, places = np.unique(runs.value, return_counts=True)
+    some = np.unique(runs.contents(), return_index=True)[1]
+    held, counts = np.unique(runs.value[some], return_counts=True)
+    different = np.zeros(len(value), np.int64)
+    different[np.searchsorted(value, held)] = counts
+    return value, np.maximum(different, np.minimum(places, 2))
+
+
+def census(docs: DataFrame, runs: Callable[[pa.RecordBatch], Iterator[Runs]], name: str) -> SortedFiles:
+    """The minimisers with two places or more, with the counts of their strings added up. ``runs``: those of a batch of rows."""
     folder = new_folder(docs.sparkSession, name)
     ranges = max(8, docs.rdd.getNumPartitions())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
         for batch in batches:
-            for found in values(batch):
-                k, c = np.unique(found, return_counts=True)
+            for found in runs(batch):
+                k, c = strings_over(found)
                 keys.append(k)
-                counts.append(np.minimum(c, 2))
+                counts.append(c)
                 size += len(k)
                 if size > ADD_UP:
-                    k, c = added(keys, counts)
-                    yield blobs(k, np.minimum(c, 2), ranges)
+                    yield blobs(*added(keys, counts), ranges)
                     keys, counts, size = [], [], 0
-        k, c = added(keys, counts)
-        yield blobs(k, np.minimum(c, 2), ranges)
+        yield blobs(*added(keys, counts), ranges)
 
     def written(table: pa.Table) -> pa.Table:
         number = table.column("range")[0].as_py()
         keys, counts = unpacked(table)
         again = counts > 1
-        SortedFiles.write(folder, number, keys[again], np.minimum(counts[again], 2))
+        SortedFiles.write(folder, number, keys[again], counts[again])
         return pa.table({"range": pa.array([number], pa.int32()), "n": [int(again.sum())]})
 
     sent = docs.mapInArrow(counted, BLOBS)
@@ -127,8 +169,10 @@ def census(docs: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarr
     return SortedFiles(folder, sizes_of([(r["range"], r["n"]) for r in made], ranges))
 
 
-def repeated(files: SortedFiles, values: np.ndarray) -> np.ndarray:
-    """Whether each value is in the files."""
-    distinct, inverse = np.unique(values, return_inverse=True)
-    rank, _ = files.look_up(distinct)
-    return (rank >= 0)[inverse]
+def travelling(files: SortedFiles, runs: Runs, hot: int) -> Iterator[Runs]:
+    """Of the runs those that could occur twice, a slice at a time; where a minimiser has more than ``hot`` strings, window by window."""
+    distinct, inverse = np.unique(runs.value, return_inverse=True)
+    counts = files.look_up(distinct)[1][inverse]
+    runs.keep(counts > 0)
+    runs.split(counts[counts > 0] > hot)
+    return runs.slices()

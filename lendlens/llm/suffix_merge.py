@@ -17,7 +17,10 @@ bytes before the minimiser are the same too are equal, and those of a larger doc
 
 What keeps this small and even: a census of minimisers first, as only those with two places or more can lie in
 repeated strings; equal suffixes with equal bytes before them (copies of a passage) are one entry for each task, under
-the smallest doc_id that the task has for it, and the other documents' spans are known without asking.
+the smallest doc_id that the task has for it, and the other documents' spans are known without asking. A minimiser that has
+more than ``HOT`` different entries (a phrase in many contexts) would fill a bucket by itself, more the larger the corpus: each
+string of ``LENGTH`` bytes over it is an entry of its own, dealt by a hash of the whole string, so they are spread over all
+buckets; equal strings still meet, and their bytes are compared in the merge as the others' are.
 
 Defined cases: a null text is empty; a null doc_id comes after all others; rows of one doc_id don't count as each
 other's repeats, though they lose what smaller ones have; an empty table gives no rows.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.llm.common import GOLDEN, mix64, pieces, texts
-from lendlens.llm.minimisers import Runs, census, gram_hashes, repeated
+from lendlens.llm.minimisers import Runs, census, gram_hashes, travelling
 from lendlens.llm.sorted_files import SortedFiles
 from lendlens.llm.spans import SPANS, covered, joined, keyed, pack_parts, span_table, unpack_parts, with_spans
 
@@ -45,6 +48,8 @@ BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 2 << 20
 #: Bytes of suffixes that a task keeps before it sends them.
 HELD_BYTES = 16 << 20
+#: Different entries of one minimiser that may meet in a bucket; about as many as a bucket has bytes for.
+HOT = 1 << 15
 SENT = "bucket int, kind int, data binary"
 _SYMBOLS = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 
@@ -58,11 +63,11 @@ def byte_runs(batch: list[bytes], gram: int, length: int) -> tuple[bytes, np.nda
 
 
 def _minimisers(gram: int, length: int):
-    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def runs(batch: pa.RecordBatch) -> Iterator[Runs]:
         for piece in pieces(iter([batch]), "text", BATCH_BYTES):
-            yield byte_runs(texts(piece.column("text")), gram, length)[2].value
+            yield byte_runs(texts(piece.column("text")), gram, length)[2]
 
-    return values
+    return runs
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -239,17 +244,17 @@ class _Held:
         )
 
 
-def _send(files: SortedFiles, buckets: int, gram: int, length: int):
+def _send(files: SortedFiles, buckets: int, gram: int, length: int, hot: int):
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
         for batch in pieces(batches, "text", BATCH_BYTES):
-            data, ends, runs = byte_runs(texts(batch.column("text")), gram, length)
-            runs.keep(repeated(files, runs.value))
+            data, ends, found = byte_runs(texts(batch.column("text")), gram, length)
             key, id = (batch.column(c).to_numpy() for c in ("key", "id"))
-            held.add(data, ends, runs, key, id, length)
-            if held.size > HELD_BYTES:
-                yield from held.send(buckets)
-                held = _Held()
+            for runs in travelling(files, found, hot):
+                held.add(data, ends, runs, key, id, length)
+                if held.size > HELD_BYTES:
+                    yield from held.send(buckets)
+                    held = _Held()
         yield from held.send(buckets)
 
     return sent
@@ -340,13 +345,17 @@ def _merge(length: int, gram: int):
     return merged
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key, id, start, stop (in bytes) of what strings that a smaller doc_id has cover; ``rows`` are keyed."""
+def sent_entries(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """What the tasks send to the buckets."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, total // BUCKET_BYTES + 1)
     files = census(rows.select("text"), _minimisers(gram, length), "byte-minimisers")
-    sent = rows.select("text", "key", "id").mapInArrow(_send(files, buckets, gram, length), SENT)
-    return sent.groupBy("bucket").applyInArrow(_merge(length, gram), SPANS)
+    return rows.select("text", "key", "id").mapInArrow(_send(files, buckets, gram, length, hot), SENT)
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """key, id, start, stop (in bytes) of what strings that a smaller doc_id has cover; ``rows`` are keyed."""
+    return sent_entries(rows, length, gram, hot).groupBy("bucket").applyInArrow(_merge(length, gram), SPANS)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,10 +375,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left) of each document."""
     rows = keyed(docs)
-    found = with_spans(rows, repeated_spans(rows, length, gram))
+    found = with_spans(rows, repeated_spans(rows, length, gram, hot))
     return found.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

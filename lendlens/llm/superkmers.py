@@ -22,6 +22,7 @@ with fewer words than a window lose nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.llm.common import GOLDEN, mix64, pieces, texts
-from lendlens.llm.minimisers import Runs, census, gram_hashes, repeated
+from lendlens.llm.minimisers import Runs, census, gram_hashes, travelling
 from lendlens.llm.sorted_files import SortedFiles
 from lendlens.llm.spans import SPANS, covered, joined, keyed, pack_parts, span_table, unpack_parts, with_spans
 
@@ -68,11 +69,11 @@ class Words:
 
 
 def _minimisers(gram: int, window: int):
-    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def runs(batch: pa.RecordBatch) -> Iterator[Runs]:
         for piece in pieces(iter([batch]), "text", BATCH_BYTES):
-            yield Words(texts(piece.column("text")), gram, window).runs.value
+            yield Words(texts(piece.column("text")), gram, window).runs
 
-    return values
+    return runs
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -140,12 +141,12 @@ def _send(files: SortedFiles, buckets: int, gram: int, window: int):
         held = _Held()
         for batch in pieces(batches, "text", BATCH_BYTES):
             found = Words(texts(batch.column("text")), gram, window)
-            found.runs.keep(repeated(files, found.runs.value))
             key, id = (batch.column(c).to_numpy() for c in ("key", "id"))
-            held.add(found.words, found.ends, found.runs, key, id, window)
-            if held.size > HELD_BYTES:
-                yield from held.send(buckets)
-                held = _Held()
+            for runs in travelling(files, found.runs, sys.maxsize):
+                held.add(found.words, found.ends, runs, key, id, window)
+                if held.size > HELD_BYTES:
+                    yield from held.send(buckets)
+                    held = _Held()
         yield from held.send(buckets)
 
     return sent
