@@ -7,11 +7,14 @@ the windows are sorted, by a hash with the words themselves compared where hashe
 
 What keeps this small and even:
 
-- A census of minimisers first counts the places of each. A window whose minimiser has one place occurs once; it
+- A census of minimisers first counts the strings over each. A window whose minimiser has one place occurs once; it
   stays at home. Nothing that could occur twice is left out.
 - A task sends each distinct string once. The windows of a string that a task holds twice are repeated: their spans are
   known without asking, and the string travels only to tell others. So of a passage that a third of all documents share, a
   bucket gets one string from each task.
+- A minimiser that has more than ``HOT`` different strings (a phrase in many contexts) would fill a bucket by itself, more the
+  larger the corpus. Its windows are sent one by one, as strings of ``WINDOW`` words dealt by a hash of all of them, so they
+  are spread over all buckets; equal windows still meet, and their words are compared there as the others' are.
 - The strings of a task for a bucket are one compressed row.
 
 Spans of repeated windows go back to their documents by a join on the document, which is even, and the covered words go.
@@ -22,7 +25,6 @@ with fewer words than a window lose nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
 #: Bytes of strings that a task keeps before it sends them.
 HELD_BYTES = 48 << 20
+#: Different strings of one minimiser that may meet in a bucket; about as many as a bucket has bytes for.
+HOT = 1 << 13
 SENT = "bucket int, kind int, data binary"
 
 
@@ -136,13 +140,13 @@ class _Held:
         )
 
 
-def _send(files: SortedFiles, buckets: int, gram: int, window: int):
+def _send(files: SortedFiles, buckets: int, gram: int, window: int, hot: int):
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
         for batch in pieces(batches, "text", BATCH_BYTES):
             found = Words(texts(batch.column("text")), gram, window)
             key, id = (batch.column(c).to_numpy() for c in ("key", "id"))
-            for runs in travelling(files, found.runs, sys.maxsize):
+            for runs in travelling(files, found.runs, hot):
                 held.add(found.words, found.ends, runs, key, id, window)
                 if held.size > HELD_BYTES:
                     yield from held.send(buckets)
@@ -222,13 +226,17 @@ def _count(window: int):
     return counted
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """key, id, start, stop (in words) of what windows that occur elsewhere cover; ``rows`` are keyed."""
+def sent_strings(rows: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """What the tasks send to the buckets."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, total // BUCKET_BYTES + 1)
     files = census(rows.select("text"), _minimisers(gram, window), "word-minimisers")
-    sent = rows.select("text", "key", "id").mapInArrow(_send(files, buckets, gram, window), SENT)
-    return sent.groupBy("bucket").applyInArrow(_count(window), SPANS)
+    return rows.select("text", "key", "id").mapInArrow(_send(files, buckets, gram, window, hot), SENT)
+
+
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """key, id, start, stop (in words) of what windows that occur elsewhere cover; ``rows`` are keyed."""
+    return sent_strings(rows, window, gram, hot).groupBy("bucket").applyInArrow(_count(window), SPANS)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +256,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space) of each document."""
     rows = keyed(docs)
-    found = with_spans(rows, repeated_spans(rows, window, gram))
+    found = with_spans(rows, repeated_spans(rows, window, gram, hot))
     return found.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -6,9 +6,9 @@ import random
 import pytest
 import zstandard
 from rows import table
-from test_removal import same, strings_gone
+from test_removal import same, strings_gone, windows_gone
 
-from lendlens.llm import suffix_merge
+from lendlens.llm import suffix_merge, superkmers
 from lendlens.llm.common import GOLDEN, mix64
 from lendlens.llm.spans import keyed, unpack_parts
 
@@ -31,6 +31,14 @@ def in_contexts(phrase, other, n):
     return rows
 
 
+def word_rows(n):
+    rng = random.Random(1)
+    words = lambda k: " ".join(f"w{rng.randrange(10**9)}" for _ in range(k))
+    first = lambda p: mix64(superkmers.Words([p.encode()], 4, 4).runs.value ^ GOLDEN)[0]
+    phrase = min((words(4) for _ in range(300)), key=first)
+    return in_contexts(f" {phrase} ", lambda: words(8), n)
+
+
 def byte_rows(n):
     rng = random.Random(2)
     text = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
@@ -39,6 +47,13 @@ def byte_rows(n):
     return in_contexts(phrase, lambda: text(12), n)
 
 
+def test_windows_of_a_frequent_phrase_are_spread(spark):
+    rows = keyed(table(spark, word_rows(600)))
+    gathered = busiest(superkmers.sent_strings(rows, 12, 4, 10**9), 0, 8)
+    most, all_ = busiest(superkmers.sent_strings(rows, 12, 4, 50), 0, 8)
+    assert gathered[0] == gathered[1] and most < all_ / 4
+
+
 def test_strings_of_a_frequent_phrase_are_spread(spark):
     rows = keyed(table(spark, byte_rows(600)))
     gathered = busiest(suffix_merge.sent_entries(rows, 20, 8, 10**9), 1, 1)
@@ -46,6 +61,15 @@ def test_strings_of_a_frequent_phrase_are_spread(spark):
     assert gathered[0] > 0.9 * gathered[1] and most < all_ / 4
 
 
+@pytest.mark.parametrize("hot", [1, 3, 50])
+def test_words_with_frequent_phrases(spark, hot):
+    rng = random.Random(hot)
+    parts = [" ".join(rng.choices("abc", k=rng.randint(1, 40))) + " " for _ in range(12)]
+    rows = word_rows(200) + [(1000 + i, "".join(rng.choices(parts, k=rng.randint(0, 6))), "en", "a") for i in range(60)]
+    found = superkmers.remove_repeated(table(spark, rows), 12, 4, hot).collect()
+    same([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in found], windows_gone(rows, 12))
+
+
 @pytest.mark.parametrize("hot", [1, 3, 50])
 def test_bytes_with_frequent_phrases(spark, hot):
     rng = random.Random(hot)
