@@ -1,7 +1,7 @@
 """Exact duplicates found through a minimal perfect hash over the texts of the past.
 
 Texts are equal when they are the same after each run of blanks becomes one space. The distinct SHA-256 digests of
-a corpus already taken in (the *history*) are dealt into shards of about ``SHARD_KEYS`` digests. A shard's digests
+a corpus already taken in (the *history*) are dealt into shards of at most about ``SHARD_KEYS`` digests, old or new. A shard's digests
 get a minimal perfect hash function: bit arrays in levels, where a key that is alone at its place in a level's array
 sets the bit, and the others go on to the next level. A key's slot is the number of bits set before its own. A slot
 holds the full digest and its winner's locator (the smallest doc_id and the number of rows).
@@ -147,7 +147,7 @@ def classes(docs: DataFrame, in_history: Column, text: str = "text", doc_id: str
     )
     history = staged(_one_per_digest(rows.where("past")))
     new = staged(_one_per_digest(rows.where("not past")))
-    shards = max(1, -(-history.count() // SHARD_KEYS))
+    shards = max(1, -(-max(history.count(), new.count()) // SHARD_KEYS))  # new digests are dealt by the same shards
     index = staged(build_index(history, shards))
     found = look_up(new.select("digest"), index, shards)
     joined = new.join(found, "digest", "left")

@@ -51,3 +51,15 @@ def test_nonmembers_that_land_on_a_slot_are_told_apart(spark):
     docs = table(spark, [(i, f"text {i}", "en", "a") for i in range(400)])
     found = exact_dedup.report(docs, F.col("doc_id") < 200).collect()
     assert all(r.kept and r.group_size == 1 and r.keep_id == r.doc_id for r in found) and len(found) == 400
+
+
+@pytest.mark.parametrize("history", ["doc_id < 10", "false"])
+def test_a_small_history_does_not_gather_the_new_digests(spark, monkeypatch, history):
+    dealt = []
+    look_up = exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 50)
+    monkeypatch.setattr(exact_dedup, "look_up", lambda new, index, shards: dealt.append((new.count(), shards)) or look_up(new, index, shards))
+    docs = table(spark, [(i, f"text {i % 390}", "en", "a") for i in range(400)])
+    found = exact_dedup.report(docs, F.expr(history)).collect()
+    assert all(shards * 50 >= new for new, shards in dealt) and dealt
+    assert sorted(r.doc_id for r in found if not r.kept) == list(range(390, 400))
