@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import exact_dedup, kneser_ney, llr_rules, pareto_mix, partenum, piece_transducer, quality_qda, suffix_merge, superkmers, warc
+from lendlens.llm import exact_dedup, kneser_ney, llr_rules, pareto_mix, partenum, piece_transducer, quality_qda, suffix_merge, superkmers, warc, whitening
 from lendlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llr_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_partenum": op2_partenum,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_qda": op8_quality_qda,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_llr_rules": op10_llr_rules,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
