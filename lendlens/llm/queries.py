@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import exact_dedup, kneser_ney, llr_rules, pareto_mix, partenum, piece_transducer, quality_qda, suffix_merge, superkmers, warc, whitening
+from lendlens.llm import divergence, exact_dedup, kneser_ney, llr_rules, pareto_mix, partenum, piece_transducer, quality_qda, suffix_merge, superkmers, warc, whitening
 from lendlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llr_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_qda": op8_quality_qda,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_llr_rules": op10_llr_rules,
+    "op12_divergence": op12_divergence,
     "op13_whitening": op13_whitening,
 }
 
@@ -77,4 +82,5 @@ ORACLE: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_superkmers": superkmers.ORACLE,
     "op9_suffix_merge": suffix_merge.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
