@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import divergence, exact_dedup, kneser_ney, llr_rules, pareto_mix, partenum, piece_transducer, quality_qda, suffix_merge, superkmers, warc, whitening
+from lendlens.llm import divergence, exact_dedup, extraction, kneser_ney, llr_rules, pareto_mix, partenum, piece_transducer, quality_qda, suffix_merge, superkmers, warc, whitening
 from lendlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return llr_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.report(table(spark, sf_dir, "pages"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_qda": op8_quality_qda,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_llr_rules": op10_llr_rules,
+    "op11_extraction": op11_extraction,
     "op12_divergence": op12_divergence,
     "op13_whitening": op13_whitening,
 }
