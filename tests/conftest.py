@@ -48,22 +48,30 @@ def make_library(spark):
 
 @pytest.fixture(scope="session")
 def golden(make_library) -> Library:
+    """A small library for the cases of FIXTURES.md, section 1."""
     return make_library(
         books=[
-            (0, "Анна Каренина", 1878, "Л.Н. Толстой", "Роман-хроника", "2022-09-10"),
-            (1, "Анна Каренина", 1880, "Л.Н. Толстой", "Роман-хроника", "2022-09-10"),
-            (2, "Мёртвые души", 1880, "Н.В. Гоголь", "Роман в прозе", "2022-09-10"),
-            (3, "Мёртвые души", 1901, "Н.В. Гоголь", "Роман в прозе", "2022-09-10"),
+            (10, "The Gull's Log", 1962, "M. Osei", "Travel", "2021-03-01"),
+            (11, "the gull's log", 1990, "M. Osei", "travel", "2021-03-01"),
+            (12, "Лёд и соль", 1954, "Р. Дымов", "Повесть", "2021-03-01"),
+            (13, "Лёд и соль", 1954, "Р. Дымов", "повесть", "2021-06-15"),
+            (14, "Zweite Karte", 2003, "I. Brandt", "Atlas", "2021-03-01"),
+            (15, "Ångström 100%", 2011, "E. Falk", "Essay", "2021-05-20"),
         ],
         clients=[
-            (0, "Соколов Илья Андреевич", "2022-09-10", "Садовая ул., 7, Тверь"),
-            (1, "Жукова Мария Петровна", "2022-09-10", "пр. Победы, 12, Казань"),
-            (2, "Журавлёв Павел Игоревич", "2022-09-10", "Речная наб., 3, Томск"),
+            (21, "Nora Lindqvist", "2021-03-05", "Hamngatan 4, Kalmar"),
+            (22, "Тимур Сафин", "2021-03-10", "Озёрный пер., 9, Уфа"),
+            (23, "Ada Okafor", "2021-07-01", "12 Mill Lane, Derby"),
+            (24, "nils Brandt", "2021-04-01", "Seestr. 31, Kiel"),
         ],
         loans=[
-            (1, "2023-03-02", "2023-04-02", "2023-03-26", 2, 1),
-            (2, "2023-03-25", "2023-04-25", "2023-05-01", 1, 1),
-            (3, "2023-03-01", "2023-03-01", None, 0, 2),
-            (4, "2023-03-04", "2023-03-04", None, 3, 2),
+            (301, "2021-04-01", "2021-04-15", "2021-04-15", 10, 21),
+            (302, "2021-04-15", "2021-05-06", "2021-05-20", 10, 22),
+            (303, "2021-04-03", "2021-05-03", "2021-05-20", 12, 21),
+            (304, "2021-05-21", "2021-06-04", "2021-05-30", 12, 24),
+            (305, "2021-06-20", "2021-07-04", None, 13, 24),
+            (306, "2021-05-25", "2021-05-25", "2021-05-25", 15, 22),
+            (307, "2021-05-26", "2021-06-09", None, 15, 22),
+            (308, "2021-06-01", "2021-06-22", "2021-07-10", 11, 21),
         ],
     )

@@ -98,8 +98,8 @@ def test_snapshot_round_trip(golden, spark, tmp_path):
         names = getattr(golden, table).columns
         rows = getattr(again, table).select(*names).collect()
         assert sorted(map(str, rows)) == sorted(map(str, getattr(golden, table).collect()))
-    found = queries.books(again, BookSearch(name="Мёртвые"))
-    assert [r["book_id"] for r in found.collect()] == [2, 3]
+    found = queries.books(again, BookSearch(name="соль"))
+    assert [r["book_id"] for r in found.collect()] == [12, 13]
     with pytest.raises(Exception, match="already exists"):
         write_library(golden, path)
 
@@ -111,7 +111,8 @@ def test_old_snapshots_are_upgraded(golden, spark, tmp_path):
     golden.loans.drop("end_date").write.parquet(f"{path}/loan")
     upgraded = read_library(spark, path)
     due = {r["id"]: str(r["end_date"]) for r in upgraded.loans.collect()}
-    assert due == {1: "2023-03-26", 2: "2023-05-01", 3: "2023-03-01", 4: "2023-03-04"}
+    assert due[302] == due[303] == "2021-05-20"
+    assert (due[305], due[307]) == ("2021-06-20", "2021-05-26")
     assert {r["address"] for r in upgraded.clients.collect()} == {"Unknown"}
     assert stub_places(upgraded).count() == 0
 
