@@ -126,17 +126,29 @@ def _collisions(found: DataFrame, columns: list[str]) -> DataFrame:
 def overlap_flags(loans: DataFrame) -> DataFrame:
     """Loans (loan_id, book_id) that overlap another loan of their item.
 
-    A loan is told by its span alone, so equal spans are counted once, and the
-    loans look up the count of their span.
+    Two sides are looked at. Before: the latest end of the spans with a length
+    begun on an earlier day. After: the next day on which anything begins. A
+    span with a length overlaps if one begins with it, one begun before it ends
+    within or after it, or anything begins before it ends; a span without one
+    overlaps only strictly inside another.
+
+    One row per item and first day goes through the windows, and only days that
+    could flag a loan meet the loans again.
     """
     all_spans = spans(loans.withColumnRenamed("id", "loan_id"), "loan_id")
-    same = ["book_id", "first", "last"]
-    distinct = all_spans.groupBy(*same).agg(F.count("*").alias("n"))
-    own = (F.col("first") < F.col("last")).cast("bigint")
-    hit = _counted(distinct).filter(F.col("overlaps") > own).select(*same)
-    return all_spans.join(hit, same, "left_semi").select("loan_id", "book_id")
-
-
-def _counted(distinct: DataFrame) -> DataFrame:
-    """Overlaps of distinct spans (book_id, first, last, n), each standing for n."""
-    return overlap_counts(distinct.drop("n"), distinct)
+    has_length = F.col("first") < F.col("last")
+    per_day = all_spans.groupBy("book_id", "first").agg(
+        F.max(F.when(has_length, F.col("last"))).alias("reach"), F.count_if(has_length).alias("n")
+    )
+    days = Window.partitionBy("book_id").orderBy("first")
+    before = F.max("reach").over(days.rowsBetween(Window.unboundedPreceding, -1))
+    sides = per_day.select(
+        "book_id",
+        "first",
+        F.coalesce(before > F.col("first"), F.lit(False)).alias("covered"),
+        (F.col("n") > 1).alias("shared"),
+        F.lead("first").over(days).alias("next"),
+    ).filter("covered OR shared OR next IS NOT NULL")
+    after = F.col("shared") | F.coalesce(F.col("next") < F.col("last"), F.lit(False))
+    hit = F.col("covered") | (has_length & after)
+    return all_spans.join(sides, ["book_id", "first"]).filter(hit).select("loan_id", "book_id")

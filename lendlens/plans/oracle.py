@@ -326,6 +326,18 @@ PAGES = {
     ),
     "row_at": _with(f"SELECT {_BOOK_COLS} FROM book ORDER BY name, id LIMIT 1 OFFSET 42"),
     "order_by": _with(f"SELECT {_CLIENT_COLS} FROM client ORDER BY address, id DESC"),
+    "page_deep": _flat(
+        "SELECT loan_id, book_name FROM flat ORDER BY book_name, loan_id LIMIT 25 OFFSET 5000"
+    ),
+    "row_at_deep": _flat(
+        "SELECT loan_id, book_name FROM flat ORDER BY book_name, loan_id LIMIT 1 OFFSET 5432"
+    ),
+    "sliced": _flat(
+        """SELECT loan_id, book_name
+           FROM (SELECT loan_id, book_name, row_number() OVER (ORDER BY book_name, loan_id) AS place,
+                        count(*) OVER () AS n FROM flat)
+           WHERE place > n - 4000 AND place <= n - 50 AND (place - (n - 4000) - 1) % 700 = 0"""
+    ),
     "row_number": _flat(
         """SELECT loan_id, book_name, row_number() OVER (ORDER BY book_name, loan_id) AS row_number
            FROM flat"""

@@ -125,9 +125,9 @@ def _by_title(library: Library) -> tuple[DataFrame, list[str]]:
     return flat_books(library).select(*BOOK_COLS), ["book_name", "book_id"]
 
 
-def _numbered_loans(library: Library) -> DataFrame:
+def _all_loans(library: Library) -> tuple[DataFrame, list]:
     rows = queries.loan_rows(library, flat_loans(library), None).select("loan_id", "book_name")
-    return paging.numbered(rows, ["book_name", "loan_id"])
+    return rows, ["book_name", "loan_id"]
 
 
 def _decisions(operation: Callable[[Library, DataFrame], ingest.Outcome]):
@@ -246,10 +246,13 @@ def queries_over(source: Source) -> dict[str, Query]:
             lambda lib: paging.page_after(*_by_title(lib), last_key=["new bolt", 100], count=10)
         ),
         "row_at": _of_library(lambda lib: paging.row_at(*_by_title(lib), position=42)),
+        "page_deep": _of_library(lambda lib: paging.page(*_all_loans(lib), start=5000, count=25)),
+        "row_at_deep": _of_library(lambda lib: paging.row_at(*_all_loans(lib), position=5432)),
+        "sliced": _of_library(lambda lib: paging.sliced(*_all_loans(lib), part=slice(-4000, -50, 700))),
         "order_by": _of_library(
             lambda lib: flat_clients(lib).select(*CLIENT_COLS).orderBy("address", F.desc("client_id"))
         ),
-        "row_number": _of_library(_numbered_loans),
+        "row_number": _of_library(lambda lib: paging.numbered(*_all_loans(lib))),
         "every_nth": _of_library(lambda lib: paging.every_nth(*_by_title(lib), step=7, start=3)),
         "page_count": _of_library(lambda lib: paging.page_count(queries.unreturned_loans(lib))),
     }

@@ -150,10 +150,10 @@ def test_a_bad_text_date_stops_the_job(golden, spark, tmp_path):
     path = str(tmp_path / "csv")
     golden.books.write.option("header", True).csv(f"{path}/book")
     golden.clients.write.option("header", True).csv(f"{path}/client")
-    late = F.when(F.col("id") == 1, F.lit("2023-3-26")).otherwise(F.col("return_date").cast("string"))
+    late = F.when(F.col("id") == 304, F.lit("2021-5-30")).otherwise(F.col("return_date").cast("string"))
     golden.loans.withColumn("return_date", late).write.option("header", True).csv(f"{path}/loan")
     library = read_library(spark, path, "csv", header="true")
-    with pytest.raises(Exception, match="return_date is not an ISO date: 2023-3-26"):
+    with pytest.raises(Exception, match="return_date is not an ISO date: 2021-5-30"):
         queries.unreturned_loans(library).collect()
 
 
