@@ -3,7 +3,7 @@
 Three interval conventions live side by side on purpose, and they disagree
 about the return day: the as-of listing (``out_on``), the request check (both
 ends included, ``operators.occupancy.furthest_return``) and the integrity rule
-(half-open, ``operators.occupancy.overlap_counts``).
+(half-open, ``operators.occupancy.overlap_flags``).
 """
 
 from __future__ import annotations

@@ -8,20 +8,17 @@ nothing raises for a bad row.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions.dates import loan_end
 from lendlens.operators.audits import parent_days, required_columns
-from lendlens.operators.components import components
 from lendlens.operators.intake import first_reason
-from lendlens.operators.occupancy import furthest_return, overlap_counts, spans
+from lendlens.operators.occupancy import furthest_return, overlap_flags, spans
 from lendlens.operators.paging import numbered
+from lendlens.operators.rounds import settle
 from lendlens.operators.sizing import narrowed
 from lendlens.session import staged
 from lendlens.sources.library import BOOK, CLIENT, LOAN, Library
@@ -145,134 +142,6 @@ def _spanned(batch: DataFrame) -> DataFrame:
     )
 
 
-def _snapshot_judged(loans: DataFrame, batch: DataFrame) -> DataFrame:
-    """Reject rows that collide with one of ``loans``, which the batch leaves as they are."""
-    good = batch.filter("reason IS NULL").drop("reason")
-    held = narrowed(spans(loans), good, "book_id")
-    collides = [(F.col("overlaps") > 0, "overlaps a loan")]
-    judged = _judge(overlap_counts(good, held), collides).drop("overlaps", "copies")
-    return judged.unionByName(batch.filter("reason IS NOT NULL"))
-
-
-def _replayer() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The pass over rows sorted by group, holders before changes, and arrival.
-
-    A holder puts the span of a loan in place. A change fits if its span meets
-    none of its item but the loan's own, which it then takes the place of; a
-    loan that was out (``is_return``) can come back once. A local function, so
-    that it travels to the executors by value.
-    """
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, items, places, back = None, {}, {}, set()
-
-        def put(loan: int, book: int, first: int, last: int) -> None:
-            starts, held, longest = items.setdefault(book, ([], [], [0]))
-            at = bisect_right(starts, first)
-            starts.insert(at, first)
-            held.insert(at, (first, last, loan))
-            longest[0] = max(longest[0], last - first)
-            places[loan] = (book, first, last)
-
-        def fits(loan: int, book: int, first: int, last: int) -> bool:
-            starts, held, longest = items.get(book, ([], [], [0]))
-            low, high = bisect_left(starts, first - longest[0]), bisect_left(starts, last)
-            return all(
-                other == loan or begin >= last or first >= end
-                for begin, end, other in held[low:high]
-            )
-
-        def judge(row) -> str | None:
-            loan, book, first, last, is_return = row
-            if is_return and loan in back:
-                return "not out"
-            if not fits(loan, book, first, last):
-                return "overlaps the batch"
-            if loan in places:
-                old_book, old_first, old_last = places[loan]
-                starts, held, _ = items[old_book]
-                at = held.index((old_first, old_last, loan), bisect_left(starts, old_first))
-                del starts[at], held[at]
-            put(loan, book, first, last)
-            back.add(loan)
-            return None
-
-        for pdf in batches:
-            reasons = []
-            columns = ("loan", "book_id", "first_no", "last_no", "is_return")
-            rows = zip(*(pdf[c] for c in columns))
-            for component, is_change, row in zip(pdf["component"], pdf["is_change"], rows):
-                if component != group:
-                    group, items, places, back = component, {}, {}, set()
-                reasons.append(judge(row) if is_change else put(*row[:4]))
-            judged = pdf[["arrival"]].assign(late_reason=pd.Series(reasons, pdf.index, dtype=object))
-            yield judged[pdf["is_change"]]
-
-    return replay
-
-
-def _islands(rows: DataFrame) -> DataFrame:
-    """Add ``island``, the day on which the stretch of days begins that holds the span.
-
-    A stretch is covered by spans of its item without a gap. Spans are reduced
-    to one row per item and first day, so a busy item is as many rows as the
-    calendar has days.
-    """
-    days = rows.groupBy("book_id", "first").agg(F.max("last").alias("last"))
-    by_day = Window.partitionBy("book_id").orderBy("first")
-    reach = F.max("last").over(by_day.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(reach.isNull() | (F.col("first") >= reach), F.col("first"))
-    marked = days.withColumn("begins", begins)
-    island = F.last("begins", ignorenulls=True).over(by_day)
-    found = marked.select("book_id", "first", island.alias("island"))
-    return rows.join(found, ["book_id", "first"])
-
-
-def _replayed(batch: DataFrame, holders: DataFrame | None = None) -> DataFrame:
-    """Judge the good rows of a batch in arrival order, each by what those before it left.
-
-    ``batch`` has arrival, loan, book_id, first, last, is_return and reason;
-    ``holders`` the spans (loan, book_id, first, last) of the loans it changes.
-
-    Rows meet only within an island of days of an item, and islands that one
-    loan moves between make one group. Groups with one change of one loan
-    settle themselves; the others are gone through row by row, and a busy item
-    is as many groups as it has islands.
-    """
-    span = ["loan", "book_id", "first", "last"]
-    good = batch.filter("reason IS NULL")
-    rows = good.select("arrival", *span, "is_return", F.lit(True).alias("is_change"))
-    if holders is not None:
-        held = holders.select(*span, F.lit(False).alias("is_return"), F.lit(False).alias("is_change"))
-        rows = rows.unionByName(held, allowMissingColumns=True)
-    placed = _islands(rows).withColumn("component", F.xxhash64("book_id", "island"))
-    if holders is not None:
-        placed = _joined_islands(staged(placed))
-    placed = staged(placed)
-    met = placed.groupBy("component").agg(
-        F.min("loan").alias("least"), F.max("loan").alias("most"), F.count_if("is_change").alias("n")
-    )
-    contested = met.filter("n > 0 AND (least <> most OR n > 1)").select("component")
-    numbers = {"first_no": F.unix_date("first"), "last_no": F.unix_date("last")}
-    passed = placed.join(contested, "component", "left_semi").withColumns(numbers)
-    in_order = passed.repartition("component").sortWithinPartitions("component", "is_change", "arrival")
-    columns = ["component", "is_change", "arrival", "loan", "book_id", "first_no", "last_no", "is_return"]
-    judged = in_order.select(*columns).mapInPandas(_replayer(), "arrival long, late_reason string")
-    marked = batch.join(judged, "arrival", "left")
-    return marked.withColumn("reason", F.coalesce("reason", "late_reason")).drop("late_reason")
-
-
-def _joined_islands(placed: DataFrame) -> DataFrame:
-    """Give the islands that a loan moves between one component."""
-    ends = placed.groupBy("loan").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    moved = ends.filter("a <> b").select("loan", "a")
-    hops = placed.join(moved, "loan").select("a", F.col("component").alias("b"))
-    labels = components(hops.filter("a <> b").distinct())
-    named = labels.select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    joined = placed.join(named, "component", "left")
-    return joined.withColumn("component", F.coalesce("joined", "component")).drop("joined")
-
-
 def append_loans(library: Library, new: DataFrame) -> Outcome:
     """Add loans; of new loans that collide with each other the first wins.
 
@@ -283,9 +152,9 @@ def append_loans(library: Library, new: DataFrame) -> Outcome:
     checks = [*_null_checks(required), *_date_checks(), (F.col("known"), "id taken")]
     judged = _parents_judged(library, _judge(marked, checks).drop("known"))
     judged = _first_of_id(staged(_spanned(judged)))
-    new = {"loan": F.col("arrival"), "is_return": F.lit(False)}
-    judged = staged(_snapshot_judged(library.loans, judged).withColumns(new))
-    table, accepted, rejected = _appended(_replayed(judged), library.loans, LOAN.names)
+    judged = staged(judged.withColumns({"loan": F.col("arrival"), "is_return": F.lit(False)}))
+    held = narrowed(spans(library.loans), judged.filter("reason IS NULL"), "book_id")
+    table, accepted, rejected = _appended(settle(judged, held), library.loans, LOAN.names)
     return Outcome(library.with_(loans=table), accepted, rejected)
 
 
@@ -331,20 +200,24 @@ def update_clients(library: Library, changes: DataFrame) -> Outcome:
     return Outcome(library.with_(clients=table), accepted, rejected)
 
 
-def _loans_replaced(library: Library, marked: DataFrame) -> Outcome:
-    """Judge new versions of loans one at a time, and put in the last accepted one of each.
-
-    Loans the batch does not touch stay where they are and are checked by
-    counts; the others are gone through in arrival order.
-    """
+def _judged_alone(library: Library, marked: DataFrame) -> DataFrame:
+    """Judge new versions of loans by what each is by itself."""
     checked = _spanned(_parents_judged(library, _judge(marked, _date_checks())))
-    judged = staged(checked.withColumn("loan", F.col("id")))
-    moving = staged(judged.filter("reason IS NULL").select("id").distinct())
-    fixed = library.loans.join(moving, "id", "left_anti")
-    judged = staged(_snapshot_judged(fixed, judged))
+    return staged(checked.withColumn("loan", F.col("id")))
+
+
+def _judged_in_turn(library: Library, judged: DataFrame) -> DataFrame:
+    """Judge the good ones one at a time; loans that no good one touches stay where they are."""
+    good = judged.filter("reason IS NULL")
+    moving = staged(good.select("id").distinct())
+    fixed = spans(library.loans.join(moving, "id", "left_anti"))
     own = narrowed(library.loans, moving, "id").withColumnRenamed("id", "loan")
-    judged = staged(_replayed(judged, spans(own, "loan")))
-    accepted, rejected = _split(judged, LOAN.names)
+    return settle(judged, narrowed(fixed, good, "book_id"), spans(own, "loan"))
+
+
+def _replaced_by(library: Library, judged: DataFrame) -> Outcome:
+    """Put in the last accepted version of each loan."""
+    accepted, rejected = _split(staged(judged), LOAN.names)
     values = F.struct(*LOAN.names[1:])
     latest = accepted.groupBy("id").agg(F.max_by(values, "arrival").alias("latest"))
     loans = _replaced(library.loans, latest.select("id", "latest.*"), LOAN.names)
@@ -363,14 +236,16 @@ def update_loans(library: Library, changes: DataFrame) -> Outcome:
         *_null_checks(required_columns(library.loans.select(*LOAN.names))),
         (F.col("known").isNull(), "unmatched"),
     ]
-    return _loans_replaced(library, _judge(marked, checks))
+    judged = _judged_alone(library, _judge(marked, checks))
+    return _replaced_by(library, _judged_in_turn(library, judged))
 
 
 def record_returns(library: Library, returns: DataFrame) -> Outcome:
     """Set the return day of loans still out, from rows (arrival, id, return_date).
 
     Of several returns of a loan the first that is good counts; the loan is
-    not out for those after it.
+    not out for those after it. A return only shortens a loan, so one that
+    overlaps no other fits as it is; only the others are judged in turn.
     """
     asked = returns.select("arrival", "id", "return_date")
     old = narrowed(library.loans, asked, "id")
@@ -381,7 +256,17 @@ def record_returns(library: Library, returns: DataFrame) -> Outcome:
         (F.col("known").isNull(), "unmatched"),
         (F.col("before").isNotNull(), "not out"),
     ]
-    return _loans_replaced(library, _judge(marked, checks))
+    judged = _judged_alone(library, _judge(marked, checks))
+    good = judged.filter("reason IS NULL")
+    known = overlap_flags(narrowed(library.loans, good, "book_id")).select(F.col("loan_id").alias("id"))
+    overlapping = staged(narrowed(known, good, "id").distinct().withColumn("overlapping", F.lit(True)))
+    marked = staged(judged.join(overlapping, "id", "left"))
+    alone = marked.filter("overlapping IS NULL").drop("overlapping")
+    first = alone.filter("reason IS NULL").groupBy("id").agg(F.min("arrival").alias("first_good"))
+    late = [(F.col("arrival") > F.col("first_good"), "not out")]
+    alone = _judge(_by_id(alone, first), late).drop("first_good")
+    others = marked.filter("overlapping").drop("overlapping")
+    return _replaced_by(library, _judged_in_turn(library, others).unionByName(alone))
 
 
 def _delete(library: Library, ids: DataFrame, table: DataFrame, key: str) -> tuple:

@@ -7,7 +7,7 @@ the days of the calendar, however many loans it has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lendlens.functions.dates import loan_end
@@ -57,72 +57,6 @@ def spans(loans: DataFrame, *extra: str) -> DataFrame:
     ).filter("book_id IS NOT NULL AND first <= last")
 
 
-def overlap_counts(probes: DataFrame, held: DataFrame) -> DataFrame:
-    """Add ``overlaps``: how many ``held`` spans each probe span collides with.
-
-    Both are (book_id, first, last) with first <= last, read half-open. Of the
-    spans with a length, those begun before the probe ends and not ended by its
-    start collide; a span without one collides only strictly inside another.
-    Equal probe rows come out as one, with their number in ``copies``.
-
-    Running totals over one row per item and day are looked up by the probes.
-    """
-    asked = _lookups(probes).select("book_id", "day").distinct()
-    per_day = (
-        _events(held)
-        .unionByName(asked, allowMissingColumns=True)
-        .groupBy("book_id", "day")
-        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("begun", "points", "ended")])
-    )
-    through = _through_day()
-    totals = per_day.select(
-        "book_id",
-        "day",
-        (F.sum("begun").over(through) - F.col("begun")).alias("begun_before"),
-        (F.sum("points").over(through) - F.col("points")).alias("points_before"),
-        F.sum("points").over(through).alias("points_through"),
-        F.sum("ended").over(through).alias("ended_through"),
-    )
-    return _collisions(_lookups(probes).join(totals, ["book_id", "day"]), probes.columns)
-
-
-def _events(held: DataFrame) -> DataFrame:
-    """What begins and ends on a day, two rows per span; a span with ``n`` stands for as many."""
-    zero = F.lit(0).cast("bigint")
-    n = F.col("n") if "n" in held.columns else F.lit(1).cast("bigint")
-    is_long = F.col("first") < F.col("last")
-    has_length, is_point = F.when(is_long, n).otherwise(zero), F.when(is_long, zero).otherwise(n)
-
-    def event(day: str, begun: Column, points: Column, ended: Column) -> Column:
-        return F.struct(
-            F.col(day).alias("day"),
-            begun.alias("begun"),
-            points.alias("points"),
-            ended.alias("ended"),
-        )
-
-    start = event("first", has_length, is_point, zero)
-    return held.select("book_id", F.inline(F.array(start, event("last", zero, zero, has_length))))
-
-
-def _lookups(probes: DataFrame) -> DataFrame:
-    """The two days each probe has to know about."""
-    last = F.struct(F.col("last").alias("day"), F.lit(True).alias("is_last"))
-    first = F.struct(F.col("first").alias("day"), F.lit(False).alias("is_last"))
-    return probes.select("*", F.inline(F.array(last, first)))
-
-
-def _collisions(found: DataFrame, columns: list[str]) -> DataFrame:
-    is_last = F.col("is_last")
-    longer = F.when(is_last, F.col("begun_before")).otherwise(-F.col("ended_through"))
-    inside = F.when(is_last, F.col("points_before")).otherwise(-F.col("points_through"))
-    copies = F.count_if(is_last)
-    overlaps = F.sum(longer) + F.greatest(F.sum(inside), F.lit(0))
-    return found.groupBy(*columns).agg(
-        copies.alias("copies"), F.call_function("div", overlaps, copies).alias("overlaps")
-    )
-
-
 def overlap_flags(loans: DataFrame) -> DataFrame:
     """Loans (loan_id, book_id) that overlap another loan of their item.
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lendlens.operators import audits, ingest, paging, queries, reports, sizing
-from lendlens.operators.occupancy import overlap_counts, overlap_flags, spans
+from lendlens.operators.occupancy import overlap_flags, spans
 from lendlens.operators.predicates import BookSearch
 from lendlens.sources.library import Library, flat_books, read_library, write_library
 
@@ -71,15 +71,6 @@ def test_flags_of_busy_items_equal_a_pair_join(skewed):
     assert found.count() > 20_000 and overlap_flags(skewed.loans).count() > 20_000
 
 
-def test_overlap_counts_equal_a_pair_join(skewed):
-    some = spans(skewed.loans.filter("book_id BETWEEN 1 AND 400"), "id")
-    counted = overlap_counts(some, some.drop("id")).select("id", "overlaps")
-    other = some.selectExpr("id AS other", "book_id AS b", "first AS f", "last AS l")
-    pairs = some.join(other, F.expr("book_id = b AND first < l AND f < last"), "left")
-    expected = pairs.groupBy("id").agg(F.count("other").alias("overlaps"))
-    assert counted.exceptAll(expected).count() == 0 and expected.exceptAll(counted).count() == 0
-
-
 def test_busy_item_is_split_in_the_joins(spark, skewed):
     with settings(
         spark,
@@ -224,17 +215,5 @@ def test_batches_give_the_same_rows_when_nothing_is_broadcast(spark, skewed):
         assert rows() == small and len(small) > 1000
 
 
-def test_a_busy_item_is_gone_through_in_several_tasks(skewed):
-    rows = new_loans(skewed).where("book_id = 0").select(
-        "arrival", F.col("arrival").alias("loan"), "book_id", F.col("start_date").alias("first"), F.col("return_date").alias("last")
-    )
-    gaps = rows.where("dayofyear(first) % 10 < 5 and dayofyear(last) % 10 < 6 and datediff(last, first) < 6")
-    found = ingest._islands(gaps)
-    assert found.select("island").distinct().count() > 20
-    ends = found.groupBy("island").agg(F.max("last").alias("last"), F.min("first").alias("first")).orderBy("island").collect()
-    assert all(r["first"] == r["island"] for r in ends)
-    assert all(a["last"] <= b["first"] for a, b in zip(ends, ends[1:]))
-
-
 def test_books_of_the_flat_view_keep_their_keys(skewed):
     assert {"book_name_key", "author_key", "genre_key"} <= set(flat_books(skewed).columns)
