@@ -20,7 +20,9 @@ where k is the number of w's contexts, m1, m2, m3 the numbers of words with one,
 is the one more than V. The mark for a text's start is a context, the mark for its end a token.
 
 Defined cases: a null text is empty and has the end as its one token; without training texts each token has probability 1
-by both models; IDs are held in 32 bits, and more distinct words raise an error.
+by both models; every probability is above zero, on any corpus; rows that repeat count as often as they stand, also with
+one doc_id or none, a null doc_id being the empty text for the choice of training texts; a text longer than a batch is a batch
+by itself; an empty table gives no rows. IDs are held in 32 bits, and more distinct words raise an error.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ BATCH_BYTES = 8 << 20
 RANGE_TOKENS = 2_000_000
 #: IDs in a range of the second round.
 ID_RANGE = 1 << 16
+USUAL = 0.5
 #: No word has a blank in it.
 END = b" "
 _INVERSES = [np.uint64(pow(c, -1, 1 << 64)) for c in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
@@ -88,12 +91,17 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """Of counts 0 (none), 1, 2, 3 and more, from the numbers of counts 1 to 4."""
+    """Of counts 0 (none), 1, 2, 3 and more, from the numbers of counts 1 to 4.
+
+    A discount is above zero and at most its count: where the formula gives none, or one of zero or below, as it does
+    where a corpus repeats whole texts, the discount of that count is ``USUAL``. So a context always has some probability
+    left for what does not follow it in training.
+    """
     if min(n[:4], default=0) <= 0:
-        return np.array([0.0, 0.5, 0.5, 0.5])
+        return np.array([0.0, USUAL, USUAL, USUAL])
     y = n[0] / (n[0] + 2 * n[1])
     found = [k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3)]
-    return np.array([0.0, *(min(max(d, 0.0), k + 1.0) for k, d in enumerate(found))])
+    return np.array([0.0, *(min(d, k + 1.0) if d > 0 else USUAL for k, d in enumerate(found))])
 
 
 class Model:

@@ -37,7 +37,8 @@ class Brute:
         if not all(n[k] for k in (1, 2, 3, 4)):
             return [0, 0.5, 0.5, 0.5]
         y = n[1] / (n[1] + 2 * n[2])
-        return [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) for k in (1, 2, 3)]
+        textbook = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+        return [0] + [min(d, k) if d > 0 else 0.5 for k, d in enumerate(textbook, 1)]
 
     def word(self, w):
         pairs = max(len(self.pairs), 1)
@@ -81,6 +82,40 @@ def test_probabilities_of_a_context_add_up():
         assert sum(model.pair(v, w) for w in model.count) + model.pair(v, b"never") == pytest.approx(1)
 
 
+def triplicates():
+    """Pages that come three times, one that comes twice, some four times or once."""
+    pages = [f"page{i} " + " ".join(f"p{i}w{j}" for j in range(12)) for i in range(40)]
+    rows = [p for p in pages[:30] for _ in range(3)] + [pages[30]] * 2 + [p for p in pages[31:33] for _ in range(4)] + pages[33:]
+    return [(i, t, "en", "a") for i, t in enumerate([*rows, *(p + " never seen" for p in pages)])]
+
+
+def test_no_probability_is_zero_where_pages_repeat(spark):
+    rows = triplicates()
+    out = [r for r in rows if "never" in r[1]]
+    model = Brute([r[1] for r in rows if "never" not in r[1]])
+    n = Counter(model.pairs.values())
+    y = n[1] / (n[1] + 2 * n[2])
+    assert 2 - 3 * y * n[3] / n[2] < 0  # what the formula says of counts of two
+    assert all(0 < d <= k for k, d in enumerate(model.d[1:], 1))
+    for v, w in [(a, b) for _, t, *_ in out for a, b in zip([None, *tokens(t)], tokens(t), strict=False)]:
+        assert model.pair(v, w) > 0
+    found = kneser_ney.report(table(spark, rows), F.col("doc_id") >= rows.index(out[0])).collect()
+    check(found, rows, model)
+    assert all(math.isfinite(r.score) and math.isfinite(r.perplexity) for r in found)
+
+
+@pytest.mark.parametrize("n", [[100, 10, 50, 5, 0], [1, 1, 1000, 1, 0], [5, 4, 3, 1000, 0], [1000, 1, 1, 1, 1], [0, 0, 0, 0, 9], [3, 0, 1, 1, 0]])
+def test_discounts_are_above_zero(n):
+    found = kneser_ney.discounts(n).tolist()
+    assert found[0] == 0 and all(0 < d <= k for k, d in enumerate(found[1:], 1))
+
+
+def test_a_text_longer_than_a_batch(spark):
+    long = "ab cd " * (kneser_ney.BATCH_BYTES // 5)
+    rows = [(1, long, "en", "a"), (3, "ab cd", "en", "a"), (4, "cd ab ef", "en", "a")]
+    check(kneser_ney.report(table(spark, rows), F.lit(False)).collect(), rows, Brute([r[1] for r in rows]))
+
+
 def test_without_training_texts(spark):
     docs = table(spark, [(1, "a b", "en", "a"), (2, None, "en", "a")])
     found = kneser_ney.report(docs, F.lit(True)).collect()
