@@ -68,6 +68,15 @@ def base_numbers(text):
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), n < 50 or 100 * len(again) > 50 * n
 
 
+def base_failed(text):
+    w = words(text)
+    counts = {}
+    for i in range(len(w) - 2):
+        counts[tuple(w[i : i + 3])] = counts.get(tuple(w[i : i + 3]), 0) + 1
+    again = {i + j for i in range(len(w) - 2) if counts[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    return len(w) < 50 or 100 * len(again) > 50 * len(w)
+
+
 def test_base_numbers(spark):
     found = llr_rules.report(table(spark, extra=True), labels(spark)).collect()
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -88,7 +97,7 @@ def test_log_ratios(spark):
     rows, marks = training()
     docs = llr_rules.with_trusted(table(spark, rows), labels(spark, marks))
     found = llr_rules.log_ratios(docs, 64, 1.0).first()
-    counted = docs.select("trusted", llr_rules._endings(llr_rules._words()).alias("h"))
+    counted = docs.select("trusted", llr_rules._hashes(llr_rules._words()).alias("h"))
     counted = counted.select("trusted", "h", llr_rules._pairs("h", 64).alias("p")).collect()
     assert sum(r.trusted for r in counted) == sum(quality for _, quality, _ in marks)
     raw, good = np.zeros(64), np.zeros(64)
@@ -101,6 +110,42 @@ def test_log_ratios(spark):
         assert found[name] == pytest.approx(wanted.tolist())
 
 
+def test_ratio_and_verdict_of_each_document(spark):
+    """``llr`` and ``kept`` of whole rows from the hashes of whole words, in numpy."""
+    rows = corpus() + [(1000 + i, shouted(i, 80), "en", "a") for i in range(10)]
+    marks = labels(spark)
+    n = 512
+    df = table(spark, rows, extra=True)
+    found = llr_rules.report(df, marks, buckets=n, threshold=-0.05).collect()
+    hashed = llr_rules.with_trusted(df, marks).select("doc_id", "text", "trusted", llr_rules._hashes(llr_rules._words()).alias("h"))
+    hashed = hashed.select("doc_id", "text", "trusted", "h", llr_rules._pairs("h", n).alias("p")).collect()
+    grams = [np.array([x % n for x in r.h] + r.p, np.int64) for r in hashed]
+    raw, good = np.zeros(n), np.zeros(n)
+    for r, g in zip(hashed, grams):
+        np.add.at(raw, g, 1)
+        np.add.at(good, g, r.trusted)
+    wanted = []
+    for r, g in zip(hashed, grams):
+        assert len(g) == 2 * len(words(r.text))
+        up = np.log((good[g] - r.trusted + 1) / (good.sum() + n)) - np.log(raw[g] / (raw.sum() + n))
+        llr = up.mean() if len(g) else 0.0
+        wanted.append((repr(r.doc_id), round(llr, 9), not base_failed(r.text) and llr >= -0.05))
+    assert sorted((repr(r.doc_id), round(r.llr, 9), r.kept) for r in found) == sorted(wanted)
+    assert {k for *_, k in wanted} == {True, False} and any(not k and not base_failed(r.text) for r, (*_, k) in zip(hashed, wanted))
+
+
+def test_held_out_rates(spark):
+    """With two thirds of the labels trusted, good texts of the other third stay and most bad ones go."""
+    docs, marks = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    good: dict = {}
+    for r in marks.where("doc_id % 3 = 1 and quality is not null").collect():
+        good[r.doc_id] = max(r.quality, good.get(r.doc_id, 0))
+    found = llr_rules.report(docs, marks.where("doc_id % 3 <> 1")).collect()
+    kept = {q: [r.kept for r in found if not r.base_failed and good.get(r.doc_id) == q] for q in (0, 1)}
+    assert len(kept[1]) > 50 and all(kept[1])
+    assert kept[0] and sum(kept[0]) < 0.5 * len(kept[0])
+
+
 def test_without_trusted_texts(spark):
     found = llr_rules.report(table(spark), labels(spark, [])).collect()
     assert all(r.llr == 0 and r.kept == (not r.base_failed) for r in found)
