@@ -101,12 +101,19 @@ class LoanSearch:
         _check_range("year", self.year_min, self.year_max)
         _check_range("start", self.start_min, self.start_max)
 
-    def terms(self) -> list[Column]:
+    def book_terms(self) -> list[Column]:
         return [
-            *contains("client_name", self.client_name),
             *contains("book_name", self.book_name),
             *contains("author", self.author),
             *contains("genre", self.genre),
             *between("year", self.year_min, self.year_max),
-            *between("start_date", self.start_min, self.start_max),
         ]
+
+    def client_terms(self) -> list[Column]:
+        return contains("client_name", self.client_name)
+
+    def loan_terms(self) -> list[Column]:
+        return between("start_date", self.start_min, self.start_max)
+
+    def terms(self) -> list[Column]:
+        return [*self.client_terms(), *self.book_terms(), *self.loan_terms()]

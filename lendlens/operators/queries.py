@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lendlens.functions.dates import days_overdue, is_overdue, out_on
 from lendlens.operators.occupancy import furthest_return
-from lendlens.operators.predicates import BookSearch, ClientSearch, LoanSearch, apply
+from lendlens.operators.predicates import BookSearch, ClientSearch, LoanSearch, all_of, apply
+from lendlens.operators.sizing import narrowed
 from lendlens.session import staged
 from lendlens.sources.library import (
     BOOK_COLS,
@@ -56,9 +57,22 @@ def unloaned_books_at(
 def loan_rows(
     library: Library, loans: DataFrame, search: LoanSearch | None, clients: DataFrame | None = None
 ) -> DataFrame:
-    """Loans found, with their item and borrower; orphans fall out."""
+    """Loans found, with their item and borrower; orphans fall out.
+
+    The search comes before the joins: the keys of the items and borrowers it
+    finds narrow the loans, and only the loans found meet the wide rows.
+    """
     people = flat_clients(library) if clients is None else clients
-    return apply(loans.join(flat_books(library), "book_id").join(people, "client_id"), search)
+    items = flat_books(library)
+    if search is not None:
+        loans = loans.filter(all_of(search.loan_terms()))
+        if terms := search.book_terms():
+            items = items.filter(all_of(terms))
+            loans = narrowed(loans, items, "book_id")
+        if terms := search.client_terms():
+            people = people.filter(all_of(terms))
+            loans = narrowed(loans, people, "client_id")
+    return loans.join(items, "book_id").join(people, "client_id")
 
 
 def open_loan_rows(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lendlens.operators import audits, ingest, paging, queries, reports, sizing
 from lendlens.operators.occupancy import overlap_flags, spans
-from lendlens.operators.predicates import BookSearch
+from lendlens.operators.predicates import BookSearch, LoanSearch
 from lendlens.sources.library import Library, flat_books, read_library, write_library
 
 DAY = date(2024, 3, 1)
@@ -186,6 +186,36 @@ def test_a_deep_page_moves_its_own_rows(spark, skewed):
         assert [tuple(r) for r in found.collect()] == wanted[part]
 
 
+def test_a_search_narrows_the_loans_before_the_joins(spark, skewed):
+    search = LoanSearch(book_name="N", client_name="c", genre="G", start_min=date(2024, 2, 1))
+    found = queries.expired_loans_at(skewed, DAY, search)
+    plan = plan_of(found)
+    assert plan.count("LeftSemi") == 2
+    without = queries.expired_loans_at(skewed, DAY, LoanSearch(start_min=date(2024, 2, 1)))
+    assert "LeftSemi" not in plan_of(without)
+    assert found.count() == without.count() > 0
+    assert queries.expired_loans_at(skewed, DAY, LoanSearch(author="b")).count() == 0
+
+
+def test_key_filters_pass_over_row_groups(spark, skewed, tmp_path):
+    rare = skewed.loans.withColumn("book_id", F.expr("if(id = 31234, 30001, id * 14 % 60000)"))
+    read = {}
+    # Without dictionaries, which rule out row groups of few keys by themselves.
+    with settings(
+        spark,
+        parquet__block__size="65536",
+        parquet__enable__dictionary="false",
+        parquet__page__size__row__check__min="100",
+        spark__sql__files__maxPartitionBytes="64m",
+    ):
+        for name, filters in (("plain", None), ("filtered", 4000)):
+            write_library(skewed.with_(loans=rare), str(tmp_path / name), filters)
+            found = queries.book_history(read_library(spark, str(tmp_path / name)), 30001)
+            assert [r["loan_id"] for r in found.collect()] == [31234]
+            read[name] = max(n for step, n in rows_out(found) if "Scan" in step and n != 900)
+    assert read["filtered"] < read["plain"] / 2
+
+
 def new_loans(skewed, days=400):
     return skewed.loans.select(
         F.col("id").alias("arrival"),
