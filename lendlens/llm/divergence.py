@@ -45,6 +45,8 @@ TOP = 10
 #: Bytes of text that a batch, and that a bucket, is made of.
 BATCH_BYTES = 12 << 20
 BUCKET_BYTES = 24 << 20
+#: Parts that the kept terms of a bucket are paired in.
+SLICES = 8
 #: Sources in a block, and entries of a matrix at a time.
 SOURCES = 512
 ENTRIES = 1 << 21
@@ -334,10 +336,10 @@ def group_totals(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _pairs(left: pa.Table, right: pa.Table, sources: int) -> pa.Table:
-    """The sums of one bucket's terms for the pairs of two blocks of sources.
+    """The sums of the terms of one slice of a bucket for the pairs of two blocks of sources.
 
     ``left``: place, at and p of what occurs; ``right``: the groups of both blocks, with p of a term they don't have, and
-    how many terms the bucket has in the language. Those that none of these groups has differ by the same in all.
+    how many terms the slice has in the language. Those that none of these groups has differ by the same in all.
     """
     places = right.column("place").to_numpy()
     order = np.argsort(places)
@@ -386,12 +388,13 @@ def pair_values(kept: DataFrame, totals: DataFrame, sources: int = SOURCES) -> D
     """lang, a, b (places, a < b), value: summed over the kept terms; no row for a language without any."""
     blocks = F.floor(F.max("place").over(Window.partitionBy("lang")) / sources).cast("int") + 1
     numbered = totals.where("terms > 0").withColumn("blocks", blocks)
+    kept = kept.withColumn("slice", F.col("at") % SLICES)  # a large language is many groups in a small corpus too
     share = _portion(F.col("count") + 2, F.col("whole"))
-    entries = kept.join(numbered, ["lang", "source"]).select("lang", "bucket", "place", "blocks", "at", share.alias("p"))
+    entries = kept.join(numbered, ["lang", "source"]).select("lang", "bucket", "slice", "place", "blocks", "at", share.alias("p"))
     absent = _portion(F.lit(2).cast("long"), F.col("whole"))
-    present = kept.groupBy("lang", "bucket").agg(F.count_if("first").alias("terms"))
+    present = kept.groupBy("lang", "bucket", "slice").agg(F.count_if("first").alias("terms"))
     groups = numbered.select("lang", "place", "blocks", absent.alias("absent")).join(present, "lang")
-    key = ["lang", "bucket", "block_a", "block_b"]
+    key = ["lang", "bucket", "slice", "block_a", "block_b"]
     left = _in_blocks(entries, sources).select(*key, "place", "at", "p").groupBy(*key)
     sides = _in_blocks(groups, sources).select(*key, "place", "absent", "terms")
     right = sides.toDF(*sides.columns).groupBy(*key)  # columns of its own: both sides come from ``kept``
