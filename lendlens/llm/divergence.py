@@ -43,8 +43,8 @@ LEAST = 10
 SCALE = 1_000_000_000
 TOP = 10
 #: Bytes of text that a batch, and that a bucket, is made of.
-BATCH_BYTES = 12 << 20
-BUCKET_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Parts that the kept terms of a bucket are paired in.
 SLICES = 8
 #: Sources in a block, and entries of a matrix at a time.
