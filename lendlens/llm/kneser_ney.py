@@ -1,37 +1,45 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark and scored from memory-mapped arrays.
+"""An interpolated modified Kneser-Ney model of n-grams of any order, counted in Spark and scored from memory-mapped arrays.
 
 *Counting.* Each task counts its words by a 64-bit hash and sends the sorted distinct hashes with their counts, cut by
 ranges of the hash, to the tasks that add them up. These write a file for each range: the hashes in order, then the
-counts. A word's ID is its rank in all files. Pairs of IDs are counted the same way, in order of a one-to-one scramble
-of the pair, so that frequent words are spread over all ranges; a second, smaller round adds up by ID what the model
-needs of each word: as a context the number of its pairs, and of its successors seen once, twice and more often; as a
-successor the number of its contexts.
+counts. A word's ID is its rank in all files. An n-gram of k words is known by two IDs, that of its first k - 1 words and
+that of its last k - 1, and is counted by a one-to-one scramble of the two (``Keys``), so that frequent words are spread
+over all ranges; its own ID is again its rank. So the lengths are counted one after the other, up to the order.
 
-*Scoring.* Workers memory-map these files. They look up the sorted distinct pairs of a batch of texts by binary search,
+A second, smaller round for each length, from the longest down, adds up by ID what the model needs of the n-grams one
+word shorter: as a context the sum of the counts over its successors, and the numbers of successors of counts 1, 2 and
+more; as an ending the number of words before it. The latter is the count that the shorter n-grams go by.
+
+*Scoring.* Workers memory-map these files. They look up the sorted distinct n-grams of a batch of texts by binary search,
 range by range, so a file is passed once per batch. Nothing of the model passes through the driver but the number of
-words in each range and the counts of counts (a dozen numbers) that give the discounts.
+n-grams in each range and the counts of counts (a dozen numbers for each length) that give the discounts.
 
-With c the count of a pair, D1, D2, D3 the discounts of counts 1, 2 and more:
+With c the count of an n-gram, of h and then w (of the longest: how often it occurs, else how many words come before it),
+D1, D2, D3 the discounts of its length for counts 1, 2 and more, and h' the context without its first word:
 
-    p(w | v) = (c - D(c)) / total(v) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) / total(v) * p(w)
+    p(w | h) = (c - D(c)) / total(h) + (D1 n1(h) + D2 n2(h) + D3 n3(h)) / total(h) * p(w | h')
     p(w) = (k - E(k)) / pairs + (E1 m1 + E2 m2 + E3 m3) / pairs / (V + 1)
 
-where k is the number of w's contexts, m1, m2, m3 the numbers of words with one, two and more contexts, and the unknown word
-is the one more than V. The mark for a text's start is a context, the mark for its end a token.
+where k is the number of words before w, m1, m2, m3 the numbers of words with one, two and more before them, and the unknown
+word is the one more than V. A context that did not occur leaves p(w | h'). Before a text stand order - 1 marks for its
+start, which are contexts only; the mark for its end is a token.
 
 Defined cases: a null text is empty and has the end as its one token; without training texts each token has probability 1
 by both models; every probability is above zero, on any corpus; rows that repeat count as often as they stand, also with
 one doc_id or none, a null doc_id being the empty text for the choice of training texts; a text longer than a batch is a batch
-by itself; an empty table gives no rows. IDs are held in 32 bits, and more distinct words raise an error.
+by itself; an empty table gives no rows. IDs are 64 bits wide: where two of them take more than 64 bits, the rest of the
+bits names a folder of files. An order below two raises an error.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,24 +49,70 @@ from lendlens.llm.files import mapped, new_folder, pack_numbers, unpack_numbers,
 from lendlens.llm.sorted_files import BLOBS, SortedFiles, added, blob_batch, blobs, sizes_of, unpacked
 
 BATCH_BYTES = 8 << 20
-#: Tokens that a range of pairs holds on average, before equal ones are added up.
+#: Words before a token that the query's model looks at, and the token itself.
+ORDER = 3
+#: Tokens that a range of n-grams holds on average, before equal ones are added up.
 RANGE_TOKENS = 2_000_000
 #: IDs in a range of the second round.
-ID_RANGE = 1 << 16
+ID_RANGE = 1 << 18
 USUAL = 0.5
 #: No word has a blank in it.
 END = b" "
-_INVERSES = [np.uint64(pow(c, -1, 1 << 64)) for c in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+_FACTORS = (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)
+
+
+class Keys:
+    """One-to-one keys for two IDs of up to ``most``: a part and 64 sortable bits, both spread evenly.
 
+    The key has as many bits as the two IDs need, at the top of the 64; beyond 64 (``width``) the rest make the part.
+    """
 
-def unmix64(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix64."""
-    with np.errstate(over="ignore"):
-        x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-        x = x * _INVERSES[0]
-        x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-        x = x * _INVERSES[1]
-        return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+    def __init__(self, most: int, width: int = 64):
+        self.bits = max(1, int(most).bit_length())
+        self.low = max(min(2 * self.bits, width), self.bits)
+        self.high = 2 * self.bits - self.low
+        self.parts = 1 << self.high
+        self.mask = np.uint64((1 << self.low) - 1)
+        self.half, self.up = np.uint64((self.low + 1) // 2), np.uint64(64 - self.low)
+
+    def _scrambled(self, x: np.ndarray, factors) -> np.ndarray:
+        # A shift by half of the bits or more undoes itself.
+        with np.errstate(over="ignore"):
+            for f in factors:
+                x = x ^ (x >> self.half)
+                x = (x * np.uint64(f & int(self.mask))) & self.mask
+            return x ^ (x >> self.half)
+
+    def _part_mask(self, key: np.ndarray) -> np.ndarray:
+        return mix64(key) >> np.uint64(64 - self.high)
+
+    def of(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before, after = before.astype(np.uint64), after.astype(np.uint64)
+        x = ((before << np.uint64(self.bits)) | after) & self.mask
+        key = self._scrambled(x, _FACTORS) << self.up
+        if not self.high:
+            return np.zeros(len(key), np.int64), key
+        part = (before >> np.uint64(self.low - self.bits)) ^ self._part_mask(key)
+        return part.astype(np.int64), key
+
+    def ids(self, part: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two IDs of each key of a part."""
+        x = self._scrambled(key >> self.up, [pow(f, -1, 1 << self.low) for f in reversed(_FACTORS)])
+        before = x >> np.uint64(self.bits)
+        if self.high:
+            before = before | ((np.uint64(part) ^ self._part_mask(key)) << np.uint64(self.low - self.bits))
+        return before.astype(np.int64), (x & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+
+def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the places of its keys."""
+    if parts == 1:
+        yield 0, np.arange(len(part))
+        return
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    if len(found):
+        yield from zip(found.tolist(), np.split(order, first[1:]), strict=True)
 
 
 class _Codes(dict):
@@ -104,74 +158,142 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(d, k + 1.0) if d > 0 else USUAL for k, d in enumerate(found))])
 
 
+class Grams:
+    """The distinct n-grams of one length with their counts, in sorted files for each part of their keys."""
+
+    def __init__(self, keys: Keys, folder: str, sizes: np.ndarray):
+        self.keys, self.folder, self.sizes = keys, folder, sizes.reshape(keys.parts, -1)
+        self.size = int(sizes.sum())
+        self.first = np.concatenate([[0], np.cumsum(self.sizes.sum(axis=1))]).astype(np.int64)
+
+    def files(self, part: int) -> SortedFiles:
+        return SortedFiles(f"{self.folder}/{part}", self.sizes[part])
+
+    def find(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each two IDs a place in the ID and count of the distinct n-grams; the last place is for unknown ones (-1)."""
+        both = np.flatnonzero((before >= 0) & (after >= 0))
+        part, key = self.keys.of(before[both], after[both])
+        codes = np.full(len(before), -1, np.int64)
+        ids, counts, size = [], [], 0
+        for number, at in _by_part(part, self.keys.parts):
+            distinct, inverse = np.unique(key[at], return_inverse=True)
+            rank, count = self.files(number).look_up(distinct)
+            codes[both[at]] = inverse + size
+            size += len(distinct)
+            ids.append(np.where(rank >= 0, rank + self.first[number], -1))
+            counts.append(count)
+        codes[codes < 0] = size
+        return codes, np.concatenate([*ids, [-1]]), np.concatenate([*counts, [0]])
+
+
+class Rows:
+    """Five numbers for each ID: total, n1, n2, n3 of it as a context, and the number of words before it.
+
+    A file for each range of IDs has them as one byte each, and the larger ones apart.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, number: int, rows: np.ndarray) -> None:
+        flat = rows.ravel()
+        large = np.flatnonzero(flat >= 255)
+        write_whole(
+            f"{self.folder}/{number:08d}", np.array([len(large)], np.int64).tobytes(), large.astype(np.int64).tobytes(),
+            flat[large].astype(np.int64).tobytes(), np.minimum(flat, 255).astype(np.uint8).tobytes(),
+        )
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """The five rows, of zeros for an ID of -1."""
+        found = np.zeros((5, len(ids)), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        known = known[np.argsort(ids[known], kind="stable")]
+        of = ids[known] // ID_RANGE
+        numbers, first = np.unique(of, return_index=True)
+        for number, at in zip(numbers.tolist(), np.split(known, first[1:]), strict=False):
+            large, more, small = _open_rows(f"{self.folder}/{number:08d}")
+            places = (ids[at] - number * ID_RANGE) + np.arange(5)[:, None] * ID_RANGE
+            values = small[places].astype(np.int64)
+            big = values == 255
+            values[big] = more[np.searchsorted(large, places[big])]
+            found[:, at] = values
+        return found
+
+
+@lru_cache(maxsize=4096)
+def _open_rows(uri: str) -> tuple[np.ndarray, ...]:
+    raw = mapped(uri)
+    n = int(raw[:8].view(np.int64)[0])
+    a, b = 8 + 8 * n, 8 + 16 * n
+    return raw[8:a].view(np.int64), raw[a:b].view(np.int64), raw[b:]
+
+
+def _before(codes: np.ndarray, starts: np.ndarray, mark: int) -> np.ndarray:
+    """The code one place earlier, at the start of a text the mark's."""
+    before = np.concatenate([[mark], codes[:-1]])
+    before[starts] = mark
+    return before
+
+
+def _word_ids(tokens: Tokens, words: SortedFiles) -> tuple[np.ndarray, np.ndarray]:
+    """ID (-1: none) and count of each distinct word."""
+    order = np.argsort(tokens.hashes)
+    rank, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    rank[order], count[order] = words.look_up(tokens.hashes[order])
+    return rank, count
+
+
 class Model:
-    """What a worker needs to score: where the files are, and the numbers that hold for all."""
+    """What a worker needs to score: where the files are, and the numbers that hold for all.
+
+    ``grams`` and ``rows`` begin with the pairs, ``gram_discounts`` with the words; ``kinds`` are m1, m2, m3 of the words.
+    """
 
-    def __init__(self, words: SortedFiles, pairs: SortedFiles, folder: str, tokens: int, pair_discounts, word_discounts, kinds, pair_total: int):
-        self.words, self.pairs, self.folder, self.tokens = words, pairs, folder, tokens
-        self.pair_discounts, self.word_discounts = pair_discounts, word_discounts
+    def __init__(self, words: SortedFiles, grams: list[Grams], rows: list[Rows], tokens: int, gram_discounts: list[np.ndarray], kinds: list[int]):
+        self.words, self.grams, self.rows, self.tokens = words, grams, rows, tokens
+        self.gram_discounts = gram_discounts
         self.vocabulary = int(words.sizes.sum())
-        left = float(np.dot(word_discounts[1:], kinds)) if pair_total else 1.0
-        self.pair_total = max(pair_total, 1)
+        left = float(np.dot(gram_discounts[0][1:], kinds)) if grams[0].size else 1.0
+        self.pair_total = max(grams[0].size, 1)
         self.unknown = left / self.pair_total / (self.vocabulary + 1)
 
-    def word_rows(self, ids: np.ndarray) -> np.ndarray:
-        """total, n1, n2, n3, contexts of each ID; ``ids`` are sorted and known."""
-        found = np.zeros((5, len(ids)), np.int64)
-        of = ids // ID_RANGE
-        for number in np.unique(of):
-            a, b = np.searchsorted(of, [number, number + 1])
-            found[:, a:b] = _open_rows(f"{self.folder}/{number:08d}")[:, ids[a:b] - number * ID_RANGE]
-        return found
+    def _rows(self, level: int, ids: np.ndarray) -> np.ndarray:
+        return self.rows[level].of(ids) if self.tokens else np.zeros((5, len(ids)), np.int64)
 
     def score(self, tokens: Tokens) -> dict[str, np.ndarray]:
-        order = np.argsort(tokens.hashes)
-        rank, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        rank[order], count[order] = self.words.look_up(tokens.hashes[order])
-        # The mark for the start is a context; its ID comes after all words'.
-        ids = np.concatenate([rank, [self.vocabulary]])
-        known = np.flatnonzero(ids >= 0)
-        known = known[np.argsort(ids[known])]
-        rows = np.zeros((5, len(ids)), np.int64)
-        if self.tokens:
-            rows[:, known] = self.word_rows(ids[known])
-        total, contexts = rows[0], rows[4]
+        rank, count = _word_ids(tokens, self.words)
+        # The mark for the start is a context; its ID comes after all words', as that of only marks after all n-grams'.
+        ids, codes = np.concatenate([rank, [self.vocabulary]]), tokens.codes
+        rows = self._rows(0, ids)
         single = np.full(len(ids), self.unknown)
-        seen = contexts > 0
-        single[seen] += (contexts[seen] - self.word_discounts[np.minimum(contexts[seen], 3)]) / self.pair_total
-        scale = 1 / np.maximum(total, 1)
-        back = np.where(total > 0, (self.pair_discounts[1:] @ rows[1:4]) * scale, 1.0)
-
-        after = tokens.codes
-        before = np.concatenate([[0], after[:-1]])
-        before[tokens.starts] = len(rank)
-        p = back[before] * single[after]
-        both = np.flatnonzero((ids[before] >= 0) & (ids[after] >= 0))
-        keys, inverse = np.unique(pair_keys(ids[before[both]], ids[after[both]]), return_inverse=True)
-        _, pair_count = self.pairs.look_up(keys)
-        gain = np.where(pair_count > 0, pair_count - self.pair_discounts[np.minimum(pair_count, 3)], 0.0)
-        p[both] += gain[inverse] * scale[before[both]]
+        seen = np.flatnonzero(rows[4])
+        single[seen] += (rows[4, seen] - self.gram_discounts[0][np.minimum(rows[4, seen], 3)]) / self.pair_total
+        p = single[codes]
+        for level, grams in enumerate(self.grams):
+            less = self.gram_discounts[level + 1]
+            before = _before(codes, tokens.starts, len(ids) - 1)
+            scale = 1 / np.maximum(rows[0], 1)
+            back = np.where(rows[0] > 0, (less[1:] @ rows[1:4]) * scale, 1.0)
+            p *= back[before]
+            codes, found, times = grams.find(ids[before], ids[codes])
+            ids = np.concatenate([found, [grams.size]])
+            if level + 1 < len(self.grams):
+                rows, scales = self._rows(level + 1, ids), scale[before]
+                times = rows[4, :-1]
+            else:
+                scales = scale[before]
+            p += np.where(times > 0, times - less[np.minimum(times, 3)], 0.0)[codes] * scales
 
         base = np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
-        known_words = np.concatenate([count > 0, [False]])
         add = lambda x: np.add.reduceat(x, tokens.starts) if len(tokens.starts) else x
         return {
             "n_tokens": tokens.ends - tokens.starts,
-            "n_known": add(known_words[after].astype(np.int64)),
-            "base_score": add(base[after]),
+            "n_known": add((count > 0)[tokens.codes].astype(np.int64)),
+            "base_score": add(base[tokens.codes]),
             "score": add(np.log10(p)),
         }
 
 
-@lru_cache(maxsize=4096)
-def _open_rows(uri: str) -> np.ndarray:
-    return mapped(uri).view(np.int64).reshape(5, -1)
-
-
-def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mix64((before.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64))
-
-
 def _count_words(ranges: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
@@ -200,59 +322,84 @@ def _write_words(folder: str):
     return written
 
 
-def _count_pairs(words: SortedFiles, ranges: int):
+def _count_grams(words: SortedFiles, shorter: list[Grams], keys: Keys, ranges: int):
+    """Count the n-grams one word longer than the longest of ``shorter`` (else pairs), by parts and ranges of their keys."""
     start = int(words.sizes.sum())
 
+    def sent(sums: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for part, held in sums.items():
+            batch = blobs(*added(*map(list, zip(*held, strict=True))), ranges)
+            yield batch.set_column(0, "range", pc.add(batch.column(0), pa.scalar(part * ranges, pa.int32())))
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
+        sums, size = defaultdict(list), 0
         for batch in pieces(batches, "text", BATCH_BYTES):
             tokens = Tokens(texts(batch.column("text")))
-            order = np.argsort(tokens.hashes)
-            rank = np.empty(len(order), np.int64)
-            rank[order], _ = words.look_up(tokens.hashes[order])
-            ids = rank[tokens.codes]
-            before = np.concatenate([[0], ids[:-1]])
-            before[tokens.starts] = start
-            k, c = np.unique(pair_keys(before, ids), return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            size += len(k)
+            ids, codes = np.concatenate([_word_ids(tokens, words)[0], [start]]), tokens.codes
+            for grams in shorter:
+                codes, found, _ = grams.find(ids[_before(codes, tokens.starts, len(ids) - 1)], ids[codes])
+                ids = np.concatenate([found, [grams.size]])
+            part, key = keys.of(ids[_before(codes, tokens.starts, len(ids) - 1)], ids[codes])
+            for number, at in _by_part(part, keys.parts):
+                sums[number].append(np.unique(key[at], return_counts=True))
+                size += len(sums[number][-1][0])
             if size > 2 * RANGE_TOKENS:
-                yield blobs(*added(keys, counts), ranges)
-                keys, counts, size = [], [], 0
-        yield blobs(*added(keys, counts), ranges)
+                yield from sent(sums)
+                sums, size = defaultdict(list), 0
+        yield from sent(sums)
 
     return counted
 
 
-def _write_pairs(folder: str):
+def _row_blobs(before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """What distinct n-grams add to the rows of their contexts and endings, by range of IDs."""
+    order = np.argsort(before, kind="stable")
+    ids, first = np.unique(before[order], return_index=True)
+    later, contexts = np.unique(after, return_counts=True)
+    every, inverse = np.unique(np.concatenate([ids, later]), return_inverse=True)
+    rows = np.zeros((5, len(every)), np.int64)
+    if len(ids):
+        for i, x in enumerate((counts, counts == 1, counts == 2, counts >= 3)):
+            rows[i, inverse[: len(ids)]] = np.add.reduceat(x[order].astype(np.int64), first)
+    rows[4, inverse[len(ids) :]] = contexts
+    cuts = np.flatnonzero(np.diff(every // ID_RANGE, prepend=-1)).tolist()
+    return [
+        (int(every[a] // ID_RANGE), b - a, pack_numbers(every[a:b], *rows[:, a:b])) for a, b in zip(cuts, [*cuts[1:], len(every)], strict=True)
+    ]
+
+
+def _write_grams(folder: str, keys: Keys, ranges: int, longest: bool):
     def written(table: pa.Table) -> pa.Table:
         number = table.column("range")[0].as_py()
-        keys, counts = unpacked(table)
-        SortedFiles.write(folder, number, keys, counts)
-        pair = unmix64(keys)
-        before, after = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
-        order = np.argsort(before, kind="stable")
-        ids, first = np.unique(before[order], return_index=True)
-        sums = [np.add.reduceat(x[order].astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts >= 3)]
-        later, contexts = np.unique(after, return_counts=True)
-        every, inverse = np.unique(np.concatenate([ids, later]), return_inverse=True)
-        rows = np.zeros((5, len(every)), np.int64)
-        for i, x in enumerate(sums):
-            rows[i, inverse[: len(ids)]] = x
-        rows[4, inverse[len(ids) :]] = contexts
-        cuts = np.flatnonzero(np.diff(every // ID_RANGE, prepend=-1)) if len(every) else np.zeros(0, np.int64)
-        out = []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(every)], strict=True):
-            out.append((int(every[a] // ID_RANGE), 0, pack_numbers(every[a:b], *rows[:, a:b])))
+        part = number // ranges
+        key, counts = unpacked(table)
+        SortedFiles.write(f"{folder}/{part}", number % ranges, key, counts)
+        # Of the longest, what they add to the rows; the others do that when their counts are known.
+        out = _row_blobs(*keys.ids(part, key), counts) if longest else []
         # The size of this range and its counts of counts go with range -1 - number.
-        out.append((-1 - number, len(keys), np.array(_counts_of_counts(counts), np.int64).tobytes()))
+        out.append((-1 - number, len(key), np.array(_counts_of_counts(counts), np.int64).tobytes()))
         return pa.Table.from_batches([blob_batch(out)])
 
     return written
 
 
-def _write_rows(folder: str):
+def _shorter_rows(grams: Grams, rows: Rows):
+    """What each range of n-grams adds to the rows one word shorter; their counts are in ``rows``."""
+    ranges = grams.sizes.shape[1]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in (x for batch in batches for x in batch.column(0).to_pylist()):
+            part, place = divmod(number, ranges)
+            if grams.sizes[part, place]:
+                files = grams.files(part)
+                first = int(grams.first[part] + files.offsets[place])
+                counts = rows.of(np.arange(first, first + int(grams.sizes[part, place])))[4]
+                yield blob_batch(_row_blobs(*grams.keys.ids(part, files.keys(place)), counts))
+
+    return made
+
+
+def _write_rows(target: Rows):
     def written(table: pa.Table) -> pa.Table:
         number = table.column("range")[0].as_py()
         rows = np.zeros((5, ID_RANGE), np.int64)
@@ -261,38 +408,47 @@ def _write_rows(folder: str):
             at = (ids - np.uint64(number * ID_RANGE)).astype(np.int64)
             for i, x in enumerate(parts):
                 rows[i, at] += x.astype(np.int64)
-        write_whole(f"{folder}/{number:08d}", rows.tobytes())
+        target.write(number, rows)
         return pa.table({"range": pa.array([number], pa.int32()), "kinds": pa.array([_counts_of_counts(rows[4])], pa.list_(pa.int64()))})
 
     return written
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = ORDER, width: int = 64) -> Model:
     """Count the texts of ``docs`` (all of them) into a model in the shared folder."""
+    if order < 2:
+        raise ValueError("the order is two or more")
     spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    folder = new_folder(spark, "pairs-model")
+    folder = new_folder(spark, "grams-model")
     ranges = max(8, docs.rdd.getNumPartitions())
     sent = docs.mapInArrow(_count_words(ranges), BLOBS)
     written = staged(sent.groupBy("range").applyInArrow(_write_words(f"{folder}/words"), "range int, n long, tokens long"))
     made = written.collect()  # a row for each range
     words = SortedFiles(f"{folder}/words", sizes_of([(r["range"], r["n"]) for r in made], ranges))
     tokens = sum(r["tokens"] for r in made)
-    if words.sizes.sum() >= (1 << 32) - 1:
-        raise ValueError("more distinct words than IDs")
-    ranges = max(8, tokens // RANGE_TOKENS + 1)
-    sent = docs.mapInArrow(_count_pairs(words, ranges), BLOBS)
-    parts = staged(sent.groupBy("range").applyInArrow(_write_pairs(f"{folder}/pairs"), BLOBS))
-    made = parts.where("range < 0").collect()  # a row for each range
-    pairs = SortedFiles(f"{folder}/pairs", sizes_of([(-1 - r["range"], r["n"]) for r in made], ranges))
-    of_pairs = sum((np.frombuffer(r["data"], np.int64) for r in made), np.zeros(5, np.int64))
-    kinds = staged(parts.where("range >= 0").groupBy("range").applyInArrow(_write_rows(f"{folder}/rows"), "range int, kinds array<long>"))
-    sums = kinds.agg(*[F.sum(F.col("kinds")[i]).alias(f"k{i}") for i in range(5)]).first()
-    of_words = [int(x or 0) for x in sums]
-    return Model(
-        words, pairs, f"{folder}/rows", tokens, discounts(of_pairs.tolist()), discounts(of_words),
-        [of_words[0], of_words[1], sum(of_words[2:])], int(pairs.sizes.sum()),
-    )
+    size, levels = int(words.sizes.sum()), []
+    for length in range(2, order + 1):
+        keys = Keys(size, width)
+        ranges = max(1, max(8, tokens // RANGE_TOKENS + 1) >> keys.high)
+        sent = docs.mapInArrow(_count_grams(words, levels[:], keys, ranges), BLOBS)
+        write = _write_grams(f"{folder}/{length}", keys, ranges, length == order)
+        parts = staged(sent.groupBy("range").applyInArrow(write, BLOBS))
+        made = parts.where("range < 0").collect()  # a row for each range
+        levels.append(Grams(keys, f"{folder}/{length}", sizes_of([(-1 - r["range"], r["n"]) for r in made], ranges * keys.parts)))
+        size = levels[-1].size
+    of_counts = sum((np.frombuffer(r["data"], np.int64) for r in made), np.zeros(5, np.int64)).tolist()
+    found, rows = [discounts(of_counts)], []
+    for grams in reversed(levels):
+        if rows:
+            numbers = spark.range(0, grams.sizes.size, 1, grams.sizes.size)
+            parts = staged(numbers.mapInArrow(_shorter_rows(grams, rows[0]), BLOBS))
+        rows.insert(0, Rows(f"{grams.folder}/rows"))
+        kinds = staged(parts.where("range >= 0").groupBy("range").applyInArrow(_write_rows(rows[0]), "range int, kinds array<long>"))
+        sums = kinds.agg(*[F.sum(F.col("kinds")[i]).alias(f"k{i}") for i in range(5)]).first()
+        of_counts = [int(x or 0) for x in sums]
+        found.insert(0, discounts(of_counts))
+    return Model(words, levels, rows, tokens, found, [of_counts[0], of_counts[1], sum(of_counts[2:])])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -314,9 +470,9 @@ def perplexity(scored: DataFrame) -> DataFrame:
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def report(docs: DataFrame, left_out: Column | None = None) -> DataFrame:
+def report(docs: DataFrame, left_out: Column | None = None, order: int = ORDER) -> DataFrame:
     """Learn from the documents that are not left out, score all."""
     out = held_out(F.col("doc_id"), 7, 2) if left_out is None else left_out
-    model = train(docs.where(~out))
+    model = train(docs.where(~out), order)
     rows = perplexity(score(docs, model))
     return rows.withColumn("held_out", out).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
