@@ -368,23 +368,19 @@ def _row_blobs(before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> lis
     ]
 
 
-def _write_grams(folder: str, keys: Keys, ranges: int, longest: bool):
+def _write_grams(folder: str, ranges: int):
     def written(table: pa.Table) -> pa.Table:
         number = table.column("range")[0].as_py()
-        part = number // ranges
         key, counts = unpacked(table)
-        SortedFiles.write(f"{folder}/{part}", number % ranges, key, counts)
-        # Of the longest, what they add to the rows; the others do that when their counts are known.
-        out = _row_blobs(*keys.ids(part, key), counts) if longest else []
-        # The size of this range and its counts of counts go with range -1 - number.
-        out.append((-1 - number, len(key), np.array(_counts_of_counts(counts), np.int64).tobytes()))
-        return pa.Table.from_batches([blob_batch(out)])
+        SortedFiles.write(f"{folder}/{number // ranges}", number % ranges, key, counts)
+        kinds = pa.array([_counts_of_counts(counts)], pa.list_(pa.int64()))
+        return pa.table({"range": pa.array([number], pa.int32()), "n": [len(key)], "kinds": kinds})
 
     return written
 
 
-def _shorter_rows(grams: Grams, rows: Rows):
-    """What each range of n-grams adds to the rows one word shorter; their counts are in ``rows``."""
+def _add_rows(grams: Grams, rows: Rows | None):
+    """What each range of n-grams adds to the rows one word shorter; the counts are the files', or those in ``rows``."""
     ranges = grams.sizes.shape[1]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,9 +388,11 @@ def _shorter_rows(grams: Grams, rows: Rows):
             part, place = divmod(number, ranges)
             if grams.sizes[part, place]:
                 files = grams.files(part)
-                first = int(grams.first[part] + files.offsets[place])
-                counts = rows.of(np.arange(first, first + int(grams.sizes[part, place])))[4]
-                yield blob_batch(_row_blobs(*grams.keys.ids(part, files.keys(place)), counts))
+                key, counts = files.held(place)
+                if rows:
+                    first = int(grams.first[part] + files.offsets[place])
+                    counts = rows.of(np.arange(first, first + len(key)))[4]
+                yield blob_batch(_row_blobs(*grams.keys.ids(part, key), counts))
 
     return made
 
@@ -432,19 +430,18 @@ def train(docs: DataFrame, order: int = ORDER, width: int = 64) -> Model:
         keys = Keys(size, width)
         ranges = max(1, max(8, tokens // RANGE_TOKENS + 1) >> keys.high)
         sent = docs.mapInArrow(_count_grams(words, levels[:], keys, ranges), BLOBS)
-        write = _write_grams(f"{folder}/{length}", keys, ranges, length == order)
-        parts = staged(sent.groupBy("range").applyInArrow(write, BLOBS))
-        made = parts.where("range < 0").collect()  # a row for each range
-        levels.append(Grams(keys, f"{folder}/{length}", sizes_of([(-1 - r["range"], r["n"]) for r in made], ranges * keys.parts)))
+        write = _write_grams(f"{folder}/{length}", ranges)
+        written = staged(sent.groupBy("range").applyInArrow(write, "range int, n long, kinds array<long>"))
+        made = written.collect()  # a row for each range
+        levels.append(Grams(keys, f"{folder}/{length}", sizes_of([(r["range"], r["n"]) for r in made], ranges * keys.parts)))
         size = levels[-1].size
-    of_counts = sum((np.frombuffer(r["data"], np.int64) for r in made), np.zeros(5, np.int64)).tolist()
+    of_counts = [sum(r["kinds"][i] for r in made) for i in range(5)]
     found, rows = [discounts(of_counts)], []
     for grams in reversed(levels):
-        if rows:
-            numbers = spark.range(0, grams.sizes.size, 1, grams.sizes.size)
-            parts = staged(numbers.mapInArrow(_shorter_rows(grams, rows[0]), BLOBS))
+        numbers = spark.range(0, grams.sizes.size, 1, grams.sizes.size)
+        sent = numbers.mapInArrow(_add_rows(grams, rows[0] if rows else None), BLOBS)
         rows.insert(0, Rows(f"{grams.folder}/rows"))
-        kinds = staged(parts.where("range >= 0").groupBy("range").applyInArrow(_write_rows(rows[0]), "range int, kinds array<long>"))
+        kinds = staged(sent.groupBy("range").applyInArrow(_write_rows(rows[0]), "range int, kinds array<long>"))
         sums = kinds.agg(*[F.sum(F.col("kinds")[i]).alias(f"k{i}") for i in range(5)]).first()
         of_counts = [int(x or 0) for x in sums]
         found.insert(0, discounts(of_counts))

@@ -95,9 +95,12 @@ class SortedFiles:
             counts[large].astype(np.int64).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(),
         )
 
-    def keys(self, number: int) -> np.ndarray:
-        """The keys of a range, in order."""
-        return _open(f"{self.folder}/{number:08d}")[0]
+    def held(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a range, in order, and their counts."""
+        held, large, more, counts = _open(f"{self.folder}/{number:08d}")
+        counts = counts.astype(np.int64)
+        counts[large] = more
+        return held, counts
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (-1: none) and count of each key; ``keys`` are sorted."""
