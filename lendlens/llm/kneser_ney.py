@@ -50,7 +50,7 @@ from lendlens.llm.sorted_files import BLOBS, SortedFiles, added, blob_batch, blo
 
 BATCH_BYTES = 8 << 20
 #: Words before a token that the query's model looks at, and the token itself.
-ORDER = 3
+ORDER = 2
 #: Tokens that a range of n-grams holds on average, before equal ones are added up.
 RANGE_TOKENS = 2_000_000
 #: IDs in a range of the second round.
