@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lendlens.functions.text import iso
 from lendlens.operators.occupancy import overlap_flags
 from lendlens.operators.sizing import narrowed
+from lendlens.session import staged
 from lendlens.sources.library import NULLABLE, Library, flat_loans
 
 
@@ -153,14 +154,17 @@ def orphan_loans(library: Library) -> DataFrame:
     return lost_books.unionByName(without(_client_suspects(library), "client_id"))
 
 
-def duplicate_ids(library: Library) -> DataFrame:
-    """(table, id, n) of IDs that stand on more than one row."""
-
+def _repeated(tables: dict[str, DataFrame]) -> DataFrame:
     def repeated(name: str, df: DataFrame) -> DataFrame:
         counted = df.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"))
         return counted.filter("n > 1").select(F.lit(name).alias("table"), "id", "n")
 
-    return _union([repeated(name, df) for name, df in _tables(library).items()])
+    return _union([repeated(name, df) for name, df in tables.items()])
+
+
+def duplicate_ids(library: Library) -> DataFrame:
+    """(table, id, n) of IDs that stand on more than one row."""
+    return _repeated(_tables(library))
 
 
 def _loan_findings(library: Library) -> DataFrame:
@@ -195,8 +199,12 @@ def _loan_findings(library: Library) -> DataFrame:
     return found.select("rule", F.lit("loan").alias("table"), F.col("loan_id").alias("id"), "detail")
 
 
-def audit_all(library: Library) -> DataFrame:
-    """All violations as (rule, table, id, detail)."""
+def _all_findings(library: Library, meeting: DataFrame, own: dict[str, DataFrame]) -> DataFrame:
+    """(rule, table, id, detail) by all rules.
+
+    The loans of ``library`` are judged with its parents, those of ``meeting`` among each other, and the rows of ``own``
+    for missing values (parents) and repeated IDs.
+    """
 
     def found(rule: str, df: DataFrame, table: Column, key: str, detail: Column) -> DataFrame:
         named = [F.lit(rule).alias("rule"), table.alias("table")]
@@ -204,13 +212,68 @@ def audit_all(library: Library) -> DataFrame:
 
     own_table = F.col("table")
     item = F.concat(F.lit("book "), F.col("book_id").cast("string"))
-    parents = {"book": library.books, "client": library.clients}
+    parents = {name: own[name] for name in ("book", "client")}
     copies = F.concat(F.col("n").cast("string"), F.lit(" rows"))
     return _union(
         [
             _loan_findings(library),
-            found("overlap", overlap_violations(library), F.lit("loan"), "loan_id", item),
+            found("overlap", overlap_flags(meeting), F.lit("loan"), "loan_id", item),
             found("null_required", _nulls(parents), own_table, "id", F.col("column")),
-            found("duplicate_id", duplicate_ids(library), own_table, "id", copies),
+            found("duplicate_id", _repeated(own), own_table, "id", copies),
         ]
     )
+
+
+def audit_all(library: Library) -> DataFrame:
+    """All violations as (rule, table, id, detail)."""
+    return _all_findings(library, library.loans, _tables(library))
+
+
+def _rows_of(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ID is named; a null among the names stands for the rows without an ID."""
+    named = ids.select(F.col("id").alias("named_id"))
+    return table.join(named, F.col("id").eqNullSafe(F.col("named_id")), "left_semi")
+
+
+def _judged_anew(loans: DataFrame, named: dict[str, DataFrame]) -> DataFrame:
+    """Loans that are named themselves or whose item or borrower is; each row once."""
+    columns = loans.columns
+    for key, ids in named.items():
+        names = ids.select(F.col("id").alias(f"named_{key}")).distinct().withColumn(f"hit_{key}", F.lit(True))
+        same = F.col("id").eqNullSafe(F.col("named_id")) if key == "id" else F.col(key) == F.col(f"named_{key}")
+        loans = loans.join(names, same, "left")
+    return loans.filter(F.coalesce(*[f"hit_{key}" for key in named])).select(*columns)
+
+
+def audit_change(
+    before: Library,
+    after: Library,
+    books: DataFrame | None = None,
+    clients: DataFrame | None = None,
+    loans: DataFrame | None = None,
+) -> DataFrame:
+    """The violations that a change brought: ``audit_all`` of the library after it less that before, row by row.
+
+    ``books``, ``clients`` and ``loans`` name, in a column ``id``, the rows that differ between the two libraries: new,
+    changed or gone (a null: rows without an ID); left out, that table has not changed. A row that differs and is not
+    named may be missed. Looked at are the loans named, in both libraries, with their parents; the loans of parents
+    named; and for overlaps the loans of items that a loan named has or had. What the change mended is not reported.
+    """
+    nothing = before.loans.select("id").limit(0)
+    books, clients, loans = (nothing if ids is None else ids.select("id") for ids in (books, clients, loans))
+    own = {"book": books, "client": clients, "loan": loans}
+    named = {"id": loans, "book_id": books, "client_id": clients}
+    judged = [staged(_judged_anew(library.loans, named)) for library in (before, after)]
+    moved = [_rows_of(rows, loans).select("book_id") for rows in judged]
+    items = staged(moved[0].unionByName(moved[1]).distinct())
+
+    def near(library: Library, rows: DataFrame) -> DataFrame:
+        def of(parents: DataFrame, key: str) -> DataFrame:
+            return narrowed(parents, rows.select(F.col(key).alias("id")), "id")
+
+        parented = Library(of(library.books, "book_id"), of(library.clients, "client_id"), rows)
+        meeting = narrowed(library.loans, items, "book_id")
+        tables = _tables(library)
+        return _all_findings(parented, meeting, {name: _rows_of(tables[name], ids) for name, ids in own.items()})
+
+    return near(after, judged[1]).exceptAll(near(before, judged[0]))

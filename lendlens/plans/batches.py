@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlens.sources import retail
+from lendlens.sources.library import LOAN, Library
 
 
 def raw_books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,3 +156,36 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon = F.col("n_nationkey").cast("double") * 5 - 60.5
     lat = F.when(F.col("n_regionkey") != 4, F.col("n_regionkey").cast("double") * 10)
     return nation.select(F.col("n_name").alias("address"), lon.alias("lon"), lat.alias("lat"))
+
+
+def _added_again() -> Column:
+    return F.col("year") == 1960
+
+
+def _unregistered() -> Column:
+    return F.col("address") == "NATION_3"
+
+
+def unchecked_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of new loans under IDs of its own, loaded past all checks."""
+    return new_loans(spark, sf_dir).withColumn("id", -F.col("arrival")).select(*LOAN.names)
+
+
+def with_unchecked(library: Library, unchecked: DataFrame) -> Library:
+    """The library after a load past all checks: more loans, items entered again later, borrowers without a day."""
+    again = library.books.filter(_added_again()).withColumn("added", F.date_add("added", 700))
+    registered = F.when(~_unregistered(), F.col("registered"))
+    return Library(
+        library.books.unionByName(again),
+        library.clients.withColumn("registered", registered),
+        library.loans.select(*LOAN.names).unionByName(unchecked),
+    )
+
+
+def unchecked_ids(library: Library, unchecked: DataFrame) -> dict[str, DataFrame]:
+    """The IDs that such a load names, by table."""
+    return {
+        "books": library.books.filter(_added_again()).select("id"),
+        "clients": library.clients.filter(_unregistered()).select("id"),
+        "loans": unchecked.select("id"),
+    }

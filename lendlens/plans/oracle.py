@@ -230,18 +230,23 @@ SEARCHES = {
     ),
 }
 
-_TOTALS = f"""
+
+def _totals(loan: str) -> str:
+    return f"""
 total AS (
     SELECT client.id, name, registered, address, count(loan.id) AS loans,
            count(loan.id) FILTER (WHERE return_date IS NULL) AS still_out,
            max(coalesce(return_date, start_date)) AS seen
-    FROM client LEFT JOIN loan ON client_id = client.id GROUP BY ALL),
+    FROM client LEFT JOIN {loan} AS loan ON client_id = client.id GROUP BY ALL),
 genre_total AS (
     SELECT min(genre) AS genre, CAST(sum(n) AS BIGINT) AS score
     FROM (SELECT book.id, genre, count(loan.id) AS n
-          FROM book LEFT JOIN loan ON book_id = book.id GROUP BY ALL)
+          FROM book LEFT JOIN {loan} AS loan ON book_id = book.id GROUP BY ALL)
     GROUP BY {_fold('genre')})"""
 
+
+_TOTALS = _totals("loan")
+
 _CLIENT_LINE = _CLIENT_TEXT.format(name="name")
 
 TEXTS = {
@@ -377,9 +382,9 @@ def _repeated(table: str, source: str) -> str:
     )
 
 
-def _orphans(column: str, parent: str) -> str:
+def _orphans(column: str, parent: str, source: str = "bad_loan") -> str:
     return (
-        f"SELECT id AS loan_id, '{column}' AS \"column\", {column} AS key FROM bad_loan "
+        f"SELECT id AS loan_id, '{column}' AS \"column\", {column} AS key FROM {source} "
         f"WHERE {column} NOT IN (SELECT id FROM {parent})"
     )
 
@@ -480,6 +485,35 @@ AUDITS = {
 }
 
 
+def _all_findings(book: str, client: str, loan: str) -> str:
+    """All rules over three tables; an item that stands twice counts from its latest day."""
+    nulls = " UNION ALL ".join(
+        [
+            _nulls("book", book, ["id", "name", "year", "author", "genre", "added"]),
+            _nulls("client", client, ["id", "name", "registered", "address"]),
+            _nulls("loan", loan, ["id", "start_date", "end_date", "book_id", "client_id"]),
+        ]
+    )
+    repeated = " UNION ALL ".join([_repeated("book", book), _repeated("client", client), _repeated("loan", loan)])
+    orphans = f"{_orphans('book_id', book, loan)} UNION ALL {_orphans('client_id', client, loan)}"
+    return f"""
+        SELECT 'overlap' AS rule, 'loan' AS "table", loan_id AS id, 'book ' || book_id AS detail
+        FROM ({_overlapping(loan)})
+        UNION ALL SELECT 'loan_before_book', 'loan', l.id, {_earlier('start_date', 'added')}
+        FROM {loan} AS l JOIN (SELECT id, max(added) AS added FROM {book} GROUP BY id) AS b
+        ON book_id = b.id WHERE start_date < added
+        UNION ALL SELECT 'loan_before_client', 'loan', l.id, {_earlier('start_date', 'registered')}
+        FROM {loan} AS l JOIN (SELECT id, max(registered) AS registered FROM {client} GROUP BY id) AS c
+        ON client_id = c.id WHERE start_date < registered
+        UNION ALL SELECT 'return_before_start', 'loan', id, {_earlier('return_date', 'start_date')}
+        FROM {loan} WHERE return_date < start_date
+        UNION ALL SELECT 'due_before_start', 'loan', id, {_earlier('end_date', 'start_date')}
+        FROM {loan} WHERE end_date < start_date
+        UNION ALL SELECT 'null_required', "table", id, "column" FROM ({nulls})
+        UNION ALL SELECT 'orphan_loan', 'loan', loan_id, "column" || ' ' || key FROM ({orphans})
+        UNION ALL SELECT 'duplicate_id', "table", id, n || ' rows' FROM ({repeated})"""
+
+
 def _new_id(kind: str, table: str) -> str:
     top = f"(SELECT max(id) + 1 FROM {table})"
     return f"CASE {kind} WHEN 0 THEN id WHEN 1 THEN {top} + id // 2 END"
@@ -628,6 +662,9 @@ _NUMBERED_LOANS = """
         numbered AS (SELECT arrival, CASE WHEN reason IS NULL THEN (SELECT max(id) FROM loan)
                + row_number() OVER (PARTITION BY reason IS NULL ORDER BY arrival) END AS id, reason
            FROM settled)"""
+_LOANS_AFTER = f"""SELECT {_LOAN_COLS} FROM loan UNION ALL
+            SELECT n.id, start_date, end_date, return_date, book_id, client_id
+            FROM numbered AS n JOIN batch USING (arrival) WHERE n.reason IS NULL"""
 _GONE_BOOKS = "year BETWEEN 1970 AND 1979"
 _GONE_CLIENTS = "registered < DATE '1994-09-01'"
 
@@ -674,9 +711,7 @@ INTAKE = {
         _NEW_LOANS,
         _PASS,
         _NUMBERED_LOANS,
-        f"""SELECT {_LOAN_COLS} FROM loan UNION ALL
-            SELECT n.id, start_date, end_date, return_date, book_id, client_id
-            FROM numbered AS n JOIN batch USING (arrival) WHERE n.reason IS NULL""",
+        _LOANS_AFTER,
         recursive=True,
     ),
     "update_books_decisions": _with(
@@ -731,6 +766,49 @@ INTAKE = {
     ),
 }
 
+
+def _after_append(query: str) -> str:
+    """A report over the whole table of loans as it is after a batch."""
+    after = f"after_loan AS ({_LOANS_AFTER})"
+    parts = [_REQUESTS, _NEW_LOANS, _PASS, _NUMBERED_LOANS, after, _totals("after_loan"), query]
+    return _with(*parts, recursive=True)
+
+
+def _after_delete(query: str) -> str:
+    after = f"after_loan AS (SELECT * FROM loan WHERE book_id NOT IN (SELECT id FROM book WHERE {_GONE_BOOKS}))"
+    return _with(after, _totals("after_loan"), query)
+
+
+_LAST_VISITS = f"SELECT {_TOTAL_COLS}, coalesce(seen, registered) AS last_visit FROM total"
+_TOTAL_LOANS = f"SELECT {_TOTAL_COLS}, loans FROM total"
+
+CARRIED_ON = {
+    "genre_scores_after_append": _after_append("SELECT genre, score FROM genre_total"),
+    "last_visit_dates_after_append": _after_append(_LAST_VISITS),
+    "total_loans_after_append": _after_append(_TOTAL_LOANS),
+    "unreturned_loans_after_append": _after_append(
+        f"SELECT {_TOTAL_COLS}, still_out AS loans FROM total WHERE loans = 0 OR still_out > 0"
+    ),
+    "last_visit_dates_after_delete": _after_delete(_LAST_VISITS),
+    "total_loans_after_delete": _after_delete(_TOTAL_LOANS),
+    "audit_change": _with(
+        _REQUESTS,
+        _NEW_LOANS,
+        f"""
+        new_book AS (
+            SELECT id, name, year, author, genre, added FROM book
+            UNION ALL SELECT id, name, year, author, genre, added + 700 FROM book WHERE year = 1960),
+        new_client AS (
+            SELECT id, name, CASE WHEN address <> 'NATION_3' THEN registered END AS registered, address
+            FROM client),
+        new_loan AS (
+            SELECT {_LOAN_COLS} FROM loan
+            UNION ALL SELECT -arrival, start_date, end_date, return_date, book_id, client_id FROM batch)""",
+        f"""({_all_findings('new_book', 'new_client', 'new_loan')})
+            EXCEPT ALL ({_all_findings('book', 'client', 'loan')})""",
+    ),
+}
+
 ALL: dict[str, str] = {
     **SOURCES_AND_SINKS,
     **SEARCHES,
@@ -740,4 +818,5 @@ ALL: dict[str, str] = {
     **PAGES,
     **AUDITS,
     **INTAKE,
+    **CARRIED_ON,
 }

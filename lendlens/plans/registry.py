@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from lendlens.functions import text
 from lendlens.functions.dates import days_overdue, parse_iso
-from lendlens.operators import audits, ingest, intake, paging, queries, reports
+from lendlens.operators import audits, ingest, intake, paging, queries, reports, totals
 from lendlens.operators.predicates import BookSearch, ClientSearch, LoanSearch
 from lendlens.plans import batches
 from lendlens.session import shared_folder
@@ -142,6 +142,43 @@ def _decisions(operation: Callable[[Library, DataFrame], ingest.Outcome]):
     return rows
 
 
+def _audit_of_load(library: Library, unchecked: DataFrame) -> DataFrame:
+    after = batches.with_unchecked(library, unchecked)
+    return audits.audit_change(library, after, **batches.unchecked_ids(library, unchecked))
+
+
+def _kept_totals(library: Library) -> totals.Totals:
+    """The totals of the library, written to the shared folder and read back."""
+    spark = library.loans.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/totals-{uuid.uuid4().hex}"
+    totals.write_totals(totals.count_loans(library.loans), path)
+    return totals.read_totals(spark, path)
+
+
+def _after_append(report: Callable[..., DataFrame]):
+    """A report after a batch of new loans, from the totals kept and the accepted rows alone."""
+
+    def rows(library: Library, new_loans: DataFrame) -> DataFrame:
+        outcome = ingest.append_loans(library, new_loans)
+        return report(library, totals=totals.after_append(_kept_totals(library), outcome.accepted))
+
+    return rows
+
+
+def _after_delete(report: Callable[..., DataFrame]):
+    """A report after items were deleted, their loans with them, from the totals kept and the loans gone."""
+
+    def rows(library: Library, ids: DataFrame) -> DataFrame:
+        outcome = ingest.delete_books(library, ids)
+        after = outcome.library
+        items = outcome.accepted.select(F.col("id").alias("book_id"))
+        gone = library.loans.join(items, "book_id", "left_semi").select(*LOAN.names)
+        kept = totals.after_change(_kept_totals(library), gone, gone.limit(0), after.loans)
+        return report(after, totals=kept)
+
+    return rows
+
+
 def queries_over(source: Source) -> dict[str, Query]:
     """The named queries, each over the library that ``source`` gives."""
 
@@ -234,6 +271,14 @@ def queries_over(source: Source) -> dict[str, Query]:
         "unreturned_loans_per_client_all": _of_library(
             lambda lib: reports.unreturned_loans_per_client(lib, keep_all=True)
         ),
+        "genre_scores_after_append": _with_batch(_after_append(reports.genre_scores), batches.new_loans),
+        "last_visit_dates_after_append": _with_batch(_after_append(reports.last_visit_dates), batches.new_loans),
+        "total_loans_after_append": _with_batch(_after_append(reports.total_loans_per_client), batches.new_loans),
+        "unreturned_loans_after_append": _with_batch(
+            _after_append(reports.unreturned_loans_per_client), batches.new_loans
+        ),
+        "last_visit_dates_after_delete": _with_batch(_after_delete(reports.last_visit_dates), batches.discarded_books),
+        "total_loans_after_delete": _with_batch(_after_delete(reports.total_loans_per_client), batches.discarded_books),
         "count_rows": _of_library(
             lambda lib: reports.count_rows(queries.expired_loans_at(lib, LATE_DAY))
         ),
@@ -278,6 +323,7 @@ def queries_over(source: Source) -> dict[str, Query]:
         "orphan_loans": _of_damaged(audits.orphan_loans),
         "duplicate_ids": _of_damaged(audits.duplicate_ids),
         "audit_all": _of_damaged(audits.audit_all),
+        "audit_change": _with_batch(_audit_of_load, batches.unchecked_loans),
     }
 
     batch: dict[str, Query] = {
