@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The vocabulary is compiled once on the driver into three transducers.
-
-- *Normaliser*: a space becomes the mark for a space, and a text that isn't empty gets one such mark in front.
-- *Pieces*: an arc for each piece, from the place where its characters begin to the place where they end.
-- *Byte fallback*: a character that no piece covers goes over the arcs of its UTF-8 bytes.
-
-A text is composed with them, which gives a lattice over its places, and the encoding is the tropical shortest path. For
-a unigram model an arc weighs minus its piece's score. For a merge (BPE) model the state is the piece before, and an
-arc weighs 0 if a merge model would leave the two pieces as neighbours, infinity if not. It would leave them if, undoing
+The model is compiled once on the driver into two transducers (``Fst``): from their start, arcs of weight zero read a
+character each, and an empty arc back to the start writes an output and carries the weight.
+
+- *Normaliser*: the rules of the model's character map, if it has one; the longest rule at a place goes, other characters
+  are copied. Then, if the model says so, runs of spaces become one and those at either end go; a text that isn't
+  empty gets a space in front, and U+2581 is a space.
+- *Pieces*: each piece writes its ID. *Byte fallback* is an arc for any character that is no piece by itself, which writes the
+  IDs of its UTF-8 bytes (in a model without such IDs, one unknown for each run of them).
+
+A text's normal form is composed with the pieces on the fly, place by place, and the encoding is the tropical shortest path
+through that lattice, found by one routine for both kinds of model. In a unigram model an arc weighs minus its piece's
+score, the fallback 10 more than the worst piece. In a merge (BPE) model the state is the piece before, and an arc weighs 0
+if a merge model would leave the two pieces as neighbours, infinity if not. It would leave them if, undoing
 the merges on both sides of their border, no merge across the border would have come first. Each place is reached by
 one path of finite weight, so the lattice needs one state for each place.
 
@@ -20,14 +24,18 @@ a table of bounded size.
 Texts stay where they are: one pass without a shuffle. The compiled vocabulary (some 32,000 pieces) is broadcast; its
 size is that of the model file, whatever the size of the corpus.
 
-Defined cases: a null or empty text has no pieces; decoding gives back the text, with U+2581 read as a space.
+Defined cases: a null or empty text has no pieces; decoding gives back the normal form, which is the text with U+2581 read as
+a space where the model has neither a character map nor removes spaces. ``round_trip`` tells whether it gave back the
+text. Equal rows are encoded alike, row by row; a null doc_id is kept; an empty table gives an empty one; other
+columns are ignored, whatever their names. A text longer than a batch of ``BATCH_BYTES`` is a batch by itself, encoded
+whole. Models that write the mark behind words, or have symbols of their users, are refused.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -42,18 +50,95 @@ MARK = "▁"
 BATCH_BYTES = 4 << 20
 #: Stretches and pairs remembered by a task before it starts anew.
 REMEMBERED = 500_000
-#: Weight of a character's bytes against pieces, in a unigram model.
-UNLIKELY = 1e6
+#: What a character's bytes weigh more than the worst piece; a fixed value of the library.
+UNLIKELY = 10.0
 INFINITE = float("inf")
 
 _STRETCH = re.compile(r" *[^ ]+| +")
 
 
-class Transducer:
-    """The compiled vocabulary. Inside, the mark for a space is a plain space."""
+class Fst:
+    """A transducer made of chains that begin and end in state 0."""
+
+    _NONE: dict[str, int] = {}
+
+    def __init__(self) -> None:
+        #: By state: the next state for a character.
+        self.arcs: list[dict[str, int]] = [{}]
+        #: By state: output and weight of the empty arc to state 0, None and infinity where there is none.
+        self.outputs: list = [None]
+        self.weights: list[float] = [INFINITE]
+
+    def add(self, symbols: str, output, weight: float = 0.0) -> None:
+        state = 0
+        for symbol in symbols:
+            following = self.arcs[state].get(symbol)
+            if following is None:
+                following = len(self.arcs)
+                if not self.arcs[state]:
+                    self.arcs[state] = {}
+                self.arcs[state][symbol] = following
+                self.arcs.append(self._NONE)
+                self.outputs.append(None)
+                self.weights.append(INFINITE)
+            state = following
+        self.outputs[state], self.weights[state] = output, weight
+
+
+class Normaliser:
+    """The normal form of a text, with a space in front."""
+
+    def __init__(self, rules: Iterable[tuple[str, str]] = (), squeeze: bool = False):
+        self.fst, self.squeeze = Fst(), squeeze
+        for source, target in rules:
+            if source != target:
+                self.fst.add(source, target)
+        firsts = "".join(map(re.escape, self.fst.arcs[0]))
+        self.first = re.compile(f"[{firsts}]") if firsts else None
+
+    def _mapped(self, text: str) -> str:
+        """The text by the rules: at each place the longest that fits."""
+        arcs, outputs = self.fst.arcs, self.fst.outputs
+        out, done = [], 0
+        found = self.first.search(text)
+        while found:
+            place = found.start()
+            out.append(text[done:place])
+            state, target, done = 0, text[place], place + 1
+            for end in range(place, len(text)):
+                state = arcs[state].get(text[end])
+                if state is None:
+                    break
+                if outputs[state] is not None:
+                    target, done = outputs[state], end + 1
+            out.append(target)
+            found = self.first.search(text, done)
+        out.append(text[done:])
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        if self.first:
+            text = self._mapped(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).lstrip(" ").replace(MARK, " ").rstrip(" ")
+            return " " + text if text else ""
+        return " " + text.replace(MARK, " ")
+
 
-    def __init__(self, ids: dict[str, int], scores: dict[str, float], byte_ids: list[int], unknown: int, merges: bool):
+class Transducer:
+    """The compiled model. Inside, the mark for a space is a plain space."""
+
+    def __init__(
+        self,
+        ids: dict[str, int],
+        scores: dict[str, float],
+        byte_ids: list[int],
+        unknown: int,
+        merges: bool,
+        normaliser: Normaliser | None = None,
+    ):
         self.byte_ids, self.unknown, self.merges, self.scores = byte_ids, unknown, merges, scores
+        self.normal = normaliser or Normaliser()
         self.surface: dict[int, bytes] = {i: p.encode() for p, i in ids.items()}
         for value, i in enumerate(byte_ids):
             self.surface[i] = bytes([value])
@@ -66,13 +151,10 @@ class Transducer:
         self.arcs = {p: i for p, i in ids.items() if not merges or len(p) == 1 or p in self.halves}
         self.pieces = {i: p for p, i in self.arcs.items()}
         self.size = max(self.pieces, default=0) + 1
-        #: The arcs as a tree: a node is a dict by character, with the piece's ID at 0.
-        self.tree: dict = {}
+        self.lexicon = Fst()
         for piece, i in self.arcs.items():
-            node = self.tree
-            for char in piece:
-                node = node.setdefault(char, {})
-            node[0] = i
+            self.lexicon.add(piece, i, 0.0 if merges else -scores[piece])
+        self.fallback = UNLIKELY - min(scores.values(), default=0.0)
         #: Neighbouring characters within a piece. Paths pass the place between any others.
         self.within = {a + b for p in self.arcs for a, b in zip(p, p[1:], strict=False)}
         self._ok: dict[int, bool] = {}
@@ -127,56 +209,38 @@ class Transducer:
             else:
                 j -= 1
 
-    def _arc_path(self, text: str) -> tuple[list[int], list[int]]:
-        """Merge model: for each place the piece before it (-1: a byte's arc) and where that begins."""
-        tree, ok, size, n = self.tree, self._ok, self.size, len(text)
-        last, came = [-1] * (n + 1), [-1] * (n + 1)
-        for start in range(n):
-            before = last[start]
-            node = tree
-            for end in range(start, n):
-                node = node.get(text[end])
-                if node is None:
-                    break
-                piece = node.get(0)
-                # Of two pieces that end at a place and fit, the longer, which comes first, is the one that merging makes.
-                if piece is not None and came[end + 1] < 0:
-                    if before >= 0:
-                        fits = ok.get(before * size + piece)
-                        if fits is None:
-                            fits = self.neighbours(before, piece)
-                    else:
-                        fits = True
-                    if fits:
-                        last[end + 1], came[end + 1] = piece, start
-            if came[start + 1] < 0:
-                # The arcs of the character's bytes, as no piece has it; nothing merges with them.
-                came[start + 1] = start
-        return last, came
-
-    def _scored_path(self, text: str) -> tuple[list[int], list[int]]:
-        """Unigram model: the same by the least sum of minus scores."""
-        score, n = self.scores, len(text)
-        last, came = [-1] * (n + 1), [-1] * (n + 1)
+    def _path(self, text: str) -> array:
+        """The shortest path through the lattice of one stretch."""
+        arcs, pieces, weights = self.lexicon.arcs, self.lexicon.outputs, self.lexicon.weights
+        merges, ok, size, n = self.merges, self._ok, self.size, len(text)
+        # By place: its distance, the piece before it (-1: the fallback's arc) and where that begins.
         distance = [0.0] + [INFINITE] * n
+        last, came = [-1] * (n + 1), [0] * (n + 1)
         for start in range(n):
-            node = self.tree
-            for end in range(start, n):
-                node = node.get(text[end])
-                if node is None:
+            so_far, before = distance[start], last[start]
+            state, alone = 0, False
+            for end in range(start + 1, n + 1):
+                state = arcs[state].get(text[end - 1])
+                if state is None:
                     break
-                piece = node.get(0)
-                if piece is not None and (far := distance[start] - score[self.pieces[piece]]) < distance[end + 1]:
-                    distance[end + 1], last[end + 1], came[end + 1] = far, piece, start
-            if (far := distance[start] + UNLIKELY) < distance[start + 1]:
-                distance[start + 1], last[start + 1], came[start + 1] = far, -1, start
-        return last, came
-
-    def _path(self, text: str) -> array:
-        """The shortest path over the lattice of one stretch."""
-        last, came = self._arc_path(text) if self.merges else self._scored_path(text)
+                piece = pieces[state]
+                if piece is None:
+                    continue
+                alone = alone or end == start + 1
+                far = so_far + weights[state]
+                if far < distance[end]:
+                    if merges and before >= 0:
+                        apart = ok.get(before * size + piece)
+                        if apart is None:
+                            apart = self.neighbours(before, piece)
+                        if not apart:
+                            # The arc weighs infinity.
+                            continue
+                    distance[end], last[end], came[end] = far, piece, start
+            if not alone and so_far + self.fallback < distance[start + 1]:
+                distance[start + 1], last[start + 1], came[start + 1] = so_far + self.fallback, -1, start
         out: list[int] = []
-        end = len(text)
+        end = n
         while end:
             start = came[end]
             if last[end] >= 0:
@@ -208,9 +272,12 @@ class Transducer:
         """Add the pieces of a text to ``out``."""
         if not text:
             return
-        known = self._known
-        for stretch in _STRETCH.findall(" " + text.replace(MARK, " ")):
+        known, begin = self._known, len(out)
+        for stretch in _STRETCH.findall(self.normal(text)):
             out += known[stretch] if stretch in known else self._stretch(stretch)
+        if not self.byte_ids:
+            added, unknown = out[begin:], self.unknown
+            out[begin:] = array("i", (x for i, x in enumerate(added) if x != unknown or not i or added[i - 1] != unknown))
 
     def encode(self, text: str) -> list[int]:
         out = array("i")
@@ -232,10 +299,15 @@ def compile_model(path: str = MODEL_PATH) -> Transducer:
     proto = sentencepiece_model_pb2.ModelProto()
     proto.ParseFromString(Path(path).read_bytes())
     spec = proto.normalizer_spec
-    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not (spec.add_dummy_prefix and spec.escape_whitespaces):
-        raise ValueError("the normaliser of this model is not the plain one")
+    if not (spec.add_dummy_prefix and spec.escape_whitespaces):
+        raise ValueError("only models that put the mark for a space in front of a text")
     if proto.trainer_spec.model_type not in (1, 2) or proto.trainer_spec.treat_whitespace_as_suffix:
         raise ValueError("only unigram and merge models with marks in front")
+    if any(piece.type == piece.USER_DEFINED for piece in proto.pieces):
+        raise ValueError("only models without symbols of their users")
+    rules = []
+    if spec.precompiled_charsmap:
+        rules = sentencepiece.SentencePieceNormalizer(normalizer_spec=spec.SerializeToString()).decompile()
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     normal = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     ids = {model.id_to_piece(i).replace(MARK, " "): i for i in normal}
@@ -243,7 +315,8 @@ def compile_model(path: str = MODEL_PATH) -> Transducer:
         raise ValueError("a piece has the mark for a space behind another character")
     byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if proto.trainer_spec.byte_fallback else []
     scores = {p: model.get_score(i) for p, i in ids.items()}
-    return Transducer(ids, scores, byte_ids, model.unk_id(), proto.trainer_spec.model_type == 2)
+    normaliser = Normaliser(rules, spec.remove_extra_whitespaces)
+    return Transducer(ids, scores, byte_ids, model.unk_id(), proto.trainer_spec.model_type == 2, normaliser)
 
 
 def encode_documents(docs: DataFrame, model: Transducer | None = None) -> DataFrame:
