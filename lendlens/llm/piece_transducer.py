@@ -58,31 +58,25 @@ _STRETCH = re.compile(r" *[^ ]+| +")
 
 
 class Fst:
-    """A transducer made of chains that begin and end in state 0."""
+    """A transducer made of chains that begin and end in its start.
 
-    _NONE: dict[str, int] = {}
+    A state is a dict of its arcs. An arc, by the character it reads, is a list: the next state, and the output and
+    weight with which the chain may end there (None and infinity where it may not).
+    """
+
+    _NONE: dict[str, list] = {}
 
     def __init__(self) -> None:
-        #: By state: the next state for a character.
-        self.arcs: list[dict[str, int]] = [{}]
-        #: By state: output and weight of the empty arc to state 0, None and infinity where there is none.
-        self.outputs: list = [None]
-        self.weights: list[float] = [INFINITE]
+        self.start: dict[str, list] = {}
 
     def add(self, symbols: str, output, weight: float = 0.0) -> None:
-        state = 0
+        """A chain that reads ``symbols``."""
+        arc = [self.start]
         for symbol in symbols:
-            following = self.arcs[state].get(symbol)
-            if following is None:
-                following = len(self.arcs)
-                if not self.arcs[state]:
-                    self.arcs[state] = {}
-                self.arcs[state][symbol] = following
-                self.arcs.append(self._NONE)
-                self.outputs.append(None)
-                self.weights.append(INFINITE)
-            state = following
-        self.outputs[state], self.weights[state] = output, weight
+            if arc[0] is self._NONE:
+                arc[0] = {}
+            arc = arc[0].setdefault(symbol, [self._NONE, None, INFINITE])
+        arc[1:] = output, weight
 
 
 class Normaliser:
@@ -93,24 +87,24 @@ class Normaliser:
         for source, target in rules:
             if source != target:
                 self.fst.add(source, target)
-        firsts = "".join(map(re.escape, self.fst.arcs[0]))
+        firsts = "".join(map(re.escape, self.fst.start))
         self.first = re.compile(f"[{firsts}]") if firsts else None
 
     def _mapped(self, text: str) -> str:
         """The text by the rules: at each place the longest that fits."""
-        arcs, outputs = self.fst.arcs, self.fst.outputs
         out, done = [], 0
         found = self.first.search(text)
         while found:
             place = found.start()
             out.append(text[done:place])
-            state, target, done = 0, text[place], place + 1
+            arcs, target, done = self.fst.start, text[place], place + 1
             for end in range(place, len(text)):
-                state = arcs[state].get(text[end])
-                if state is None:
+                arc = arcs.get(text[end])
+                if arc is None:
                     break
-                if outputs[state] is not None:
-                    target, done = outputs[state], end + 1
+                arcs, output, _ = arc
+                if output is not None:
+                    target, done = output, end + 1
             out.append(target)
             found = self.first.search(text, done)
         out.append(text[done:])
@@ -151,6 +145,7 @@ class Transducer:
         self.arcs = {p: i for p, i in ids.items() if not merges or len(p) == 1 or p in self.halves}
         self.pieces = {i: p for p, i in self.arcs.items()}
         self.size = max(self.pieces, default=0) + 1
+        self.longest = max(map(len, self.arcs), default=0)
         self.lexicon = Fst()
         for piece, i in self.arcs.items():
             self.lexicon.add(piece, i, 0.0 if merges else -scores[piece])
@@ -211,34 +206,30 @@ class Transducer:
 
     def _path(self, text: str) -> array:
         """The shortest path through the lattice of one stretch."""
-        arcs, pieces, weights = self.lexicon.arcs, self.lexicon.outputs, self.lexicon.weights
+        first, longest, fallback = self.lexicon.start, self.longest, self.fallback
         merges, ok, size, n = self.merges, self._ok, self.size, len(text)
         # By place: its distance, the piece before it (-1: the fallback's arc) and where that begins.
         distance = [0.0] + [INFINITE] * n
         last, came = [-1] * (n + 1), [0] * (n + 1)
         for start in range(n):
-            so_far, before = distance[start], last[start]
-            state, alone = 0, False
-            for end in range(start + 1, n + 1):
-                state = arcs[state].get(text[end - 1])
-                if state is None:
+            so_far, before, arcs, end = distance[start], last[start], first, start
+            for symbol in text[start : start + longest]:
+                arc = arcs.get(symbol)
+                if arc is None:
                     break
-                piece = pieces[state]
-                if piece is None:
-                    continue
-                alone = alone or end == start + 1
-                far = so_far + weights[state]
-                if far < distance[end]:
+                arcs, piece, weight = arc
+                end += 1
+                if piece is not None and so_far + weight < distance[end]:
                     if merges and before >= 0:
-                        apart = ok.get(before * size + piece)
-                        if apart is None:
-                            apart = self.neighbours(before, piece)
-                        if not apart:
-                            # The arc weighs infinity.
+                        pair = before * size + piece
+                        # An arc between pieces that merging would not leave apart weighs infinity.
+                        if not (ok[pair] if pair in ok else self.neighbours(before, piece)):
                             continue
-                    distance[end], last[end], came[end] = far, piece, start
-            if not alone and so_far + self.fallback < distance[start + 1]:
-                distance[start + 1], last[start + 1], came[start + 1] = so_far + self.fallback, -1, start
+                    distance[end], last[end], came[end] = so_far + weight, piece, start
+            if so_far + fallback < distance[start + 1]:
+                arc = first.get(text[start])
+                if arc is None or arc[1] is None:
+                    distance[start + 1], last[start + 1], came[start + 1] = so_far + fallback, -1, start
         out: list[int] = []
         end = n
         while end:
