@@ -23,7 +23,8 @@ string of ``LENGTH`` bytes over it is an entry of its own, dealt by a hash of th
 buckets; equal strings still meet, and their bytes are compared in the merge as the others' are.
 
 Defined cases: a null text is empty; a null doc_id comes after all others; rows of one doc_id don't count as each
-other's repeats, though they lose what smaller ones have; an empty table gives no rows.
+other's repeats, though they lose what smaller ones have; an empty table gives no rows. A text longer than a batch is a
+batch by itself; one of 2^30 bytes or more stops the job with an error, none is cut.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ What keeps this small and even:
 Spans of repeated windows go back to their documents by a join on the document, which is even, and the covered words go.
 
 Defined cases: a null text has no words; of rows that repeat doc_id and text each sees the other's windows; texts
-with fewer words than a window lose nothing; an empty table gives no rows.
+with fewer words than a window lose nothing; an empty table gives no rows. A text longer than a batch is a batch by
+itself; one of 2^30 words or more stops the job, but takes 2 GB, more than a string of Spark holds.
 """
 
 from __future__ import annotations
