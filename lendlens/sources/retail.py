@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendlens.session import staged
 from lendlens.sources.library import Library
 
 #: Loans of lines flagged "N" in orders from this day on have not come back.
@@ -70,8 +71,10 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Dealt by order, the lines travel once for their groups and for the join.
     lines = (
         table(spark, sf_dir, "lineitem")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey", _neighbour("l_partkey", 17).alias("book_id"))
         .agg(
             F.max("l_quantity").cast("int").alias("held"),
@@ -103,6 +106,12 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     return Library(books(spark, sf_dir), clients(spark, sf_dir), loans(spark, sf_dir))
 
 
+def library_once(spark: SparkSession, sf_dir: str) -> Library:
+    """The library with its loans worked out once and written, for jobs that read them several times."""
+    whole = library(spark, sf_dir)
+    return whole.with_(loans=staged(whole.loans))
+
+
 def old_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loans as the first schema kept them: without a due date."""
     return loans(spark, sf_dir).drop("end_date")

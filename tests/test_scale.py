@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lendlens.operators import audits, ingest, paging, queries, reports, sizing
 from lendlens.operators.occupancy import overlap_flags, spans
 from lendlens.operators.predicates import BookSearch, LoanSearch
+from lendlens.plans import registry
+from lendlens.sources import retail
 from lendlens.sources.library import Library, flat_books, read_library, write_library
 
 DAY = date(2024, 3, 1)
@@ -247,3 +249,37 @@ def test_batches_give_the_same_rows_when_nothing_is_broadcast(spark, skewed):
 
 def test_books_of_the_flat_view_keep_their_keys(skewed):
     assert {"book_name_key", "author_key", "genre_key"} <= set(flat_books(skewed).columns)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_lines_travel_once_for_their_groups_and_the_join(spark):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        plan = plan_of(retail.loans(spark, SMALL))
+    assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", plan)) == 1
+
+
+@pytest.mark.parametrize("name", ["record_returns_table", "update_loans_table", "total_loans_after_append", "audit_all"])
+def test_loans_are_worked_out_once(spark, name):
+    assert "lineitem" not in plan_of(registry.ALL[name](spark, SMALL))
+
+
+def test_loans_out_that_overlap_are_the_flagged_ones(spark, skewed):
+    # Items with one row out, with several, with spans of no length, and loan IDs on several rows.
+    loans = skewed.loans.withColumns(
+        {
+            "id": F.expr("if(id % 500 = 1, id - 1, id)"),
+            "book_id": F.expr("if(book_id = 0, id, id % 30000 + 100000)"),
+            "return_date": F.expr("if(id % 7 = 0, start_date, return_date)"),
+        }
+    )
+    library = Library(skewed.books, skewed.clients, loans)
+    out = loans.filter("return_date IS NULL AND book_id % 3 = 0")
+    judged = out.select("id", "book_id", "start_date", F.lit(None).cast("string").alias("reason"))
+    marked = ingest._overlapping_marked(library, judged)
+    found = {r["id"] for r in marked.filter("overlapping").collect()}
+    asked = sizing.narrowed(loans, judged, "book_id")
+    flagged = sizing.narrowed(overlap_flags(asked).withColumnRenamed("loan_id", "id"), judged, "id")
+    assert found == {r["id"] for r in flagged.collect()}
+    assert 0 < len(found) < marked.select("id").distinct().count()
