@@ -236,10 +236,10 @@ def _rows_of(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _judged_anew(loans: DataFrame, named: dict[str, DataFrame]) -> DataFrame:
-    """Loans that are named themselves or whose item or borrower is; each row once."""
+    """Loans that are named themselves or whose item or borrower is, by distinct names; each row once."""
     columns = loans.columns
     for key, ids in named.items():
-        names = ids.select(F.col("id").alias(f"named_{key}")).distinct().withColumn(f"hit_{key}", F.lit(True))
+        names = ids.select(F.col("id").alias(f"named_{key}")).withColumn(f"hit_{key}", F.lit(True))
         same = F.col("id").eqNullSafe(F.col("named_id")) if key == "id" else F.col(key) == F.col(f"named_{key}")
         loans = loans.join(names, same, "left")
     return loans.filter(F.coalesce(*[f"hit_{key}" for key in named])).select(*columns)
@@ -260,7 +260,8 @@ def audit_change(
     named; and for overlaps the loans of items that a loan named has or had. What the change mended is not reported.
     """
     nothing = before.loans.select("id").limit(0)
-    books, clients, loans = (nothing if ids is None else ids.select("id") for ids in (books, clients, loans))
+    # Written, so that Spark knows how few they are before it moves the loans.
+    books, clients, loans = (nothing if ids is None else staged(ids.select("id").distinct()) for ids in (books, clients, loans))
     own = {"book": books, "client": clients, "loan": loans}
     named = {"id": loans, "book_id": books, "client_id": clients}
     judged = [staged(_judged_anew(library.loans, named)) for library in (before, after)]

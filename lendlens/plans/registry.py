@@ -15,7 +15,7 @@ from lendlens.functions.dates import days_overdue, parse_iso
 from lendlens.operators import audits, ingest, intake, paging, queries, reports, totals
 from lendlens.operators.predicates import BookSearch, ClientSearch, LoanSearch
 from lendlens.plans import batches
-from lendlens.session import shared_folder
+from lendlens.session import shared_folder, staged
 from lendlens.sinks import exports
 from lendlens.sources import retail
 from lendlens.sources.library import (
@@ -143,6 +143,7 @@ def _decisions(operation: Callable[[Library, DataFrame], ingest.Outcome]):
 
 
 def _audit_of_load(library: Library, unchecked: DataFrame) -> DataFrame:
+    unchecked = staged(unchecked)  # read with the library after the load and for its IDs
     after = batches.with_unchecked(library, unchecked)
     return audits.audit_change(library, after, **batches.unchecked_ids(library, unchecked))
 
