@@ -35,7 +35,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from operator import add
 from pathlib import Path
 
 import numpy as np
@@ -119,6 +120,16 @@ class Normaliser:
         return " " + text.replace(MARK, " ")
 
 
+class _Paths(dict):
+    """The paths of stretches and their parts, as bytes; a stretch that isn't there yet is found when it is asked for."""
+
+    def __init__(self, find: Callable[[str], bytes]) -> None:
+        self.find = find
+
+    def __missing__(self, text: str) -> bytes:
+        return self.find(text)
+
+
 class Transducer:
     """The compiled model. Inside, the mark for a space is a plain space."""
 
@@ -153,10 +164,14 @@ class Transducer:
         #: Neighbouring characters within a piece. Paths pass the place between any others.
         self.within = {a + b for p in self.arcs for a, b in zip(p, p[1:], strict=False)}
         self._ok: dict[int, bool] = {}
-        self._known: dict[str, array] = {}
+        self._known = _Paths(self._stretch)
 
     def __getstate__(self):
-        return self.__dict__ | {"_ok": {}, "_known": {}}
+        return self.__dict__ | {"_ok": {}, "_known": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._known = _Paths(self._stretch)
 
     def _undo_all(self, ids: dict[str, int]) -> None:
         """The last merge of each piece, by merging its characters."""
@@ -243,29 +258,31 @@ class Transducer:
             end = start
         return array("i", reversed(out))
 
-    def _stretch(self, text: str) -> array:
+    def _stretch(self, text: str) -> bytes:
         """The path of a stretch that isn't known yet, from those of its parts."""
         known, within = self._known, self.within
         if len(known) >= REMEMBERED:
             known.clear()
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in within]
-        out = array("i")
+        cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in within]
+        if not cuts:
+            path = known[text] = self._path(text).tobytes()
+            return path
+        out = []
         for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
             part = text[a:b]
             path = known.get(part)
             if path is None:
-                path = known[part] = self._path(part)
-            out += path
-        known[text] = out
-        return out
+                path = known[part] = self._path(part).tobytes()
+            out.append(path)
+        path = known[text] = b"".join(out)
+        return path
 
     def encode_into(self, text: str, out: array) -> None:
         """Add the pieces of a text to ``out``."""
         if not text:
             return
-        known, begin = self._known, len(out)
-        for stretch in _STRETCH.findall(self.normal(text)):
-            out += known[stretch] if stretch in known else self._stretch(stretch)
+        begin = len(out)
+        out.frombytes(b"".join(map(self._known.__getitem__, _STRETCH.findall(self.normal(text)))))
         if not self.byte_ids:
             added, unknown = out[begin:], self.unknown
             out[begin:] = array("i", (x for i, x in enumerate(added) if x != unknown or not i or added[i - 1] != unknown))

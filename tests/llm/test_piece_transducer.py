@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -122,3 +123,12 @@ def test_neighbours_by_merging(model, library):
         left, right = model.pieces[a], model.pieces[b]
         merged = [i for i in model._path(left + right)]
         assert model.neighbours(a, b) == (merged == [a, b])
+
+
+def test_a_sent_model_remembers_paths_as_bytes_and_starts_without_any():
+    model = p.compile_model()
+    text = "some words, some words and \U0001f9ee odd-ones"
+    ids = model.encode(text)
+    assert model.encode(text) == ids and all(isinstance(path, bytes) for path in model._known.values())
+    sent = pickle.loads(pickle.dumps(model))
+    assert not sent._known and sent.encode(text) == ids
